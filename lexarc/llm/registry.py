@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["op1_langid", "op3_bpe", "op8_quality"]
+MODULES = ["op1_langid", "op3_bpe", "op7_jaccard", "op8_quality"]
 
 
 def queries() -> dict:
