@@ -59,3 +59,28 @@ class Scratch:
         for df in frames:
             path = jvm.org.apache.hadoop.fs.Path(df._lexarc_path)
             path.getFileSystem(conf).delete(path, True)
+
+
+def position(col: str, bits: int):
+    """Place of a value in a bitmap of so many bits."""
+    return F.pmod(F.xxhash64(col), F.lit(bits))
+
+
+def bitmap(df: DataFrame, col: str, low: int = 1 << 20, high: int = 1 << 27):
+    """(bits, bytes) with the places of a column's values set: a filter without false negatives.
+
+    Its size follows the number of values up to a fixed bound; beyond it lets more pass, and callers check exactly.
+    """
+    import numpy as np
+
+    values = df.select(col)
+    n, bits = values.count(), low
+    while bits < min(high, 8 * n):
+        bits *= 2
+    marks = np.zeros(bits // 8, dtype=np.uint8)
+    # bitmap buckets and positions count from value 1: bucket g holds the values from (g - 1) * 32768 + 1
+    parts = values.select((position(col, bits) + 1).alias("h")).groupBy(F.expr("bitmap_bucket_number(h)").alias("g")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("m"))
+    for r in parts.toLocalIterator():
+        begin = (r.g - 1) * 4096
+        marks[begin:begin + 4096] = np.frombuffer(r.m, dtype=np.uint8)
+    return bits, marks

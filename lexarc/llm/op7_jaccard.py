@@ -8,10 +8,11 @@ until rare tokens, which are indexed singly, and frequent ones, indexed as pairs
 subclass earns nothing), sum up to tau + 1. Then two linked documents have an indexed single or pair in common.
 
 Members of an index entry are compared in two passes, so that entries of near copies never become all pairs. First each
-member is verified against the entry's first and its previous member, and components are formed. Then only entries that
-still hold several components go on: their members meet in blocks, where parity bitmaps bound the symmetric difference
-from below, and only pairs of different components within the bound are verified. No link between different components
-can be lost, and links within one would change nothing. Verification intersects the whole sets.
+member is verified against the entry's first, its previous, and its most shared member, and components are formed. Then
+only entries that still hold several components go on: their members meet in blocks, where parity bitmaps bound the
+symmetric difference from below, and pairs of different components within the bound are verified in rounds, likeliest
+first. No link between different components can be lost, and links within one would change nothing. Verification
+intersects the whole sets.
 
 Null, empty and blank texts have an empty set and no links; their component is their own id. Texts with fewer than k
 words have one shingle, the whole sequence. Repeated ids count as one document with several texts. Every row gives one
@@ -20,7 +21,7 @@ row; a null id keeps a null component unless its text equals that of another row
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,54 +29,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Scratch, read
+from .common import Scratch, bitmap, position, read
 from .components import connected_components
+from .wordhash import _U, _mix, word_hashes
 
-#: Buckets of the corpus counts, in blocks; bits of the table of ids that take part.
+#: Buckets of the corpus counts, in blocks.
 BUCKET_BITS, BLOCK = 20, 8192
-BLOOM_LOW, BLOOM_HIGH = 1 << 20, 1 << 27
 BLOCK_ROWS = 1024
+#: Up to so many ids of eight bytes go to every executor.
+BROADCAST_IDS = 100_000
+#: Pairs of two components that the first round of the second pass verifies, and how much each further round takes more.
+FIRST_PAIRS, PAIRS_GROW = 64, 16
 SLICE = 256
-_U = np.uint64
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-@lru_cache(maxsize=1)
-def _byte_tables():
-    rng = np.random.default_rng(11)
-    values = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
-    word = np.ones(256, bool)
-    word[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
-    return values, word
-
-
-@lru_cache(maxsize=1)
-def _powers(n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.multiply.accumulate(np.concatenate(([_U(1)], np.full(n - 1, 0x9E3779B97F4A7C15, dtype=np.uint64))))
-
-
-def word_hashes(text: str) -> np.ndarray:
-    """64-bit hashes of the words, of lower-cased ASCII letters, in order."""
-    values, is_word = _byte_tables()
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), dtype=np.uint8)
-    mask = is_word[raw]
-    edge = np.diff(np.concatenate(([0], mask.view(np.int8), [0])))
-    lengths = np.flatnonzero(edge == -1) - np.flatnonzero(edge == 1)
-    if not len(lengths):
-        return np.zeros(0, dtype=np.uint64)
-    begin = np.cumsum(lengths) - lengths
-    body = raw[mask]
-    place = np.arange(len(body)) - np.repeat(begin, lengths)
-    power = _powers(1 << max(12, int(lengths.max()).bit_length()))
-    return _mix(np.add.reduceat(values[body] * power[place], begin) + lengths.astype(np.uint64))
-
-
 def shingle_set(text: str | None, k: int) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles."""
     h = word_hashes(text) if text else np.zeros(0, dtype=np.uint64)
@@ -207,54 +172,165 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * F.col("common") >= percent * (F.col("sum") - F.col("common"))).select("a", "b")
 
 
-def _cross_pairs(entries: DataFrame, sets: DataFrame, comps: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Pairs of different components within an entry that their bitmaps let pass."""
+def _within_bound(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose bitmaps leave a link possible: the least overlap of a link leaves (1 - p) / (1 + p) of both sizes."""
+
+    def run(batches):
+        for b in _sliced(batches):
+            keep = []
+            for i, (x, y, n) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)):
+                x, y = np.frombuffer(x, dtype=np.uint8), np.frombuffer(y, dtype=np.uint8)
+                small = min(len(x), len(y))
+                if (100 + percent) * int(np.bitwise_count(fold(x, small) ^ fold(y, small)).sum()) <= (100 - percent) * n:
+                    keep.append(i)
+            b = b.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"])
+
+    right = pairs.join(bits.select(F.col("id").alias("b"), F.col("bits").alias("y"), F.col("n").alias("m")), "b")
+    both = right.join(bits.select(F.col("id").alias("a"), F.col("bits").alias("x"), "n"), "a")
+    return both.select("a", "b", "x", "y", (F.col("n") + F.col("m")).alias("n")).mapInArrow(run, "a long, b long")
+
+
+def _token_sets(texts: DataFrame, pairs: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """(id, tokens) of the documents in pairs. Few ids are sent along; of many, a bitmap of bounded size spares the other texts before the exact join."""
+    involved = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    if involved.count() <= BROADCAST_IDS:
+        def all_tokens(batches):
+            for b in _sliced(batches):
+                yield pa.RecordBatch.from_arrays([b.column(0), _nested([shingle_set(t, k) for t in b.column(1).to_pylist()])], names=["id", "tokens"])
+
+        return scratch.keep(texts.join(F.broadcast(involved), "id", "left_semi").mapInArrow(all_tokens, "id long, tokens array<long>"))
+    bits, marks = bitmap(involved, "id")
+    marked = texts.sparkSession.sparkContext.broadcast(marks)  # of bounded size
+
+    def tokens(batches):
+        m = np.unpackbits(marked.value, bitorder="little")
+        for b in _sliced(batches):
+            b = b.take(pa.array(np.flatnonzero(m[np.asarray(b.column(2))])))
+            yield pa.RecordBatch.from_arrays([b.column(0), _nested([shingle_set(t, k) for t in b.column(1).to_pylist()])], names=["id", "tokens"])
+
+    sets = texts.filter("id is not null").withColumn("h", position("id", bits)).mapInArrow(tokens, "id long, tokens array<long>")
+    return scratch.keep(sets.join(involved, "id", "left_semi"))
+
+
+def spanning_pairs(gaps: np.ndarray, ca: np.ndarray, cb: np.ndarray, more: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a matrix of gaps (negative: no candidate) between members of components ca and cb: the pairs of a minimum spanning
+    forest over the components, and the `more` smallest of each two components. The last array tells which components have more."""
+    r, c = np.nonzero(gaps >= 0)
+    if not len(r):
+        return r, c, np.zeros(0, bool)
+    names, code = np.unique(np.concatenate([ca, cb]), return_inverse=True)
+    x, y = code[: len(ca)][r], code[len(ca):][c]
+    pair = np.minimum(x, y) * len(names) + np.maximum(x, y)
+    g = gaps[r, c]
+    order = np.lexsort((c, r, g, pair))
+    r, c, pair, g = r[order], c[order], pair[order], g[order]
+    first = np.concatenate(([True], pair[1:] != pair[:-1]))
+    begin = np.flatnonzero(first)
+    count = np.diff(np.concatenate((begin, [len(pair)])))
+    rank = np.arange(len(pair)) - np.repeat(begin, count)
+    take = rank < more
+    far = np.iinfo(np.int64).max
+    d = np.full((len(names), len(names)), far)
+    which = np.zeros_like(d)
+    x, y = pair[begin] // len(names), pair[begin] % len(names)
+    d[x, y] = d[y, x] = g[begin]
+    which[x, y] = which[y, x] = begin
+    outside = np.ones(len(names), bool)
+    near, via = np.full(len(names), far), np.zeros(len(names), dtype=np.int64)
+    for _ in range(len(names)):
+        u = int(np.where(outside, near, far).argmin())
+        if near[u] == far or not outside[u]:
+            u = int(outside.argmax())
+        else:
+            take[which[u, via[u]]] = True
+        outside[u] = False
+        closer = outside & (d[u] < near)
+        near[closer], via[closer] = d[u][closer], u
+    return r[take], c[take], np.repeat(count, count)[take] > max(more, 1)
+
+
+def _cross_pairs(entries: DataFrame, bits: DataFrame, comps: DataFrame, percent: int, more: int, scratch: Scratch) -> DataFrame:
+    """(a, b, cut): pairs of different components within an entry that their bitmaps let pass, as spanning_pairs picks them.
+
+    cut tells that two components have further pairs. Members meet in blocks of bounded size.
+    """
     named = entries.join(comps, "id", "left").select("key", "id", "n", F.coalesce("component_id", "id").alias("comp"))
     mixed = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")).filter("x <> y")
     once = mixed.groupBy("m", "who").agg(F.min("key").alias("key")).select("key")  # entries with the same members need one look
-    rows = scratch.keep(named.join(once, "key"))
     w = W.partitionBy("key").orderBy("n", "id")
-    blocks = rows.withColumn("block", F.floor((F.row_number().over(w) - 1) / BLOCK_ROWS)).join(sets.select("id", "bits"), "id").groupBy("key", "block").agg(
-        F.collect_list(F.struct("n", "id", "comp", "bits")).alias("rows"), F.min("n").alias("low"), F.max("n").alias("high"))
+    near = F.coalesce(100 * F.lag("n").over(w) >= percent * F.col("n"), F.lit(False)) | F.coalesce(percent * F.lead("n").over(w) <= 100 * F.col("n"), F.lit(False))
+    rows = named.join(once, "key").withColumn("near", near).filter("near").drop("near")  # others have no partner of their size
+    blocks = rows.withColumn("block", F.floor((F.row_number().over(w) - 1) / BLOCK_ROWS)).join(bits, "id").groupBy("key", "block").agg(
+        F.collect_list(F.struct("n", "id", "comp", "bits")).alias("rows"), F.min("n").alias("low"), F.max("n").alias("high")).filter("size(rows) > 1 or block > 0")
     blocks = scratch.keep(blocks)
-    left = blocks.select("key", F.col("block").alias("i"), F.col("rows").alias("left"), F.col("high").alias("high_left"))
-    right = blocks.select("key", F.col("block").alias("j"), F.col("rows").alias("right"), F.col("low").alias("low_right"))
-    meet = left.join(right, "key").filter(f"i <= j and {percent} * low_right <= 100 * high_left").select("left", "right")
+    many = blocks.groupBy("key").agg(F.count("*").alias("blocks")).filter("blocks > 1").select("key")
+    several = blocks.join(many, "key", "left_semi")
+    left = several.select("key", F.col("block").alias("i"), F.col("rows").alias("left"), F.col("high").alias("high_left"))
+    right = several.select("key", F.col("block").alias("j"), F.col("rows").alias("right"), F.col("low").alias("low_right"))
+    meet = left.join(right, "key").filter(f"i < j and {percent} * low_right <= 100 * high_left").select("left", "right")
+    meet = meet.unionByName(blocks.select(F.col("rows").alias("left"), F.lit(None).cast(blocks.schema["rows"].dataType).alias("right")))
+
+    def columns(cell):
+        rows = cell.values
+        sizes = np.array([len(x) for x in rows.field("bits").to_pylist()])
+        return np.asarray(rows.field("n")), np.asarray(rows.field("id")), np.asarray(rows.field("comp")), [np.frombuffer(x, dtype=np.uint64) for x in rows.field("bits").to_pylist()], sizes // 8
 
     def compare(batches):
         for big in batches:
             for at in range(big.num_rows):
                 one = big.slice(at, 1)
-                a, b = one.column(0)[0].as_py(), one.column(1)[0].as_py()
-                out = []
-                n = np.array([r["n"] for r in b])
-                comp = np.array([r["comp"] for r in b])
-                by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-                for i, r in enumerate(b):
-                    by_size.setdefault(len(r["bits"]), ([], []))[0].append(i)
-                stacks = {size: (np.array(at_), np.frombuffer(b"".join(b[i]["bits"] for i in at_), dtype=np.uint8).reshape(len(at_), size)) for size, (at_, _) in by_size.items()}
-                for r in a:
-                    own = np.frombuffer(r["bits"], dtype=np.uint8)
-                    for size, (where, stack) in stacks.items():
-                        small = min(size, len(own))
-                        gap = np.bitwise_count(fold(stack, small) ^ fold(own, small)).sum(axis=1)
-                        m = n[where]
-                        # the least overlap leaves (1 - p) / (1 + p) of both sizes as their difference
-                        ok = ((100 + percent) * gap <= (100 - percent) * (m + r["n"])) & (comp[where] != r["comp"])
-                        out += [(min(r["id"], b[i]["id"]), max(r["id"], b[i]["id"])) for i in where[ok]]
-                pairs = sorted(set(out))
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], names=["a", "b"])
-
-    return meet.mapInArrow(compare, "a long, b long").distinct()
+                na, ia, ca, xa, sa = columns(one.column(0)[0])
+                nb, ib, cb, xb, sb = columns(one.column(1)[0]) if one.column(1)[0].is_valid else (na, ia, ca, xa, sa)
+                gaps = np.full((len(na), len(nb)), -1, dtype=np.int64)
+                for size in np.unique(sb):
+                    where = np.flatnonzero(sb == size)
+                    stack = np.stack([xb[i] for i in where])
+                    for r in range(len(na)):
+                        small = min(size, sa[r])
+                        gap = np.maximum(np.bitwise_count(fold(stack, small) ^ fold(xa[r], small)).sum(axis=1, dtype=np.int64), np.abs(nb[where] - na[r]))
+                        ok = ((100 + percent) * gap <= (100 - percent) * (nb[where] + na[r])) & (cb[where] != ca[r])
+                        gaps[r, where[ok]] = gap[ok]
+                r, c, cut = spanning_pairs(gaps, ca, cb, more)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ia[r], ib[c])), pa.array(np.maximum(ia[r], ib[c])), pa.array(cut)], names=["a", "b", "cut"])
+
+    found = scratch.keep(meet.mapInArrow(compare, "a long, b long, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut")))
+    scratch.drop(blocks)
+    return found
+
+
+def _settle(entries: DataFrame, bits: DataFrame, texts: DataFrame, comps: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Components after all links within entries. Two components need one link, so the likeliest pairs go first.
+
+    Each round verifies a spanning forest over an entry's components and the nearest pairs of each two. Entries where two have
+    further pairs go on, with more of them; the rounds end when every pair of different components that their bitmaps
+    let pass has been verified.
+    """
+    more, tried = FIRST_PAIRS, None
+    while True:
+        found = _cross_pairs(entries, bits, comps, percent, more, scratch)
+        new = found.select("a", "b") if tried is None else found.select("a", "b").join(tried, ["a", "b"], "left_anti")
+        new = scratch.keep(new)
+        if not new.isEmpty():
+            good = scratch.keep(_verified(new, _token_sets(texts, new, k, scratch), percent))
+            if not good.isEmpty():
+                comps = scratch.keep(connected_components(good.union(comps.select(F.col("id").alias("a"), F.col("component_id").alias("b"))), scratch))
+        cut = found.filter("cut")
+        if cut.isEmpty():
+            return comps
+        entries = scratch.keep(entries.join(entries.join(cut.select(F.col("a").alias("id")).distinct(), "id", "left_semi").select("key").distinct(), "key", "left_semi"))
+        tried = new if tried is None else scratch.keep(tried.union(new))
+        more *= PAIRS_GROW
 
 
 def jaccard_join(docs: DataFrame, scratch: Scratch, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n, component_id) for every row of docs: size of its set and the smallest id reachable by links."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     profile = scratch.keep(_profile(texts, k))
-    rows = profile.filter("block is null").select("id", "n", "fp1", "fp2")
     level = _levels(profile)
     table = docs.sparkSession.sparkContext.broadcast(level)  # 2^20 bytes at any input size
+    rows = scratch.keep(profile.filter("block is null").select("id", "n", "fp1", "fp2"))
+    scratch.drop(profile)
     classes = scratch.keep(rows.filter("n > 0").groupBy("n", "fp1", "fp2").agg(F.min("id").alias("rep")))
     reps = classes.filter("rep is not null").select(F.col("rep").alias("id")).distinct()
 
@@ -263,50 +339,26 @@ def jaccard_join(docs: DataFrame, scratch: Scratch, k: int = 3, percent: int = 9
         for b in _sliced(batches):
             sets = [shingle_set(t, k) for t in b.column(1).to_pylist()]
             keys = [prefix_keys(x, lev[(x >> _U(64 - BUCKET_BITS)).astype(np.int64)], percent) for x in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int32()), _nested(keys)], names=["id", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int32()), _nested(keys), pa.array([parity_bits(x) for x in sets], pa.binary())], names=["id", "n", "keys", "bits"])
 
-    entries = texts.mapInArrow(index, "id long, n int, keys array<long>").join(reps, "id", "left_semi").select("id", "n", F.explode("keys").alias("key"))
+    indexed = scratch.keep(texts.mapInArrow(index, "id long, n int, keys array<long>, bits binary").filter("size(keys) > 0").join(reps, "id", "left_semi"))
+    bits = indexed.select("id", "n", "bits")
     w = W.partitionBy("key").orderBy("n", "id")
-    shared = scratch.keep(entries.select(
+    shared = scratch.keep(indexed.select("id", "n", F.explode("keys").alias("key")).select(
         "key", "id", "n", F.lag("id").over(w).alias("last"), F.lag("n").over(w).alias("last_n"), F.first("id").over(w).alias("first"), F.first("n").over(w).alias("first_n"),
-        F.lead("id").over(w).alias("next")).filter("last is not null or next is not null"))
-    fits = f"a <> b and {percent} * nb <= 100 * na"
-    pairs = shared.filter("last is not null").select("id", "n", F.explode(F.array(F.struct(F.col("last").alias("o"), F.col("last_n").alias("m")), F.struct(F.col("first").alias("o"), F.col("first_n").alias("m")))).alias("x")).select(
-        F.col("x.o").alias("a"), F.col("id").alias("b"), F.col("x.m").alias("na"), F.col("n").alias("nb")).filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = scratch.keep(pairs)
-
-    involved = shared.select("id").distinct()
-    bits = 1 << 3
-    while bits < min(BLOOM_HIGH, max(BLOOM_LOW, 8 * pairs.count())):
-        bits *= 2
-    at = F.pmod(F.xxhash64("id"), F.lit(bits))
-    marks = np.zeros(bits // 8, dtype=np.uint8)
-    # bitmap buckets and positions count from value 1: bucket g holds the values from (g - 1) * 32768 + 1
-    for r in involved.select((at + 1).alias("h")).groupBy(F.expr("bitmap_bucket_number(h)").alias("g")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("m")).toLocalIterator():
-        part = np.frombuffer(r.m, dtype=np.uint8)[: len(marks)]
-        begin = (r.g - 1) * 4096
-        marks[begin:begin + len(part)] |= part[: len(marks) - begin]
-    marked = docs.sparkSession.sparkContext.broadcast(marks)  # at most BLOOM_HIGH bits
-
-    def tokens(batches):
-        m = np.unpackbits(marked.value, bitorder="little")
-        for b in _sliced(batches):
-            h = np.asarray(b.column(2))
-            pick = np.flatnonzero(m[h])
-            b = b.take(pa.array(pick))
-            sets = [shingle_set(t, k) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), _nested(sets), pa.array([parity_bits(x) for x in sets], pa.binary())], names=["id", "tokens", "bits"])
-
-    sets = texts.filter("id is not null").withColumn("h", at).mapInArrow(tokens, "id long, tokens array<long>, bits binary").join(involved, "id", "left_semi")
-    sets = scratch.keep(sets)
-    links = scratch.keep(_verified(pairs, sets, percent).distinct())
+        F.count("*").over(W.partitionBy("key")).alias("m")).filter("m > 1"))
+    # the member whose entries are shared most is likeliest the original of near copies
+    score = shared.groupBy("id").agg(F.sum("m").alias("score"))
+    many = shared.filter("m > 3").select("key", "id", "n")
+    hub = many.join(score, "id").groupBy("key").agg(F.expr("max(struct(score, id, n))").alias("h")).select("key", F.col("h.id").alias("hub"), F.col("h.n").alias("hub_n"))
+    stars = [shared.filter("last is not null").select("id", "n", F.col("last").alias("o"), F.col("last_n").alias("m")), shared.select("id", "n", F.col("first").alias("o"), F.col("first_n").alias("m")),
+             many.join(hub, "key").select("id", "n", F.col("hub").alias("o"), F.col("hub_n").alias("m"))]
+    pairs = reduce(DataFrame.unionByName, stars).filter(f"o <> id and {percent} * greatest(n, m) <= 100 * least(n, m)").select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
+    near = scratch.keep(_within_bound(pairs, bits, percent))
+    links = scratch.keep(_verified(near, _token_sets(texts, near, k, scratch), percent))
     comps = scratch.keep(connected_components(links, scratch))
-    many = shared.join(shared.groupBy("key").agg(F.count("*").alias("m")).filter("m > 3").select("key"), "key", "left_semi").select("key", "id", "n")
-    cross = scratch.keep(_cross_pairs(many, sets, comps, percent, scratch))
-    if not cross.isEmpty():
-        more = _verified(cross, sets, percent)
-        comps = scratch.keep(connected_components(links.union(more).distinct(), scratch))
-    scratch.drop(shared, sets)
+    comps = _settle(many, bits.select("id", "bits"), texts, comps, k, percent, scratch)
+    scratch.drop(shared, indexed)
     named = classes.join(comps.select(F.col("id").alias("rep"), F.col("component_id").alias("found")), "rep", "left").select("n", "fp1", "fp2", F.coalesce("found", "rep").alias("component_id"))
     return rows.join(named, ["n", "fp1", "fp2"], "left").select("id", "n", F.coalesce("component_id", "id").alias("component_id"))
 
