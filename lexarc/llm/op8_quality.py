@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, crc_mod, read
+from .common import Scratch, bitmap, crc_mod, position, read
 from .textstats import points, tables
 
 FEATURES = 256
@@ -189,12 +189,46 @@ def classify(stats: DataFrame, classifier: Classifier, id_col: str = "doc_id") -
     return stats.select(id_col, "stats").mapInArrow(run, f"`{id_col}` {kind}, score double")
 
 
+def _labelled(stats: DataFrame, labels: DataFrame, folds: int) -> DataFrame:
+    """(stats, y, calibrate) of the documents with a label outside fold 0."""
+    y = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("y"))
+    return stats.filter(crc_mod("doc_id", folds) != 0).join(y, "doc_id").select("stats", "y", (crc_mod("doc_id", folds) == 1).alias("calibrate"))
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, scratch: Scratch, folds: int = 5) -> DataFrame:
     """(doc_id, score) for each row of docs, learned from labels(doc_id, quality) outside fold 0."""
     stats = scratch.keep(describe(docs.select("doc_id", "text")))
-    y = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("y"))
-    rows = stats.filter(crc_mod("doc_id", folds) != 0).join(y, "doc_id").select("stats", "y", (crc_mod("doc_id", folds) == 1).alias("calibrate"))
-    return classify(stats, fit(scratch.keep(rows)))
+    return classify(stats, fit(scratch.keep(_labelled(stats, labels, folds))))
+
+
+def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, folds: int = 5) -> Classifier:
+    """The classifier alone. A bitmap of the labelled ids spares the other documents the statistics."""
+    bits, marks = bitmap(labels.filter("doc_id is not null and quality is not null"), "doc_id")
+    marked = docs.sparkSession.sparkContext.broadcast(marks)  # of bounded size
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def labelled(batches):
+        m = np.unpackbits(marked.value, bitorder="little")
+        for b in batches:
+            b = b.take(pa.array(np.flatnonzero(m[np.asarray(b.column(2))])))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["doc_id", "text"])
+
+    some = docs.filter("doc_id is not null").select("doc_id", "text", position("doc_id", bits).alias("h")).mapInArrow(labelled, f"doc_id {kind}, text string")
+    return fit(scratch.keep(_labelled(describe(some), labels, folds)))
+
+
+def keep_above(docs: DataFrame, classifier: Classifier, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows whose text scores at least the threshold, with all their columns."""
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        for big in batches:
+            for at in range(0, big.num_rows, SLICE):
+                b = big.slice(at, SLICE)
+                score = classifier.score(np.array([statistics(x or "") for x in b.column(place).to_pylist()]))
+                yield b.take(pa.array(np.flatnonzero(score >= threshold)))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
