@@ -34,7 +34,7 @@ from .components import connected_components
 from .wordhash import _U, _mix, word_hashes
 
 #: Buckets of the corpus counts, in blocks.
-BUCKET_BITS, BLOCK = 20, 8192
+BUCKET_BITS, BLOCK = 22, 65_536
 BLOCK_ROWS = 1024
 #: Up to so many ids of eight bytes go to every executor.
 BROADCAST_IDS = 100_000
@@ -91,8 +91,8 @@ def prefix_keys(s: np.ndarray, level: np.ndarray, percent: int) -> np.ndarray:
 
 
 def parity_bits(s: np.ndarray) -> bytes:
-    """Parity of the tokens in each of at least len(s) cells; two sets differ in no fewer tokens than cells."""
-    cells = 1 << max(6, len(s).bit_length())
+    """Parity of the tokens in each of about half as many cells; two sets differ in no fewer tokens than cells."""
+    cells = 1 << max(6, len(s).bit_length() - 1)
     return np.packbits(np.bincount((s & _U(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
@@ -161,7 +161,7 @@ def _levels(profile: DataFrame) -> np.ndarray:
     for r in once.groupBy("block").applyInArrow(add, "block int, counts binary").collect():  # a fixed number of buckets
         out[r.block * BLOCK:(r.block + 1) * BLOCK] = np.frombuffer(r.counts, dtype=np.uint64)
     usual = float(np.median(out))
-    bound = max(64.0, usual + 8 * np.sqrt(usual + 1) + 32)
+    bound = max(16.0, usual + 8 * np.sqrt(usual + 1))
     return np.where(out > bound, np.clip(1 + 4 * np.log2(np.maximum(out, 1) / bound), 1, 255), 0).astype(np.uint8)
 
 
@@ -328,7 +328,7 @@ def jaccard_join(docs: DataFrame, scratch: Scratch, k: int = 3, percent: int = 9
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     profile = scratch.keep(_profile(texts, k))
     level = _levels(profile)
-    table = docs.sparkSession.sparkContext.broadcast(level)  # 2^20 bytes at any input size
+    table = docs.sparkSession.sparkContext.broadcast(level)  # 2^22 bytes at any input size
     rows = scratch.keep(profile.filter("block is null").select("id", "n", "fp1", "fp2"))
     scratch.drop(profile)
     classes = scratch.keep(rows.filter("n > 0").groupBy("n", "fp1", "fp2").agg(F.min("id").alias("rep")))
