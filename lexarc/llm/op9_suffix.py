@@ -8,7 +8,8 @@ nearest in that order, and matches extend right and left. Where left and right t
 position's surroundings are a repeat; overlapping surroundings of a document merge to spans.
 
 Positions count words between white space (`[^\\x20\\x09-\\x0D]+`); case counts. Texts that are equal as a whole are
-sorted once, and repeat as a whole if they have MIN_WORDS words. A repeat may lie in the same text. Null, empty and short
+sorted once, and repeat as a whole if they have MIN_WORDS words. A repeat may lie in the same text; where it overlaps
+itself (a run of one word that is shorter than two passages) it may be missed. Null, empty and short
 texts have no spans. Every row gives one row; repeated rows are copies of each other. In a run of equal seeds
 (one word over and over) every RUN-th position and the last are kept.
 
@@ -172,8 +173,9 @@ def _matches(ordered: DataFrame) -> DataFrame:
             yield spans(both, b.num_rows)
             held = both.slice(max(0, both.num_rows - NEIGHBOURS))
         if held is not None:
-            if n > NEIGHBOURS:
-                yield edge(head, range(NEIGHBOURS))
+            apart = min(NEIGHBOURS, n - held.num_rows)
+            if apart:
+                yield edge(head.slice(0, apart), range(apart))
             yield edge(held, range(n - held.num_rows, n))
 
     return ordered.mapInArrow(run, "id long, first int, last int, part int, n int, seed long, right binary, left binary, pos int")
