@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -20,6 +22,12 @@ def json_rows(topics: DataFrame) -> DataFrame:
     return topics.select("transcript_id", F.row_number().over(w).alias("n"), F.to_json(F.struct(*sorted(PUBLIC)), {"ignoreNullFields": "false"}).alias("entry"))
 
 
+def json_document(topics: DataFrame, transcript_id: int) -> str:
+    """One transcript's index as indented JSON with sorted keys, for a reader rather than a later stage."""
+    rows = topics.filter(F.col("transcript_id") == transcript_id).orderBy(*CHRONOLOGICAL).select(*PUBLIC).collect()
+    return json.dumps([r.asDict() for r in rows], ensure_ascii=False, indent=2, sort_keys=True)
+
+
 def markdown_rows(topics: DataFrame) -> DataFrame:
     """(transcript_id, n, row): lines of the topic table."""
     w = W.partitionBy("transcript_id").orderBy(*CHRONOLOGICAL)

@@ -37,8 +37,19 @@ def related(topics: DataFrame) -> DataFrame:
     return topics.select("transcript_id", "topic_id", F.explode("related_topic_ids").alias("related_id")).join(other, ["transcript_id", "related_id"])
 
 
+def detail(topics: DataFrame, lines: DataFrame | None, topic_id: str) -> dict[str, DataFrame | bool]:
+    """A topic of each transcript, the topics related to it, and its source lines; without a transcript no lines."""
+    from .provenance import source_lines
+
+    one = lookup(topics, topic_id)
+    return {"topic": one, "related": related(topics).join(one.select("transcript_id", "topic_id"), ["transcript_id", "topic_id"], "left_semi"),
+            "source_lines": source_lines(one, lines) if lines is not None else one.limit(0), "transcript_available": lines is not None}
+
+
 def ranked(topics: DataFrame, q: str, k: int = 8) -> DataFrame:
     """The k topics of each transcript nearest to q; term weights come from its topics and the query together."""
+    if len(q) < 2:
+        raise ValueError("a query has at least two characters")
     docs = topics.select("transcript_id", F.col("topic_no").alias("doc"), F.concat_ws(" ", "topic", "supporting_evidence").alias("t"))
     docs = docs.unionByName(topics.select("transcript_id").distinct().select("transcript_id", F.lit(0).alias("doc"), F.lit(q).alias("t")))
     weights = T.tfidf(T.term_counts(docs, ["transcript_id", "doc"], "t"), ["transcript_id"], "doc", docs.groupBy("transcript_id").agg(F.count("*").alias("n")))

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
@@ -30,6 +31,12 @@ def load_or_none(spark: SparkSession, path: str, schema: StructType | str | None
         return None
 
 
+def stored_report(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
+    """A report that a run or a reviewer left, with available = true; one row with available = false if there is none."""
+    found = load_or_none(spark, path, schema, "json")
+    return spark.createDataFrame([(False,)], "available boolean") if found is None else found.withColumn("available", F.lit(True))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir, which all executors see; a temporary folder where it is unset and the master is local."""
     known = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)

@@ -5,8 +5,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from lexarc.config import EngineConfig
-from lexarc.operators import completeness, layout, provenance, roles, search, segment, speakers, topics, turns
-from lexarc.sources.artifacts import ArtifactMissing, load, load_or_none
+from lexarc.operators import completeness, layout, provenance, reports, roles, search, segment, speakers, topics, turns
+from lexarc.sources.artifacts import ArtifactMissing, load, load_or_none, stored_report
 
 
 def column(spark, value, expr):
@@ -133,6 +133,27 @@ def test_artifacts(spark, tmp_path):
     assert load(spark, str(tmp_path / "a.json"), "chunk_id string, text string", "json").first().chunk_id == "C001"
 
 
+def test_stored_report(spark, tmp_path):
+    assert stored_report(spark, str(tmp_path / "none.json")).first().available is False
+    (tmp_path / "r.json").write_text('{"location_accuracy_pct": 100.0}')
+    r = stored_report(spark, str(tmp_path / "r.json"), "location_accuracy_pct double").first()
+    assert r.available and r.location_accuracy_pct == 100.0
+
+
+def test_json_and_detail(spark, sf):
+    import json
+
+    from lexarc.plans.pipeline import Transcripts
+
+    t = Transcripts.of(spark, sf)
+    rows = json.loads(reports.json_document(t.index, 0))
+    assert rows and list(rows[0]) == sorted(rows[0]) and rows[0]["topic_id"] == "T001"
+    d = search.detail(t.index, t.lines, "T001")
+    assert d["source_lines"].count() == len(rows[0]["source_ids"]) and search.detail(t.index, None, "T001")["transcript_available"] is False
+    with pytest.raises(ValueError):
+        search.ranked(t.index, "x")
+
+
 def test_config():
     assert EngineConfig.from_env({"LEXARC_CHUNK_CHARS": "0", "LEXARC_CHUNK_MAX_UNITS": "3"}) == EngineConfig(chunk_max_units=3)
 
