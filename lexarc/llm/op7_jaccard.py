@@ -39,7 +39,7 @@ BLOCK_ROWS = 1024
 #: Up to so many ids of eight bytes go to every executor.
 BROADCAST_IDS = 100_000
 #: Pairs of two components that the first round of the second pass verifies, and how much each further round takes more.
-FIRST_PAIRS, PAIRS_GROW = 64, 16
+FIRST_PAIRS, PAIRS_GROW = 4, 16
 SLICE = 256
 def shingle_set(text: str | None, k: int) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles."""
@@ -152,17 +152,22 @@ def _levels(profile: DataFrame) -> np.ndarray:
     """Level of each bucket: 0 where its count is within what rare tokens alone would give, above on a log scale."""
 
     def add(key, table):
-        total = sum(np.frombuffer(x, dtype=np.uint32 if len(x) == BLOCK * 4 else np.uint64).astype(np.uint64) for x in table.column("counts").to_pylist())
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+        total = np.zeros(BLOCK, dtype=np.uint64)
+        for x in table.column("counts").to_pylist():
+            total += np.frombuffer(x, dtype=np.uint32)
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())})
 
     parts = profile.filter("block is not null").select("block", "counts", F.pmod(F.xxhash64("counts"), F.lit(32)).alias("s"))
     once = parts.groupBy("block", "s").applyInArrow(add, "block int, counts binary")
-    out = np.zeros(1 << BUCKET_BITS, dtype=np.uint64)
-    for r in once.groupBy("block").applyInArrow(add, "block int, counts binary").collect():  # a fixed number of buckets
-        out[r.block * BLOCK:(r.block + 1) * BLOCK] = np.frombuffer(r.counts, dtype=np.uint64)
+    out = np.zeros(1 << BUCKET_BITS, dtype=np.uint32)
+    for r in once.groupBy("block").applyInArrow(add, "block int, counts binary").toLocalIterator():  # a fixed number of buckets
+        out[r.block * BLOCK:(r.block + 1) * BLOCK] = np.frombuffer(r.counts, dtype=np.uint32)
     usual = float(np.median(out))
     bound = max(16.0, usual + 8 * np.sqrt(usual + 1))
-    return np.where(out > bound, np.clip(1 + 4 * np.log2(np.maximum(out, 1) / bound), 1, 255), 0).astype(np.uint8)
+    level = np.zeros(len(out), dtype=np.uint8)
+    high = np.flatnonzero(out > bound)
+    level[high] = np.clip(1 + 4 * np.log2(out[high] / bound), 1, 255).astype(np.uint8)
+    return level
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -256,11 +261,12 @@ def _cross_pairs(entries: DataFrame, bits: DataFrame, comps: DataFrame, percent:
     cut tells that two components have further pairs. Members meet in blocks of bounded size.
     """
     named = entries.join(comps, "id", "left").select("key", "id", "n", F.coalesce("component_id", "id").alias("comp"))
-    mixed = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")).filter("x <> y")
-    once = mixed.groupBy("m", "who").agg(F.min("key").alias("key")).select("key")  # entries with the same members need one look
+    mixed = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
     w = W.partitionBy("key").orderBy("n", "id")
     near = F.coalesce(100 * F.lag("n").over(w) >= percent * F.col("n"), F.lit(False)) | F.coalesce(percent * F.lead("n").over(w) <= 100 * F.col("n"), F.lit(False))
-    rows = named.join(once, "key").withColumn("near", near).filter("near").drop("near")  # others have no partner of their size
+    rows = scratch.keep(named.join(mixed, "key", "left_semi").withColumn("near", near).filter("near").drop("near"))  # others have no partner of their size
+    alike = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")).filter("x <> y")
+    rows = rows.join(alike.groupBy("m", "who").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")  # entries with the same members need one look
     blocks = rows.withColumn("block", F.floor((F.row_number().over(w) - 1) / BLOCK_ROWS)).join(bits, "id").groupBy("key", "block").agg(
         F.collect_list(F.struct("n", "id", "comp", "bits")).alias("rows"), F.min("n").alias("low"), F.max("n").alias("high")).filter("size(rows) > 1 or block > 0")
     blocks = scratch.keep(blocks)
@@ -277,6 +283,7 @@ def _cross_pairs(entries: DataFrame, bits: DataFrame, comps: DataFrame, percent:
         return np.asarray(rows.field("n")), np.asarray(rows.field("id")), np.asarray(rows.field("comp")), [np.frombuffer(x, dtype=np.uint64) for x in rows.field("bits").to_pylist()], sizes // 8
 
     def compare(batches):
+        told: set[tuple[int, int, bool]] = set()  # pairs that recent entries gave, of bounded number
         for big in batches:
             for at in range(big.num_rows):
                 one = big.slice(at, 1)
@@ -292,7 +299,11 @@ def _cross_pairs(entries: DataFrame, bits: DataFrame, comps: DataFrame, percent:
                         ok = ((100 + percent) * gap <= (100 - percent) * (nb[where] + na[r])) & (cb[where] != ca[r])
                         gaps[r, where[ok]] = gap[ok]
                 r, c, cut = spanning_pairs(gaps, ca, cb, more)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ia[r], ib[c])), pa.array(np.maximum(ia[r], ib[c])), pa.array(cut)], names=["a", "b", "cut"])
+                new = [x for x in zip(np.minimum(ia[r], ib[c]).tolist(), np.maximum(ia[r], ib[c]).tolist(), cut.tolist(), strict=True) if x not in told]
+                if len(told) > 500_000:
+                    told.clear()
+                told.update(new)
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in new], pa.int64()), pa.array([x[1] for x in new], pa.int64()), pa.array([x[2] for x in new], pa.bool_())], names=["a", "b", "cut"])
 
     found = scratch.keep(meet.mapInArrow(compare, "a long, b long, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut")))
     scratch.drop(blocks)
