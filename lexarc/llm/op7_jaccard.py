@@ -35,11 +35,11 @@ from .wordhash import _U, _mix, word_hashes
 
 #: Buckets of the corpus counts, in blocks.
 BUCKET_BITS, BLOCK = 22, 65_536
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 512
 #: Up to so many ids of eight bytes go to every executor.
 BROADCAST_IDS = 100_000
 #: Pairs of two components that the first round of the second pass verifies, and how much each further round takes more.
-FIRST_PAIRS, PAIRS_GROW = 4, 16
+FIRST_PAIRS, PAIRS_GROW = 16, 64
 SLICE = 256
 def shingle_set(text: str | None, k: int) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles."""
@@ -129,8 +129,11 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
 
         def flush():
             if waiting:
-                total[:] += np.bincount((np.concatenate(waiting) >> _U(64 - BUCKET_BITS)).astype(np.int64), minlength=len(total)).astype(np.uint32)
+                at = (np.concatenate(waiting) >> _U(64 - BUCKET_BITS)).astype(np.int32)
                 waiting.clear()
+                for begin in range(0, len(total), len(total) // 8):  # a part at a time, since bincount makes wide sums
+                    part = total[begin:begin + len(total) // 8]
+                    part += np.bincount(at[(at >= begin) & (at < begin + len(part))] - begin, minlength=len(part)).astype(np.uint32)
 
         for b in _sliced(batches):
             sets = [shingle_set(t, k) for t in b.column(1).to_pylist()]
@@ -235,14 +238,14 @@ def spanning_pairs(gaps: np.ndarray, ca: np.ndarray, cb: np.ndarray, more: int)
     count = np.diff(np.concatenate((begin, [len(pair)])))
     rank = np.arange(len(pair)) - np.repeat(begin, count)
     take = rank < more
-    far = np.iinfo(np.int64).max
-    d = np.full((len(names), len(names)), far)
+    far = np.iinfo(np.int32).max
+    d = np.full((len(names), len(names)), far, dtype=np.int32)
     which = np.zeros_like(d)
     x, y = pair[begin] // len(names), pair[begin] % len(names)
     d[x, y] = d[y, x] = g[begin]
     which[x, y] = which[y, x] = begin
     outside = np.ones(len(names), bool)
-    near, via = np.full(len(names), far), np.zeros(len(names), dtype=np.int64)
+    near, via = np.full(len(names), far, dtype=np.int32), np.zeros(len(names), dtype=np.int64)
     for _ in range(len(names)):
         u = int(np.where(outside, near, far).argmin())
         if near[u] == far or not outside[u]:
@@ -289,7 +292,7 @@ def _cross_pairs(entries: DataFrame, bits: DataFrame, comps: DataFrame, percent:
                 one = big.slice(at, 1)
                 na, ia, ca, xa, sa = columns(one.column(0)[0])
                 nb, ib, cb, xb, sb = columns(one.column(1)[0]) if one.column(1)[0].is_valid else (na, ia, ca, xa, sa)
-                gaps = np.full((len(na), len(nb)), -1, dtype=np.int64)
+                gaps = np.full((len(na), len(nb)), -1, dtype=np.int32)
                 for size in np.unique(sb):
                     where = np.flatnonzero(sb == size)
                     stack = np.stack([xb[i] for i in where])
