@@ -33,6 +33,10 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
+#: Rows that pass to Python at once while a table is written: they can hold long texts or blocks of bitmaps.
+BATCH_ROWS = 256
+
+
 class Scratch:
     """Intermediate tables as Parquet in the shared folder: they cut lineage and outlive executors.
 
@@ -48,7 +52,13 @@ class Scratch:
         path = f"{self.root}/{self.n}"
         self.n += 1
         schema = df.schema
-        df.write.option("compression", "zstd").parquet(path)
+        conf, name = self.spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        usual = conf.get(name)
+        conf.set(name, str(min(int(usual), BATCH_ROWS) if int(usual) > 0 else BATCH_ROWS))
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            conf.set(name, usual)
         out = self.spark.read.schema(schema).parquet(path)
         out._lexarc_path = path
         return out

@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from .common import read
 
 CHUNK, OVERLAP = 32_768, 1_024
-CACHE = 150_000
+CACHE = 60_000
 
 
 class Codec:
