@@ -3,9 +3,9 @@
 Vectors are compared within their label. Equal vectors of a label form one class first. Each label's classes are dealt
 to shards of bounded size by a hash of their id, and each shard builds a hierarchical navigable small-world graph. Every
 class queries every shard of its label, in blocks of bounded size. A query whose whole beam is similar enough has not
-reached the edge of its neighbourhood and goes again with a beam twice as wide; a block whose audit (a fixed number of
-its queries against all vectors of the shard) finds less than AUDIT_RECALL of the true links goes again as a whole. Beams stop
-growing at the size of the shard, where the search is exhaustive. Candidates count when their cosine in double precision
+reached the edge of its neighbourhood and goes again with a beam twice as wide. Then every block is audited: a fixed number of
+its queries go against all vectors of the shard, and if one of them lacks more than 1 - AUDIT_RECALL of its own true links, the
+whole block goes again with wider beams. A query whose beam would hold the whole shard is multiplied with all its vectors. Candidates count when their cosine in double precision
 reaches the threshold, and links union to components.
 
 Vectors that are null, empty, zero, or hold null or non-finite values, and those without a label or id, link with nothing.
@@ -41,26 +41,28 @@ def range_search(graph: Graph, unit: np.ndarray, threshold: float) -> tuple[np.n
     """(query, node) pairs with a similarity of at least threshold - SLACK, widening beams as the module describes."""
     n, floor = len(graph.x), threshold - SLACK
     audit = np.arange(0, len(unit), max(1, len(unit) // AUDITS))[:AUDITS]
-    truth = unit[audit] @ graph.x.T >= floor
+    truth = [np.flatnonzero(t) for t in unit[audit] @ graph.x.T >= threshold - SLACK / 2]
     left, right = [], []
-    todo, ef = np.arange(len(unit)), min(BEAM, n)
+    todo, width, exact = np.arange(len(unit)), np.full(len(unit), min(BEAM, n)), np.zeros(len(unit), bool)
     hits: dict[int, np.ndarray] = {}
     while len(todo):
-        again = []
-        for at in range(0, len(todo), BATCH):
-            rows = todo[at:at + BATCH]
-            ids, sim = graph.search(unit[rows], ef)
-            for i, r in enumerate(rows):
-                hits[int(r)] = ids[i][sim[i] >= floor]
-            again.append(rows[sim[:, -1] >= floor])
+        again = [todo[:0]]
+        for ef in np.unique(width[todo]):
+            same = todo[width[todo] == ef]
+            for at in range(0, len(same), BATCH):
+                rows = same[at:at + BATCH]
+                if ef >= n:
+                    hits.update((int(r), np.flatnonzero(t)) for r, t in zip(rows, unit[rows] @ graph.x.T >= floor, strict=True))
+                    exact[rows] = True
+                    continue
+                ids, sim = graph.search(unit[rows], int(ef))
+                for i, r in enumerate(rows):
+                    hits[int(r)] = ids[i][sim[i] >= floor]
+                again.append(rows[sim[:, -1] >= floor])
         todo = np.concatenate(again)
-        if ef >= n:
-            break
-        ef = min(n, 2 * ef)
-        if not len(todo):
-            found = sum(len(np.intersect1d(hits[int(a)], np.flatnonzero(t))) for a, t in zip(audit, truth, strict=True))
-            if found < AUDIT_RECALL * truth.sum():
-                todo = np.arange(len(unit))
+        if not len(todo) and any(len(np.intersect1d(hits[int(a)], t)) < AUDIT_RECALL * len(t) for a, t in zip(audit, truth, strict=True)):
+            todo = np.flatnonzero(~exact)
+        width[todo] = np.minimum(n, 2 * width[todo])
     for r, ids in hits.items():
         left.append(np.full(len(ids), r))
         right.append(ids)

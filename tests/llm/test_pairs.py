@@ -8,7 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from lexarc.llm import op5_embeddings, op6_chat, op7_jaccard, op9_suffix, op10_decontaminate
+from lexarc.llm import hnsw, op5_embeddings, op6_chat, op7_jaccard, op9_suffix, op10_decontaminate
 from lexarc.llm.common import Scratch, read
 from lexarc.llm.components import connected_components
 
@@ -131,6 +131,29 @@ def test_embeddings(spark):
     assert got == {i: (n[i], root[i]) for i, _, _ in rows}
 
 
+@pytest.mark.parametrize("cluster,lost", [(700, 60), (400, 2)])
+def test_audit_beside_a_cluster(cluster, lost):
+    """Pairs that the graph doesn't reach are found, whether the cluster saturates the whole shard or outweighs them."""
+    rng = np.random.default_rng(4)
+    n, centre = 1000, rng.normal(size=32)
+    x = np.concatenate([centre + rng.normal(size=(cluster, 32)) * 0.02, rng.normal(size=(n - cluster, 32))])
+    order = np.concatenate([np.arange(100), 100 + rng.permutation(n - 100)])
+    x = x[order]
+    alone = np.flatnonzero(order >= cluster)
+    audited = np.arange(0, n, n // 64)[:64]
+    cut = np.intersect1d(alone, audited)[:1] if lost == 2 else alone[:lost]
+    cut = np.concatenate([cut, alone[~np.isin(alone, audited)][-len(cut):]]) if lost == 2 else cut
+    half = len(cut) // 2
+    x[cut[half:]] = x[cut[:half]] + rng.normal(size=(half, 32)) * 0.01
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    graph = hnsw.Graph.build(x)
+    for layer in graph.layers:
+        layer[np.isin(layer, cut)] = -1
+    i, j = op5_embeddings.range_search(graph, x, 0.93)
+    want = np.argwhere(x @ x.T >= 0.93)
+    assert {tuple(p) for p in want.tolist()} <= set(zip(i.tolist(), j.tolist(), strict=True))
+
+
 def test_chat(spark, sf):
     con = duckdb.connect()
     con.execute(f"create view conversations as select * from '{sf}/conversations.parquet'")
