@@ -3,18 +3,17 @@
 Of the suffixes of all texts, only those that begin at content-selected positions are kept: the minimisers, over
 windows of MIN_WORDS - SEED + 1 positions, of the hashes of SEED consecutive words. Any passage of MIN_WORDS words holds
 one with its whole seed, wherever it stands. Seeds that occur once can't begin a repeat and go. The rest, with hashes of
-the words that follow and precede, are sorted by seed and following words; each suffix is compared with the NEIGHBOURS
-nearest in that order, and matches extend right and left. Where left and right together reach MIN_WORDS words, the
-position's surroundings are a repeat; overlapping surroundings of a document merge to spans.
+the words that follow and precede, are sorted by seed and following words. A suffix stands for the passages of MIN_WORDS
+words whose minimiser it is: l words on its left, its seed, and the other words on its right. Two of them that agree in
+l and all their words are a repeat, whatever number of suffixes share the seed. Suffixes are compared in chunks of the
+sorted rows; of the seeds at a chunk's ends, which may go on in the next, one row a passage is compared over all chunks.
+Overlapping passages of a document merge to spans.
 
 Positions count words between white space (`[^\\x20\\x09-\\x0D]+`); case counts. Texts that are equal as a whole are
 sorted once, and repeat as a whole if they have MIN_WORDS words. A repeat may lie in the same text; where it overlaps
 itself (a run of one word that is shorter than two passages) it may be missed. Null, empty and short
 texts have no spans. Every row gives one row; repeated rows are copies of each other. In a run of equal seeds
 (one word over and over) every RUN-th position and the last are kept.
-
-The order is by following words, so a suffix whose nearest neighbours all share less on its left than a far one could
-reach fewer words than it might; at NEIGHBOURS on either side this needs as many partial copies of the same passage.
 """
 
 from __future__ import annotations
@@ -28,29 +27,39 @@ from pyspark.sql import Window as W
 from .common import Scratch, bitmap, position, read
 from .wordhash import _U, _mix, word_hashes
 
-MIN_WORDS, SEED, NEIGHBOURS, RUN = 50, 20, 8, 16
+MIN_WORDS, SEED, RUN = 50, 20, 16
+#: Words of a passage beside its seed.
+BESIDE = MIN_WORDS - SEED
+#: Sorted suffixes compared at once (some 500 bytes each).
+CHUNK = 16_384
 #: Words kept on either side of a seed, at three bytes each.
 SIDE, BYTES = 32, 3
 SLICE = 256
 
 
-def minimisers(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, seeds) kept of a text with word hashes h."""
+def minimisers(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, seeds, reach) kept of a text with word hashes h.
+
+    Reach holds the least and the most words on the left of a position in the passages that it stands for, as 32 * least + most.
+    """
     m = len(h) - SEED + 1
     if len(h) < MIN_WORDS:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     s = np.zeros(m, dtype=np.uint64)
     for i in range(SEED):
         s = s * _U(0x9E3779B97F4A7C15) + h[i:i + m]
     s = _mix(s)
     views = np.lib.stride_tricks.sliding_window_view(s, MIN_WORDS - SEED + 1)
-    at = np.unique(views.argmin(axis=1) + np.arange(len(views)))
+    at, first, count = np.unique(views.argmin(axis=1) + np.arange(len(views)), return_index=True, return_counts=True)
+    reach = 32 * (at - first - count + 1) + at - first
     again = np.concatenate(([False], (s[at[1:]] == s[at[:-1]]) & (np.diff(at) == 1)))
     if again.any():
         begin = np.maximum.accumulate(np.where(again, 0, np.arange(len(at))))
         last = np.concatenate((~again[1:], [True]))
-        at = at[(~again) | ((np.arange(len(at)) - begin) % RUN == 0) | last]
-    return at, s[at]
+        reach[again | ~last] = BESIDE  # those that stay stand for all passages around them
+        keep = (~again) | ((np.arange(len(at)) - begin) % RUN == 0) | last
+        at, reach = at[keep], reach[keep]
+    return at, s[at], reach
 
 
 def _sides(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,19 +71,29 @@ def _sides(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pack(right), pack(left)
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Words that rows of packed sides agree on from the front; a text's end agrees with nothing."""
-    x, y = a.reshape(len(a), SIDE, BYTES), b.reshape(len(b), SIDE, BYTES)
-    same = (x == y).all(axis=2) & x.any(axis=2)
-    return np.where(same.all(axis=1), SIDE, np.argmin(same, axis=1))
+def _passages(seed: np.ndarray, right: np.ndarray, left: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per suffix and number of words on its left, the hash of that passage, and whether the suffix stands for it."""
+
+    def prefixes(a):
+        w = a.reshape(len(a), SIDE, BYTES).astype(np.uint64)
+        w = (w[:, :, 0] << _U(16)) | (w[:, :, 1] << _U(8)) | w[:, :, 2]
+        out = np.zeros((len(a), BESIDE + 1), dtype=np.uint64)
+        for k in range(BESIDE):
+            out[:, k + 1] = _mix(out[:, k] + w[:, k] * _U(0x9E3779B97F4A7C15) + _U(k + 1))
+        return out, (w != 0).cumprod(axis=1).sum(axis=1)[:, None]
+
+    (l, words_left), (r, words_right) = prefixes(left), prefixes(right)
+    k = np.arange(BESIDE + 1)
+    keys = _mix(_mix(l * _U(0xD6E8FEB86659FD93) + r[:, ::-1] + k.astype(np.uint64)) + seed.view(np.uint64)[:, None])
+    return keys, (k >= reach[:, None] // 32) & (k <= reach[:, None] % 32) & (k <= words_left) & (BESIDE - k <= words_right)
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
     return pa.array([r.tobytes() for r in rows], pa.binary())
 
 
-NAMES = ["seed", "right", "left", "id", "pos"]
-SCHEMA = "seed long, right binary, left binary, id long, pos int"
+NAMES = ["seed", "right", "left", "id", "pos", "reach"]
+SCHEMA = "seed long, right binary, left binary, id long, pos int, reach int"
 
 
 def _suffixes(texts: DataFrame, seeds, ids) -> DataFrame:
@@ -92,14 +111,14 @@ def _suffixes(texts: DataFrame, seeds, ids) -> DataFrame:
                 out = []
                 for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     h = word_hashes(t, fold_case=False)
-                    at, s = minimisers(h)
+                    at, s, reach = minimisers(h)
                     keep = m[_places(s, seed_bits)] == 1
-                    at, s = at[keep], s[keep]
+                    at, s, reach = at[keep], s[keep], reach[keep]
                     if len(at):
-                        out.append((s, *_sides(h, at), np.full(len(at), i), at))
+                        out.append((s, *_sides(h, at), np.full(len(at), i), at, reach))
                 if out:
-                    s, right, left, i, at = (np.concatenate(x) for x in zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), _binary(right), _binary(left), pa.array(i.astype(np.int64)), pa.array(at.astype(np.int32))], names=NAMES)
+                    s, right, left, i, at, reach = (np.concatenate(x) for x in zip(*out, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), _binary(right), _binary(left), pa.array(i.astype(np.int64)), pa.array(at.astype(np.int32)), pa.array(reach.astype(np.int32))], names=NAMES)
 
     return texts.filter("text is not null").select("id", "text", position("id", id_bits).alias("h")).mapInArrow(run, SCHEMA)
 
@@ -121,84 +140,47 @@ def _seed_bitmap(seeds: DataFrame, low: int = 1 << 20, high: int = 1 << 27):
     return bits, marks
 
 
-def _compare(seed, right, left, reach_right, reach_left):
-    """Compares sorted suffixes with their neighbours; lengthens reach_right and reach_left where a repeat is long enough."""
-    for step in range(1, min(NEIGHBOURS, len(seed) - 1) + 1):
-        i = np.flatnonzero(seed[step:] == seed[:-step])
-        if not len(i):
-            break
-        r, l = _common(right[i], right[i + step]), _common(left[i], left[i + step])
-        ok = SEED + r + l >= MIN_WORDS
-        i, r, l = i[ok], SEED + r[ok], l[ok]
-        for j in (i, i + step):
-            np.maximum.at(reach_right, j, r)
-            np.maximum.at(reach_left, j, l)
-
-
-def _stack(table: pa.Table):
-    cell = lambda k: np.frombuffer(b"".join(table.column(k).to_pylist()), dtype=np.uint8).reshape(-1, SIDE * BYTES)
-    return np.asarray(table.column(0)), cell(1), cell(2), np.asarray(table.column(3)), np.asarray(table.column(4))
-
-
-def _matches(ordered: DataFrame) -> DataFrame:
-    """(id, first, last) spans of sorted suffixes; (part, side, n, row) of the suffixes next to a partition's ends."""
+def _compare(t: pa.Table) -> pa.RecordBatch:
+    """(id, first, last, key) of sorted suffixes: repeats among them, and with their key passages that others may repeat."""
+    cell = lambda k: np.frombuffer(b"".join(t.column(k).to_pylist()), dtype=np.uint8).reshape(-1, SIDE * BYTES)
+    seed, i, at = (np.asarray(t.column(k)) for k in ("seed", "id", "pos"))
+    keys, own = _passages(seed, cell("right"), cell("left"), np.asarray(t.column("reach")))
+    least, most = np.full(len(seed), BESIDE + 1), np.full(len(seed), -1)
+    ends = (seed == seed[0]) | (seed == seed[-1])
+    open_ = []
+    for l in range(BESIDE + 1):
+        rows = np.flatnonzero(own[:, l])
+        rows = rows[np.argsort(keys[rows, l], kind="stable")]
+        same = np.concatenate(([False], keys[rows[1:], l] == keys[rows[:-1], l], [False])) if len(rows) else np.zeros(1, bool)
+        twice = rows[same[1:] | same[:-1]]
+        least[twice], most[twice] = np.minimum(least[twice], l), l
+        once = rows[~same[:-1] & ends[rows]]
+        open_.append((i[once], at[once] - l, at[once] - l + MIN_WORDS, keys[once, l]))
+    k = np.flatnonzero(most >= 0)
+    ids, first, last, key = (np.concatenate(x) for x in zip(*open_, strict=True))
+    key = pa.concat_arrays([pa.nulls(len(k), pa.int64()), pa.array(key.view(np.int64))])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate((i[k], ids))), pa.array(np.concatenate((at[k] - most[k], first)).astype(np.int32)),
+                                       pa.array(np.concatenate((at[k] - least[k] + MIN_WORDS, last)).astype(np.int32)), key], names=["id", "first", "last", "key"])
+
+
+def _matches(ordered: DataFrame, chunk: int) -> DataFrame:
+    """(id, first, last, key) as _compare gives them for each chunk of sorted suffixes."""
 
     def run(batches):
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        names = ["id", "first", "last", "part", "n", *NAMES[:3], "pos"]
-        held, head, n = None, None, 0
-
-        def spans(t, fresh):
-            seed, right, left, i, at = _stack(t)
-            rr, rl = np.zeros(len(seed), dtype=np.int64), np.zeros(len(seed), dtype=np.int64)
-            _compare(seed, right, left, rr, rl)
-            k = np.flatnonzero(rr)
-            m = len(k)
-            return pa.RecordBatch.from_arrays([pa.array(i[k]), pa.array((at[k] - rl[k]).astype(np.int32)), pa.array((at[k] + rr[k]).astype(np.int32)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int32())], names=names)
-
-        def edge(t, numbers):
-            m = t.num_rows
-            return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (
-                t.column("id"), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.array([part] * m, pa.int32()), pa.array(numbers, pa.int32()), t.column("seed"), t.column("right"), t.column("left"), t.column("pos"))], names=names)
-
+        held, n = [], 0
         for b in batches:
-            if not b.num_rows:
-                continue
-            t = pa.Table.from_batches([b])
-            head = t.slice(0, NEIGHBOURS) if head is None else head if head.num_rows >= NEIGHBOURS else pa.concat_tables([head, t.slice(0, NEIGHBOURS - head.num_rows)])
-            both = t if held is None else pa.concat_tables([held, t])
+            held.append(b)
             n += b.num_rows
-            yield spans(both, b.num_rows)
-            held = both.slice(max(0, both.num_rows - NEIGHBOURS))
-        if held is not None:
-            apart = min(NEIGHBOURS, n - held.num_rows)
-            if apart:
-                yield edge(head.slice(0, apart), range(apart))
-            yield edge(held, range(n - held.num_rows, n))
-
-    return ordered.mapInArrow(run, "id long, first int, last int, part int, n int, seed long, right binary, left binary, pos int")
-
-
-def _across(edges: DataFrame) -> DataFrame:
-    """(id, first, last) of repeats between neighbours in different partitions: a few rows a partition."""
-
-    def run(batches):
-        batches = list(batches)
-        if batches:
-            t = pa.Table.from_batches(batches)
-            seed, right, left, i, at = _stack(t)
-            rr, rl = np.zeros(len(seed), dtype=np.int64), np.zeros(len(seed), dtype=np.int64)
-            _compare(seed, right, left, rr, rl)
-            k = np.flatnonzero(rr)
-            yield pa.RecordBatch.from_arrays([pa.array(i[k]), pa.array((at[k] - rl[k]).astype(np.int32)), pa.array((at[k] + rr[k]).astype(np.int32))], names=["id", "first", "last"])
+            if n >= chunk:
+                yield _compare(pa.Table.from_batches(held))
+                held, n = [], 0
+        if n:
+            yield _compare(pa.Table.from_batches(held))
 
-    one = edges.select("part", "n", *NAMES).repartition(1).sortWithinPartitions("part", "n").select(*NAMES)
-    return one.mapInArrow(run, "id long, first int, last int")
+    return ordered.mapInArrow(run, "id long, first int, last int, key long")
 
 
-def repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """(id, n_words, copies, spans array<struct<start, end>>) for every row of docs, in words from 0, ends excluded."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
@@ -222,9 +204,11 @@ def repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col:
     rows = scratch.keep(_suffixes(texts, _seed_bitmap(twice), bitmap(reps, "id")))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, "seed", "right", "id", "pos").sortWithinPartitions("seed", "right", "id", "pos")
-    found = scratch.keep(_matches(ordered))
+    found = scratch.keep(_matches(ordered, chunk))
     scratch.drop(rows)
-    spans = found.filter("part is null").select("id", "first", "last").unionByName(_across(found.filter("part is not null")))
+    # a passage has at most one row a chunk here, so a list is bounded by the number of chunks
+    across = found.filter("key is not null").groupBy("key").agg(F.collect_list(F.struct("id", "first", "last")).alias("x")).filter("size(x) > 1").select(F.explode("x").alias("x")).select("x.*")
+    spans = found.filter("key is null").select("id", "first", "last").unionByName(across)
     w = W.partitionBy("id").orderBy("first", "last")
     island = spans.distinct().withColumn("new", F.coalesce(F.col("first") > F.max("last").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(True)).cast("int")).withColumn("k", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
     merged = island.groupBy("id", "k").agg(F.min("first").alias("start"), F.max("last").alias("end")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))

@@ -204,6 +204,20 @@ def test_repeats(spark):
     assert op9_suffix.cut("a b c d", [(1, 3)]) == "a d"
 
 
+@pytest.mark.parametrize("chunk", [64, 16_384])
+def test_repeats_around_a_frequent_passage(spark, chunk):
+    """Two texts share words before a passage that many others hold as well; and copies of them change nothing."""
+    random.seed(12)
+    fresh = lambda n: " ".join(f"v{random.randrange(10**9)}" for _ in range(n))
+    often = fresh(40)
+    before = [fresh(25) for _ in range(150)]
+    docs = [(i, f"{fresh(20)} {before[i % 150]} {often} {fresh(60)}") for i in range(300)]
+    docs += [(300 + i, docs[i % 3][1]) for i in range(40)] + [(400, "one " * 70 + fresh(9)), (401, f"{fresh(9)} " + "one " * 90)]
+    got = {r.id: {k for s in r.spans for k in range(s.start, s.end)} for r in op9_suffix.repeats(spark.createDataFrame(docs, "doc_id long, text string"), Scratch(spark, "t"), chunk=chunk).collect()}
+    want = repeated_words(docs)
+    assert all(want[i] for i, _ in docs) and got == {i: want[i] for i, _ in docs}
+
+
 def test_repeats_query(spark, sf):
     docs = [(r.doc_id, r.text) for r in read(spark, sf, "documents").collect()]
     want, loose = repeated_words(docs), repeated_words(docs, apart=1)
