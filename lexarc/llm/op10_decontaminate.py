@@ -3,7 +3,8 @@
 A text's template is its sequence of words, lower-cased, in which numbers become <n>, units behind a number <u>, and
 capitalised words inside a sentence <e>. Windows of eight template words of every benchmark item are hash-joined with
 those of the documents. Matched windows are then checked against the texts' own words: words that fill the slots must
-map one to one along the aligned item (the same benchmark value always to the same document value, of the same type). An item
+follow the item's: along an alignment the same benchmark value always has the same document value, of the same type (two
+benchmark values may get the same new one), or the windows that hold that value don't count. An item
 counts as leaked into a document if at least half of its distinct windows are found, so an item asked again with other
 numbers, names or units is caught, and a chance window is not.
 
@@ -58,14 +59,14 @@ def windows(values: str, size: int) -> str:
 
 
 def consistent(filled: DataFrame) -> DataFrame:
-    """Of (doc_id, item_id, hash, total, at, own, filled), the rows of alignments whose slot values map one to one.
+    """Of (doc_id, item_id, hash, total, at, own, filled), the rows without a benchmark value that gets several new ones.
 
-    An alignment is a document, an item and the distance between their windows. Over all its windows there must be as
-    many distinct pairs of values as distinct values on either side. Its rows are bounded by the item's length.
+    An alignment is a document, an item and the distance between their windows; values are compared over all its windows.
+    Its rows are bounded by the item's length.
     """
     pairs = filled.select("doc_id", "item_id", "at", F.explode(F.filter(F.arrays_zip(F.col("own").alias("b"), F.col("filled").alias("d")), lambda x: x["b"].rlike("^[\u0001-\u0003]"))).alias("x"))
-    fine = pairs.groupBy("doc_id", "item_id", "at").agg(F.count_distinct("x").alias("n"), F.count_distinct("x.b").alias("nb"), F.count_distinct("x.d").alias("nd")).filter("n = nb and n = nd")
-    return filled.join(fine, ["doc_id", "item_id", "at"], "left_semi")
+    broken = pairs.groupBy("doc_id", "item_id", "at", F.col("x.b").alias("b")).agg(F.count_distinct("x.d").alias("n")).filter("n > 1").groupBy("doc_id", "item_id", "at").agg(F.collect_list("b").alias("broken"))
+    return filled.join(broken, ["doc_id", "item_id", "at"], "left").filter("broken is null or not arrays_overlap(own, broken)").drop("broken")
 
 
 def _windows_with_words(texts: DataFrame, key: str, sizes: list[int]) -> DataFrame:

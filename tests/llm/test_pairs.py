@@ -235,6 +235,13 @@ def test_leaks(spark):
     assert op10_decontaminate.leaks(docs, items.filter("false"), Scratch(spark, "t")).count() == 0
 
 
+def test_leaks_with_equal_new_values(spark):
+    items = spark.createDataFrame([(1, "someone buys 12 apples for 3 dollars at the market and then walks all the way home with them"), (2, "we count 4 birds and 4 cats near the old barn by the lake where the tall trees stand in rows every single year")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "someone buys 5 apples for 5 dollars at the market and then walks all the way home with them"), (2, "we count 7 birds and 8 cats near the old barn by the lake where the tall trees stand in rows every single year")], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.share for r in op10_decontaminate.leaks(docs, items, Scratch(spark, "t")).collect()}
+    assert set(got) == {(1, 1), (2, 2)} and got[1, 1] == 1 and got[2, 2] < 1  # in 2 only the windows of the number go
+
+
 def test_leaks_query(spark, sf):
     tokens = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
     items = {r.item_id: tokens(r.text) for r in read(spark, sf, "benchmark").collect()}
