@@ -1,8 +1,9 @@
 """Benchmark decontamination by templates, with DataFrame functions only.
 
 A text's template is its sequence of words, lower-cased, in which numbers become <n>, units behind a number <u>, and
-capitalised words inside a sentence <e>. Windows of eight template words of every benchmark item are hash-joined with
-those of the documents. Matched windows are then checked against the texts' own words: words that fill the slots must
+capitalised words inside a sentence <e>. A second template has <e> for every capitalised word, since names also begin
+sentences and follow marks; a window of it counts if a word is left in it. Windows of eight words of both templates of
+every benchmark item are hash-joined with those of the documents, and a window is found if either of its templates is. Matched windows are then checked against the texts' own words: words that fill the slots must
 follow the item's: along an alignment the same benchmark value always has the same document value, of the same type (two
 benchmark values may get the same new one), or the windows that hold that value don't count. An item
 counts as leaked into a document if at least half of its distinct windows are found, so an item asked again with other
@@ -31,26 +32,30 @@ UNITS = ["km", "kilometers", "kilometres", "miles", "m", "meters", "metres", "cm
          "seconds", "minutes", "hours", "days", "weeks", "months", "years", "percent", "dollars", "euros", "cents", "mph", "kmh"]
 
 
-def marked(text: Column) -> Column:
-    """The text with each slot's value behind a marker: \\x01 numbers, \\x02 names, \\x03 units."""
+def numbered(text: Column) -> Column:
+    """The text with numbers behind the marker \\x01 and units behind \\x03."""
     digits = F.regexp_replace(text, r"\d+(?:[.,:/]\d+)*", "\u0001$0")
     units = F.regexp_replace(digits, r"(?i)(\u0001[\d.,:/]+[ -]?)(" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")\b", "$1 \u0003$2")
-    with_digits = F.when(text.rlike(r"\d"), units).otherwise(text)
-    return F.regexp_replace(with_digits, r"\p{Lu}(?<=[\p{Ll},;] \p{Lu})", "\u0002$0")
+    return F.when(text.rlike(r"\d"), units).otherwise(text)
+
+
+def marked(text: Column, every: bool = False) -> Column:
+    """A numbered text with each slot's value behind a marker: \\x01 numbers, \\x02 names (or every capitalised word), \\x03 units."""
+    return F.regexp_replace(text, "\\p{Lu}(?<![\\p{L}\\p{N}\u0001-\u0003]\\p{Lu})" if every else r"\p{Lu}(?<=[\p{Ll},;] \p{Lu})", "\u0002$0")
 
 
 def _split(text: Column) -> Column:
     return F.array_remove(F.split(text, "[^\\p{L}\\p{N}\u0001-\u0003]+"), "")
 
 
-def words(text: Column) -> Column:
-    """Words with their markers, lower-cased; anything but letters, digits and markers separates."""
-    return _split(F.regexp_replace(F.lower(marked(text)), r"(?<=\d)[.,:/](?=\d)", ""))
+def words(text: Column, every: bool = False) -> Column:
+    """Words of a numbered text with their markers, lower-cased; anything but letters, digits and markers separates."""
+    return _split(F.regexp_replace(F.lower(marked(text, every)), r"(?<=\d)[.,:/](?=\d)", ""))
 
 
-def template(text: Column) -> Column:
-    """The same words with each slot's value dropped. A marker carries its type."""
-    return _split(F.regexp_replace(F.lower(marked(text)), "([\u0001-\u0003])[\\p{L}\\p{N}]+(?:[.,:/]\\d+)*", "$1"))
+def template(text: Column, every: bool = False) -> Column:
+    """The same words of a numbered text with each slot's value dropped. A marker carries its type."""
+    return _split(F.regexp_replace(F.lower(marked(text, every)), "([\u0001-\u0003])[\\p{L}\\p{N}]+(?:[.,:/]\\d+)*", "$1"))
 
 
 def windows(values: str, size: int) -> str:
@@ -59,31 +64,38 @@ def windows(values: str, size: int) -> str:
 
 
 def consistent(filled: DataFrame) -> DataFrame:
-    """Of (doc_id, item_id, hash, total, at, own, filled), the rows without a benchmark value that gets several new ones.
+    """Of (doc_id, item_id, at, every, own, filled), the rows without a benchmark value that gets several new ones.
 
-    An alignment is a document, an item and the distance between their windows; values are compared over all its windows.
+    An alignment is a document, an item, a template and the distance between their windows; values are compared over all its windows.
     Its rows are bounded by the item's length.
     """
-    pairs = filled.select("doc_id", "item_id", "at", F.explode(F.filter(F.arrays_zip(F.col("own").alias("b"), F.col("filled").alias("d")), lambda x: x["b"].rlike("^[\u0001-\u0003]"))).alias("x"))
-    broken = pairs.groupBy("doc_id", "item_id", "at", F.col("x.b").alias("b")).agg(F.count_distinct("x.d").alias("n")).filter("n > 1").groupBy("doc_id", "item_id", "at").agg(F.collect_list("b").alias("broken"))
-    return filled.join(broken, ["doc_id", "item_id", "at"], "left").filter("broken is null or not arrays_overlap(own, broken)").drop("broken")
+    pairs = filled.select("doc_id", "item_id", "at", "every", F.explode(F.filter(F.arrays_zip(F.col("own").alias("b"), F.col("filled").alias("d")), lambda x: x["b"].rlike("^[\u0001-\u0003]"))).alias("x"))
+    broken = pairs.groupBy("doc_id", "item_id", "at", "every", F.col("x.b").alias("b")).agg(F.count_distinct("x.d").alias("n")).filter("n > 1").groupBy("doc_id", "item_id", "at", "every").agg(F.collect_list("b").alias("broken"))
+    return filled.join(broken, ["doc_id", "item_id", "at", "every"], "left").filter("broken is null or not arrays_overlap(own, broken)").drop("broken")
 
 
-def _windows_with_words(texts: DataFrame, key: str, sizes: list[int]) -> DataFrame:
+def _windows_with_words(texts: DataFrame, key: str, sizes: list[int], every: bool = False) -> DataFrame:
     """(key, hash, position, own words) for each window of the sizes over (key, text)."""
-    t = texts.select(key, template(F.col("text")).alias("t"), words(F.col("text")).alias("w")).filter("size(t) = size(w)")
+    t = texts.select(key, numbered(F.col("text")).alias("text")).select(key, template(F.col("text"), every).alias("t"), words(F.col("text"), every).alias("w")).filter("size(t) = size(w)")
     return reduce(DataFrame.unionByName, [t.select(key, F.posexplode(F.expr(windows("t", s))).alias("p", "hash"), "w").select(key, "hash", "p", F.slice("w", F.col("p") + 1, s).alias("own")) for s in sizes])
 
 
 def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, hash, item_p, own words, total, slots): each distinct window of each item with at least SHORTEST words."""
+    """(item_id, hash, item_p, own words, every, total, slots): each distinct window of each item with at least SHORTEST words, by both templates."""
     texts = items.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text"))
-    length = F.size(template(F.col("text")))
-    each = [_windows_with_words(texts.filter(length >= WINDOW), "item_id", [WINDOW]),
-            *(_windows_with_words(texts.filter(length == s), "item_id", [s]) for s in range(SHORTEST, WINDOW))]
-    once = reduce(DataFrame.unionByName, each).groupBy("item_id", "hash").agg(F.min(F.struct("p", "own")).alias("x")).select("item_id", "hash", F.col("x.p").alias("item_p"), F.col("x.own").alias("own"))
+    length = F.size(template(numbered(F.col("text"))))
+
+    def each(every):
+        parts = [_windows_with_words(texts.filter(length >= WINDOW), "item_id", [WINDOW], every),
+                 *(_windows_with_words(texts.filter(length == s), "item_id", [s], every) for s in range(SHORTEST, WINDOW))]
+        return reduce(DataFrame.unionByName, parts)
+
+    slot = lambda x: x.rlike("^[\u0001-\u0003]")
+    once = each(False).groupBy("item_id", "hash").agg(F.min(F.struct("p", "own")).alias("x")).select("item_id", "hash", F.col("x.p").alias("item_p"), F.col("x.own").alias("own"), F.lit(False).alias("every"))
     total = once.groupBy("item_id").agg(F.count("*").alias("total"))
-    return once.join(total, "item_id").withColumn("slots", F.exists("own", lambda x: x.rlike("^[\u0001-\u0003]")))
+    named = each(True).filter(F.exists("own", lambda x: ~slot(x))).select("item_id", "hash", F.col("p").alias("item_p"), "own", F.lit(True).alias("every")).join(once.select("item_id", "item_p"), ["item_id", "item_p"], "left_semi")
+    both = once.unionByName(named.join(once.select("item_id", "item_p", "hash"), ["item_id", "item_p", "hash"], "left_anti").distinct())
+    return both.join(total, "item_id").withColumn("slots", F.exists("own", slot))
 
 
 def leaks(docs: DataFrame, items: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -93,18 +105,22 @@ def leaks(docs: DataFrame, items: DataFrame, scratch: Scratch, id_col: str = "do
     small = keys.count() <= BROADCAST_WINDOWS
     lengths = [r[0] for r in bench.select(F.size("own")).distinct().collect()] or [WINDOW]  # WINDOW - SHORTEST + 1 values at most
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null and text is not null")
-    every = texts.select("doc_id", template(F.col("text")).alias("t")).select("doc_id", F.explode(F.concat(*(F.expr(windows("t", s)) for s in lengths))).alias("hash"))
+    every = texts.select("doc_id", numbered(F.col("text")).alias("text")).select("doc_id", template(F.col("text")).alias("t"), template(F.col("text"), True).alias("e")).select("doc_id", F.explode(F.concat(*(F.expr(windows(t, s)) for s in lengths for t in "te"))).alias("hash"))
     hits = scratch.keep(every.join(F.broadcast(keys) if small else keys, "hash").distinct())
-    plain = hits.join(bench.filter("not slots"), "hash").select("doc_id", "item_id", "hash", "total")
-    # a window with slots needs the values that fill them: only documents with such a hit are read again
+    plain = hits.join(bench.filter("not slots"), "hash").select("doc_id", "item_id", "item_p", "total")
+    # a window with slots needs the values that fill them: only documents with enough hits of an item, were all of them
+    # consistent, are read again
     slotted = bench.filter("slots")
-    asked = scratch.keep(hits.join(slotted.select("hash"), "hash", "left_semi").select("doc_id").distinct())
+    near = hits.join(bench.select("hash", "item_id", "item_p", "total"), "hash").groupBy("doc_id", "item_id").agg((F.count_distinct("item_p") / F.max("total")).alias("most")).filter(F.col("most") >= MIN_SHARE).select("doc_id", "item_id")
+    near = scratch.keep(near.join(slotted.select("item_id"), "item_id", "left_semi"))
+    asked = scratch.keep(near.select("doc_id").distinct())
     n = asked.count()
     if n:
-        again = texts.join(F.broadcast(asked) if n <= BROADCAST_WINDOWS else asked, "doc_id", "left_semi")
-        filled = _windows_with_words(again, "doc_id", lengths).withColumnRenamed("own", "filled").join(slotted, "hash").withColumn("at", F.col("p") - F.col("item_p"))
-        plain = plain.unionByName(consistent(filled).select("doc_id", "item_id", "hash", "total"))
-    return plain.groupBy("doc_id", "item_id").agg((F.count_distinct("hash") / F.max("total")).alias("share")).filter(F.col("share") >= MIN_SHARE)
+        again = scratch.keep(texts.join(F.broadcast(asked) if n <= BROADCAST_WINDOWS else asked, "doc_id", "left_semi"))
+        for e in (False, True):
+            filled = _windows_with_words(again, "doc_id", lengths, e).withColumnRenamed("own", "filled").join(slotted, "hash").join(near, ["doc_id", "item_id"], "left_semi").withColumn("at", F.col("p") - F.col("item_p"))
+            plain = plain.unionByName(consistent(scratch.keep(filled)).select("doc_id", "item_id", "item_p", "total"))
+    return plain.groupBy("doc_id", "item_id").agg((F.count_distinct("item_p") / F.max("total")).alias("share")).filter(F.col("share") >= MIN_SHARE)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -242,6 +242,14 @@ def test_leaks_with_equal_new_values(spark):
     assert set(got) == {(1, 1), (2, 2)} and got[1, 1] == 1 and got[2, 2] < 1  # in 2 only the windows of the number go
 
 
+def test_leaks_with_names_at_sentence_starts(spark):
+    text = "{0} has 5 apples. {1} has 3 apples.\n{2} has 2 apples: how many apples are there in total?"
+    items = spark.createDataFrame([(1, text.format("Tom", "Anna", "Bob")), (2, "The Old Man And The Sea And The Young Boy")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, text.format("Maria", "Pedro", "Luis")), (2, "read: " + text.format("Tom", "Anna", "Bob").lower()), (3, "1. Quite Another Title That Has Only Words With Capital Letters In It"), (4, "the old man and the sea and the young boy"), (5, "THE OLD MAN AND THE SEA AND THE YOUNG BOY")], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in op10_decontaminate.leaks(docs, items, Scratch(spark, "t")).collect()}
+    assert {(1, 1), (2, 1)} <= got and not any(i == 3 for i, _ in got)
+
+
 def test_leaks_query(spark, sf):
     tokens = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
     items = {r.item_id: tokens(r.text) for r in read(spark, sf, "benchmark").collect()}
