@@ -6,7 +6,8 @@ dictionary covers, whether it looks like (part of) a path, and its neighbouring
 findings; without a labelled table of your own, `labelled_findings` makes one of fixed size from public key formats and from the strings
 that scanners commonly confuse with keys.
 
-A null text has no findings. Texts are scanned whole. Overlapping candidates become one, the earliest and then the longest. Every row
+A null text has no findings. Texts are scanned whole. Every candidate is judged; of overlapping ones that the forest accepts the
+earliest and then the longest stays, and rejected ones stay where they overlap no other. Every row
 gives one row, repeated ones too. Other columns pass through `redact` unchanged.
 """
 
@@ -53,7 +54,7 @@ HINTS = ("AKIA", "ASIA", "gh", "xox", "AIza", "sk-", "sk_", "eyJ", "-----BEGIN")
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of what could be a secret, without overlaps, in order."""
+    """(start, end, kind) of what could be a secret, in order; they may overlap."""
     found = []
     if any(h in text for h in HINTS):
         found += [(m.start(), m.end(), m.lastgroup) for m in KNOWN.finditer(text)]
@@ -63,10 +64,15 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     if any(len(w) >= 20 for w in text.split()):
         found += [(m.start(), m.end(), "long_string") for m in LONG.finditer(text)]
     rank = {k: i for i, k in enumerate([*FORMATS, "assigned", "long_string"])}
-    out: list[tuple[int, int, str]] = []
-    for s, e, k in sorted(found, key=lambda x: (x[0], rank[x[2]], -x[1])):
-        if not out or s >= out[-1][1]:
-            out.append((s, e, k))
+    return sorted(found, key=lambda x: (x[0], rank[x[2]], -x[1]))
+
+
+def apart(found: list[tuple]) -> list[tuple]:
+    """Of ordered tuples that begin with start and end, each that does not overlap one kept before it."""
+    out: list[tuple] = []
+    for x in found:
+        if not out or x[0] >= out[-1][1]:
+            out.append(x)
     return out
 
 
@@ -125,7 +131,7 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, in
         body = f"{pad()} {pick(secrets if i % 2 else others)()} {pad()}"
         a, v, b = body.split("\0")
         text = a + v + b
-        kind = next((k for s, e, k in candidates(text) if s <= len(a) < e), "long_string")
+        kind = next((k for s, e, k in apart(candidates(text)) if s <= len(a) < e), "long_string")
         rows.append((text, len(a), len(a) + len(v), kind, i % 2))
     return rows
 
@@ -193,14 +199,24 @@ def standard_forest() -> Forest:
 def _findings(texts: list[str], forest: Forest) -> list[list[dict]]:
     """Per text, its candidates with their scores."""
     where, rows = [], []
-    out: list[list[dict]] = [[] for _ in texts]
+    judged: list[list[tuple]] = [[] for _ in texts]
     for i, t in enumerate(texts):
         for s, e, k in candidates(t):
             where.append(i)
             rows.append((s, e, k, features(t, s, e, k)))
     if rows:
         for i, (s, e, k, _), p in zip(where, rows, forest.predict(np.array([r[3] for r in rows])), strict=True):
-            out[i].append({"start": s, "end": e, "kind": k, "score": round(float(p), 6)})
+            judged[i].append((s, e, k, round(float(p), 6)))
+    out = []
+    for found in judged:
+        kept = apart([x for x in found if x[3] >= ACCEPT])
+        rest, at = [], 0
+        for x in apart([x for x in found if x[3] < ACCEPT]):
+            while at < len(kept) and kept[at][1] <= x[0]:
+                at += 1
+            if at == len(kept) or kept[at][0] >= x[1]:
+                rest.append(x)
+        out.append([{"start": s, "end": e, "kind": k, "score": p} for s, e, k, p in sorted(kept + rest)])
     return out
 
 
