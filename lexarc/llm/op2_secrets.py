@@ -77,7 +77,7 @@ def apart(found: list[tuple]) -> list[tuple]:
 
 
 def features(text: str, start: int, end: int, kind: str) -> list[float]:
-    value = text[start:end][:4096]
+    value = text[start:end]
     n = max(1, len(value))
     classes = ["l" if c.islower() else "u" if c.isupper() else "d" if c.isdigit() else "s" for c in value]
     steps = sum(a != b for a, b in zip(classes, classes[1:]))
