@@ -11,8 +11,12 @@ Members of an index entry are compared in two passes, so that entries of near co
 member is verified against the entry's first, its previous, and its most shared member, and components are formed. Then
 only entries that still hold several components go on: their members meet in blocks, where parity bitmaps bound the
 symmetric difference from below, and pairs of different components within the bound are verified in rounds, likeliest
-first. No link between different components can be lost, and links within one would change nothing. Verification
-intersects the whole sets.
+first. A pair that shares several entries is taken in the least of them only. An entry's largest component never meets
+itself, so the work follows its other members. No link between different components can be lost, and links within one
+would change nothing. Verification intersects the whole sets.
+
+Entries of tokens so frequent that many members must be expected are dealt to slots by id, which all members know from
+the corpus counts alone; the first pass works slot by slot, and the second lets blocks of all slots meet.
 
 Null, empty and blank texts have an empty set and no links; their component is their own id. Texts with fewer than k
 words have one shingle, the whole sequence. Repeated ids count as one document with several texts. Every row gives one
@@ -25,7 +29,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -40,7 +44,15 @@ BLOCK_ROWS = 512
 BROADCAST_IDS = 100_000
 #: Pairs of two components that the first round of the second pass verifies, and how much each further round takes more.
 FIRST_PAIRS, PAIRS_GROW = 16, 64
+#: Least keys of a member that travel with it, to tell whether a pair has met before.
+LEAST_KEYS = 16
+#: Members to be expected in a slot of a frequent entry; the low bits of a key hold the logarithm of its number of slots.
+SLOT_ROWS, SLOT_BITS = 1_024, 5
+#: Bits of the largest parity bitmap.
+MOST_CELLS = 1 << 17
 SLICE = 256
+
+
 def shingle_set(text: str | None, k: int) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles."""
     h = word_hashes(text) if text else np.zeros(0, dtype=np.uint64)
@@ -57,8 +69,18 @@ def partner_sizes(n: int, percent: int) -> tuple[int, int]:
     return -(-percent * n // 100), 100 * n // percent
 
 
-def prefix_keys(s: np.ndarray, level: np.ndarray, percent: int) -> np.ndarray:
-    """Index entries of a set: s sorted, level 0 for rare tokens and above for frequent ones."""
+def expected(bound: float) -> np.ndarray:
+    """Logarithm of the slots of an entry by the level of its rarer token; rare tokens, within the bound, have one slot."""
+    count = bound * 2.0 ** (np.arange(256) / 4)
+    slots = np.ceil(np.log2(np.maximum(1, count / max(SLOT_ROWS, bound))))
+    slots[0] = 0
+    return np.minimum(slots, (1 << SLOT_BITS) - 1).astype(np.uint64)
+
+
+def prefix_keys(s: np.ndarray, level: np.ndarray, percent: int, slots: np.ndarray | None = None) -> np.ndarray:
+    """Index entries of a set: s sorted, level 0 for rare tokens and above for frequent ones, slots as expected() gives them."""
+    slots = np.zeros(256, dtype=np.uint64) if slots is None else slots
+    low_bits = _U((1 << SLOT_BITS) - 1)
     n = len(s)
     low, high = partner_sizes(n, percent)
     if n == 0 or (low == n and high == n):
@@ -66,12 +88,13 @@ def prefix_keys(s: np.ndarray, level: np.ndarray, percent: int) -> np.ndarray:
     need = n - low + 1
     rare = np.flatnonzero(level == 0)
     singles = s[rare[:need]]
+    out = [_mix(singles) & ~low_bits]
     if len(singles) == need:
-        return _mix(singles)
+        return np.unique(out[0])
     rest = np.flatnonzero(level)
-    rest = s[rest[np.argsort(level[rest], kind="stable")]]
+    rest = rest[np.argsort(level[rest], kind="stable")]
+    rest, known = s[rest], level[rest]
     need -= len(singles)
-    out = [_mix(singles)]
     for size in range(low.bit_length(), high.bit_length() + 1):
         groups = max(1, (100 - percent) * (1 << size) // 400)
         sub = (rest >> _U(20)) % _U(groups)
@@ -79,20 +102,20 @@ def prefix_keys(s: np.ndarray, level: np.ndarray, percent: int) -> np.ndarray:
         first = np.zeros(len(rest), bool)
         first[order[np.concatenate(([True], np.diff(sub[order]) != 0))]] = True
         reach = np.searchsorted(np.cumsum(~first), need) + 1
-        t, g = rest[:reach], sub[:reach]
+        t, g, f = rest[:reach], sub[:reach], known[:reach]
         order = np.argsort(g, kind="stable")
-        t, g = t[order], g[order]
+        t, g, f = t[order], g[order], f[order]
         ends = np.searchsorted(g, g, side="right")
         left = np.repeat(np.arange(len(t)), ends - np.arange(len(t)) - 1)
         right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(ends - np.arange(len(t)) - 1) - (ends - np.arange(len(t)) - 1), ends - np.arange(len(t)) - 1)
         a, b = np.minimum(t[left], t[right]), np.maximum(t[left], t[right])
-        out.append(_mix(_mix(a + _U(size)) + b))
+        out.append((_mix(_mix(a + _U(size)) + b) & ~low_bits) | slots[np.minimum(f[left], f[right])])
     return np.unique(np.concatenate(out))
 
 
 def parity_bits(s: np.ndarray) -> bytes:
-    """Parity of the tokens in each of about half as many cells; two sets differ in no fewer tokens than cells."""
-    cells = 1 << max(6, len(s).bit_length() - 1)
+    """Parity of the tokens in each of two to four times as many cells; two sets differ in no fewer tokens than cells."""
+    cells = min(MOST_CELLS, 1 << max(6, len(s).bit_length() + 1))
     return np.packbits(np.bincount((s & _U(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
@@ -151,8 +174,8 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n int, fp1 long, fp2 long, block int, counts binary")
 
 
-def _levels(profile: DataFrame) -> np.ndarray:
-    """Level of each bucket: 0 where its count is within what rare tokens alone would give, above on a log scale."""
+def _levels(profile: DataFrame) -> tuple[np.ndarray, float]:
+    """Level of each bucket: 0 where its count is within what rare tokens alone would give, above on a log scale; and that bound."""
 
     def add(key, table):
         total = np.zeros(BLOCK, dtype=np.uint64)
@@ -170,7 +193,7 @@ def _levels(profile: DataFrame) -> np.ndarray:
     level = np.zeros(len(out), dtype=np.uint8)
     high = np.flatnonzero(out > bound)
     level[high] = np.clip(1 + 4 * np.log2(out[high] / bound), 1, 255).astype(np.uint8)
-    return level
+    return level, bound
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -258,55 +281,83 @@ def spanning_pairs(gaps: np.ndarray, ca: np.ndarray, cb: np.ndarray, more: int)
     return r[take], c[take], np.repeat(count, count)[take] > max(more, 1)
 
 
+def _hot(key: str = "key") -> Column:
+    """Whether an entry is dealt to slots."""
+    return F.col(key).bitwiseAND((1 << SLOT_BITS) - 1) > 0
+
+
+def _slot(key: str = "key", member: str = "id") -> Column:
+    return F.expr(f"pmod(xxhash64({member}), shiftleft(1L, cast({key} & {(1 << SLOT_BITS) - 1} as int)))")
+
+
+def _blocks(entries: DataFrame, bits: DataFrame, comps: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(key, major, block, rows, low, high): the members of entries that hold several components, in blocks by size.
+
+    A block holds members of the entry's largest component only (major), or only others.
+    """
+    named = entries.join(comps, "id", "left").select("key", "slot", "id", "n", F.coalesce("component_id", "id").alias("comp"))
+    sizes = named.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("most")).filter("comps > 1").select("key", F.col("most.comp").alias("most"))
+    w = W.partitionBy("key", "slot").orderBy("n", "id")
+    near = _hot() | F.coalesce(100 * F.lag("n").over(w) >= percent * F.col("n"), F.lit(False)) | F.coalesce(percent * F.lead("n").over(w) <= 100 * F.col("n"), F.lit(False))
+    rows = named.join(mixed, "key").withColumn("near", near).filter("near").drop("near")  # others have no partner of their size
+    rows = scratch.keep(rows.withColumn("major", F.col("comp") == F.col("most")).drop("most"))
+    alike = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")).filter("x <> y")
+    rows = scratch.keep(rows.join(alike.groupBy("m", "who").agg(F.min("key").alias("key")).select("key"), "key", "left_semi"))  # entries with the same members need one look
+    least = rows.groupBy("id").agg(F.slice(F.sort_array(F.collect_list("key")), 1, LEAST_KEYS).alias("least"))  # of one document's keys
+    w = W.partitionBy("key", "slot", "major").orderBy("n", "id")
+    placed = rows.withColumn("block", F.shiftleft(F.col("slot"), 32) + F.floor((F.row_number().over(w) - 1) / BLOCK_ROWS))
+    member = F.struct("n", "id", "comp", "bits", F.filter("least", lambda x: x < F.col("key")).alias("least"))
+    return placed.join(bits.join(least, "id"), "id").groupBy("key", "major", "block").agg(F.collect_list(member).alias("rows"), F.min("n").alias("low"), F.max("n").alias("high"))
+
+
 def _cross_pairs(entries: DataFrame, bits: DataFrame, comps: DataFrame, percent: int, more: int, scratch: Scratch) -> DataFrame:
     """(a, b, cut): pairs of different components within an entry that their bitmaps let pass, as spanning_pairs picks them.
 
-    cut tells that two components have further pairs. Members meet in blocks of bounded size.
+    cut tells that two components have further pairs. A pair is taken in the least entry that it shares, but for pairs whose
+    least keys have nothing in common, which may come again.
     """
-    named = entries.join(comps, "id", "left").select("key", "id", "n", F.coalesce("component_id", "id").alias("comp"))
-    mixed = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-    w = W.partitionBy("key").orderBy("n", "id")
-    near = F.coalesce(100 * F.lag("n").over(w) >= percent * F.col("n"), F.lit(False)) | F.coalesce(percent * F.lead("n").over(w) <= 100 * F.col("n"), F.lit(False))
-    rows = scratch.keep(named.join(mixed, "key", "left_semi").withColumn("near", near).filter("near").drop("near"))  # others have no partner of their size
-    alike = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")).filter("x <> y")
-    rows = rows.join(alike.groupBy("m", "who").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")  # entries with the same members need one look
-    blocks = rows.withColumn("block", F.floor((F.row_number().over(w) - 1) / BLOCK_ROWS)).join(bits, "id").groupBy("key", "block").agg(
-        F.collect_list(F.struct("n", "id", "comp", "bits")).alias("rows"), F.min("n").alias("low"), F.max("n").alias("high")).filter("size(rows) > 1 or block > 0")
-    blocks = scratch.keep(blocks)
-    many = blocks.groupBy("key").agg(F.count("*").alias("blocks")).filter("blocks > 1").select("key")
-    several = blocks.join(many, "key", "left_semi")
-    left = several.select("key", F.col("block").alias("i"), F.col("rows").alias("left"), F.col("high").alias("high_left"))
-    right = several.select("key", F.col("block").alias("j"), F.col("rows").alias("right"), F.col("low").alias("low_right"))
-    meet = left.join(right, "key").filter(f"i < j and {percent} * low_right <= 100 * high_left").select("left", "right")
-    meet = meet.unionByName(blocks.select(F.col("rows").alias("left"), F.lit(None).cast(blocks.schema["rows"].dataType).alias("right")))
+    blocks = scratch.keep(_blocks(entries, bits, comps, percent, scratch))
+    slim = blocks.select("key", "major", "block", "low", "high")
+    one, two = (slim.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("major", "block", "low", "high"))) for x in "ij")
+    meet = one.join(two, "key").filter(f"not major_i and (major_j or block_i <= block_j) and {percent} * low_j <= 100 * high_i and {percent} * low_i <= 100 * high_j")
+    meet = meet.select("key", "major_j", "block_i", "block_j")
+    left = blocks.filter("not major").select("key", F.col("block").alias("block_i"), F.col("rows").alias("left"))
+    right = blocks.select("key", F.col("major").alias("major_j"), F.col("block").alias("block_j"), F.col("rows").alias("right"))
+    same = meet.filter("not major_j and block_i = block_j").join(left, ["key", "block_i"]).filter("size(left) > 1").select("left", F.lit(None).cast(blocks.schema["rows"].dataType).alias("right"))
+    meet = meet.filter("major_j or block_i < block_j").join(left, ["key", "block_i"]).join(right, ["key", "major_j", "block_j"]).select("left", "right").unionByName(same)
 
     def columns(cell):
         rows = cell.values
-        sizes = np.array([len(x) for x in rows.field("bits").to_pylist()])
-        return np.asarray(rows.field("n")), np.asarray(rows.field("id")), np.asarray(rows.field("comp")), [np.frombuffer(x, dtype=np.uint64) for x in rows.field("bits").to_pylist()], sizes // 8
+        bits = rows.field("bits").to_pylist()
+        return *(np.asarray(rows.field(c)) for c in ("n", "id", "comp")), [np.frombuffer(x, dtype=np.uint64) for x in bits], np.array([len(x) // 8 for x in bits]), rows.field("least").to_pylist()
 
     def compare(batches):
-        told: set[tuple[int, int, bool]] = set()  # pairs that recent entries gave, of bounded number
         for big in batches:
             for at in range(big.num_rows):
                 one = big.slice(at, 1)
-                na, ia, ca, xa, sa = columns(one.column(0)[0])
-                nb, ib, cb, xb, sb = columns(one.column(1)[0]) if one.column(1)[0].is_valid else (na, ia, ca, xa, sa)
+                na, ia, ca, xa, sa, ka = columns(one.column(0)[0])
+                alone = not one.column(1)[0].is_valid
+                nb, ib, cb, xb, sb, kb = (na, ia, ca, xa, sa, ka) if alone else columns(one.column(1)[0])
                 gaps = np.full((len(na), len(nb)), -1, dtype=np.int32)
                 for size in np.unique(sb):
                     where = np.flatnonzero(sb == size)
                     stack = np.stack([xb[i] for i in where])
                     for r in range(len(na)):
+                        fits = np.flatnonzero((cb[where] != ca[r]) & (percent * np.maximum(nb[where], na[r]) <= 100 * np.minimum(nb[where], na[r])) & ((where > r) if alone else True))
+                        if not len(fits):
+                            continue
                         small = min(size, sa[r])
-                        gap = np.maximum(np.bitwise_count(fold(stack, small) ^ fold(xa[r], small)).sum(axis=1, dtype=np.int64), np.abs(nb[where] - na[r]))
-                        ok = ((100 + percent) * gap <= (100 - percent) * (nb[where] + na[r])) & (cb[where] != ca[r])
-                        gaps[r, where[ok]] = gap[ok]
+                        to = where[fits]
+                        gap = np.maximum(np.bitwise_count(fold(stack[fits], small) ^ fold(xa[r], small)).sum(axis=1, dtype=np.int64), np.abs(nb[to] - na[r]))
+                        ok = (100 + percent) * gap <= (100 - percent) * (nb[to] + na[r])
+                        gaps[r, to[ok]] = gap[ok]
+                before_b = [frozenset(k) for k in kb]
+                for r, c in np.argwhere(gaps >= 0):
+                    if not before_b[c].isdisjoint(ka[r]):
+                        gaps[r, c] = -1
                 r, c, cut = spanning_pairs(gaps, ca, cb, more)
-                new = [x for x in zip(np.minimum(ia[r], ib[c]).tolist(), np.maximum(ia[r], ib[c]).tolist(), cut.tolist(), strict=True) if x not in told]
-                if len(told) > 500_000:
-                    told.clear()
-                told.update(new)
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in new], pa.int64()), pa.array([x[1] for x in new], pa.int64()), pa.array([x[2] for x in new], pa.bool_())], names=["a", "b", "cut"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ia[r], ib[c])), pa.array(np.maximum(ia[r], ib[c])), pa.array(cut)], names=["a", "b", "cut"])
 
     found = scratch.keep(meet.mapInArrow(compare, "a long, b long, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut")))
     scratch.drop(blocks)
@@ -341,7 +392,8 @@ def jaccard_join(docs: DataFrame, scratch: Scratch, k: int = 3, percent: int = 9
     """(id, n, component_id) for every row of docs: size of its set and the smallest id reachable by links."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     profile = scratch.keep(_profile(texts, k))
-    level = _levels(profile)
+    level, bound = _levels(profile)
+    slots = expected(bound)
     table = docs.sparkSession.sparkContext.broadcast(level)  # 2^22 bytes at any input size
     rows = scratch.keep(profile.filter("block is null").select("id", "n", "fp1", "fp2"))
     scratch.drop(profile)
@@ -352,21 +404,21 @@ def jaccard_join(docs: DataFrame, scratch: Scratch, k: int = 3, percent: int = 9
         lev = table.value
         for b in _sliced(batches):
             sets = [shingle_set(t, k) for t in b.column(1).to_pylist()]
-            keys = [prefix_keys(x, lev[(x >> _U(64 - BUCKET_BITS)).astype(np.int64)], percent) for x in sets]
+            keys = [prefix_keys(x, lev[(x >> _U(64 - BUCKET_BITS)).astype(np.int64)], percent, slots) for x in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int32()), _nested(keys), pa.array([parity_bits(x) for x in sets], pa.binary())], names=["id", "n", "keys", "bits"])
 
     indexed = scratch.keep(texts.mapInArrow(index, "id long, n int, keys array<long>, bits binary").filter("size(keys) > 0").join(reps, "id", "left_semi"))
     bits = indexed.select("id", "n", "bits")
-    w = W.partitionBy("key").orderBy("n", "id")
-    shared = scratch.keep(indexed.select("id", "n", F.explode("keys").alias("key")).select(
-        "key", "id", "n", F.lag("id").over(w).alias("last"), F.lag("n").over(w).alias("last_n"), F.first("id").over(w).alias("first"), F.first("n").over(w).alias("first_n"),
-        F.count("*").over(W.partitionBy("key")).alias("m")).filter("m > 1"))
+    w = W.partitionBy("key", "slot").orderBy("n", "id")
+    shared = scratch.keep(indexed.select("id", "n", F.explode("keys").alias("key")).withColumn("slot", _slot()).select(
+        "key", "slot", "id", "n", F.lag("id").over(w).alias("last"), F.lag("n").over(w).alias("last_n"), F.first("id").over(w).alias("first"), F.first("n").over(w).alias("first_n"),
+        F.count("*").over(W.partitionBy("key", "slot")).alias("m")).filter((F.col("m") > 1) | _hot()))
     # the member whose entries are shared most is likeliest the original of near copies
     score = shared.groupBy("id").agg(F.sum("m").alias("score"))
-    many = shared.filter("m > 3").select("key", "id", "n")
-    hub = many.join(score, "id").groupBy("key").agg(F.expr("max(struct(score, id, n))").alias("h")).select("key", F.col("h.id").alias("hub"), F.col("h.n").alias("hub_n"))
+    many = shared.filter((F.col("m") > 3) | _hot()).select("key", "slot", "id", "n")
+    hub = many.join(score, "id").groupBy("key", "slot").agg(F.max(F.struct("score", "id", "n")).alias("h")).select("key", "slot", F.col("h.id").alias("hub"), F.col("h.n").alias("hub_n"))
     stars = [shared.filter("last is not null").select("id", "n", F.col("last").alias("o"), F.col("last_n").alias("m")), shared.select("id", "n", F.col("first").alias("o"), F.col("first_n").alias("m")),
-             many.join(hub, "key").select("id", "n", F.col("hub").alias("o"), F.col("hub_n").alias("m"))]
+             many.join(hub, ["key", "slot"]).select("id", "n", F.col("hub").alias("o"), F.col("hub_n").alias("m"))]
     pairs = reduce(DataFrame.unionByName, stars).filter(f"o <> id and {percent} * greatest(n, m) <= 100 * least(n, m)").select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
     near = scratch.keep(_within_bound(pairs, bits, percent))
     links = scratch.keep(_verified(near, _token_sets(texts, near, k, scratch), percent))

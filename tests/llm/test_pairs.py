@@ -82,6 +82,28 @@ def test_jaccard_on_near_copies(spark, k, percent, monkeypatch):
     assert got == brute_jaccard(docs, k, percent)
 
 
+def test_jaccard_in_a_large_group(spark, monkeypatch):
+    """Near copies that share many frequent entries, dealt to slots; some are too far from all others to link."""
+    monkeypatch.setattr(op7_jaccard, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(op7_jaccard, "SLOT_ROWS", 1)
+    monkeypatch.setattr(op7_jaccard, "FIRST_PAIRS", 1)
+    random.seed(8)
+    base = [f"w{i}" for i in range(80)]
+    docs = []
+    for n in range(300):
+        t = list(base)
+        for at in random.sample(range(80), random.choice([0, 1, 2, 3, 4, 5, 7])):
+            t[at] = f"x{random.randrange(40 if n % 3 else 10**6)}"
+        docs.append((n, " ".join(t)))
+    docs += [(1000 + n, " ".join(f"q{random.randrange(10**6)}" for _ in range(60))) for n in range(200)]
+    seen = []
+    inner = op7_jaccard.expected
+    monkeypatch.setattr(op7_jaccard, "expected", lambda bound: seen.append(inner(bound)) or seen[-1])
+    got = {r.id: (r.n, r.component_id) for r in op7_jaccard.jaccard_join(spark.createDataFrame(docs, "doc_id long, text string"), Scratch(spark, "t"), 5, 80).collect()}
+    want = brute_jaccard(docs, 5, 80)
+    assert got == want and seen[0].max() > 0 and 5 < len({c for i, (_, c) in want.items() if i < 1000}) < 290
+
+
 def test_jaccard_query(spark, sf):
     docs = [(r.doc_id, r.text) for r in read(spark, sf, "documents").collect()]
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in op7_jaccard.op7_jaccard(spark, sf).collect()} == brute_jaccard(docs, 3, 90)
