@@ -1,7 +1,7 @@
 """Corpus pipeline: quality, near-duplicates, benchmark leaks, secrets, tokens.
 
 Each stage takes the documents that its predecessor kept and returns documents with the same columns; the last returns
-their tokens. Rows without a doc_id can't be told apart and stay, unless their text is of low quality.
+their tokens. Rows without a doc_id are judged by their text.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from lexarc.llm.op2_secrets import redact
 from lexarc.llm.op3_bpe import encode_decode
 from lexarc.llm.op7_jaccard import jaccard_join
 from lexarc.llm.op8_quality import THRESHOLD, keep_above, learn
-from lexarc.llm.op10_decontaminate import BROADCAST_WINDOWS, leaks
+from lexarc.llm.op10_decontaminate import flagged
 
 #: The rule for near-duplicate stages on word shingles: five words, a similarity of 0.8.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
@@ -26,24 +26,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest id; of repeated rows one."""
+    """One document of each group of near copies, that with the smallest id; of repeated rows one.
+
+    A row without an id goes by a hash of its text, above all usual ids.
+    """
     scratch = Scratch(spark, "pipeline-jaccard")
-    groups = scratch.keep(jaccard_join(docs, scratch, SHINGLE_WORDS, SIMILAR_PERCENT).filter("id is not null"))
-    ids = groups.filter("id = component_id").groupBy("id").agg(F.count("*").alias("rows"))
-    ids = scratch.keep(ids)
-    held = docs.join(ids.filter("rows = 1").select(F.col("id").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi")
-    again = ids.filter("rows > 1").select(F.col("id").alias("doc_id"))
+    key = "key_" + "_".join(docs.columns)  # a name that no column has
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.expr(f"shiftrightunsigned(xxhash64(text), 2) + {1 << 62}")))
+    groups = scratch.keep(jaccard_join(keyed, scratch, SHINGLE_WORDS, SIMILAR_PERCENT, id_col=key))
+    ids = scratch.keep(groups.filter("id = component_id").groupBy(F.col("id").alias(key)).agg(F.count("*").alias("rows")))
+    held = keyed.join(ids.filter("rows = 1").select(key).hint("shuffle_hash"), key, "left_semi")
+    again = ids.filter("rows > 1").select(key)
     if not again.isEmpty():
-        held = held.unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
-    return held.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+        held = held.unionByName(keyed.join(again, key, "left_semi").dropDuplicates([key, "text"]))
+    return held.select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    scratch = Scratch(spark, "pipeline-leaks")
-    leaked = scratch.keep(leaks(docs, read(spark, sf_dir, "benchmark"), scratch).select("doc_id").distinct())
-    few = leaked.count() <= BROADCAST_WINDOWS
-    return docs.join(F.broadcast(leaked) if few else leaked, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold no benchmark item; rows without an id are judged by their text."""
+    return flagged(docs, read(spark, sf_dir, "benchmark"), Scratch(spark, "pipeline-leaks")).filter("n_items = 0").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,15 +3,20 @@
 A text's template is its sequence of words, lower-cased, in which numbers become <n>, units behind a number <u>, and
 capitalised words inside a sentence <e>. A second template has <e> for every capitalised word, since names also begin
 sentences and follow marks; a window of it counts if a word is left in it. Windows of eight words of both templates of
-every benchmark item are hash-joined with those of the documents, and a window is found if either of its templates is. Matched windows are then checked against the texts' own words: words that fill the slots must
-follow the item's: along an alignment the same benchmark value always has the same document value, of the same type (two
+every benchmark item are hash-joined with those of the documents, and a window is found if either of its templates is.
+Matched windows are then checked against the texts' own words: words that fill the slots must follow the item's: along an alignment the same benchmark value always has the same document value, of the same type (two
 benchmark values may get the same new one), or the windows that hold that value don't count. An item
 counts as leaked into a document if at least half of its distinct windows are found, so an item asked again with other
 numbers, names or units is caught, and a chance window is not.
 
+Most documents hold no window at all, and a window of eight words has a part of six that begins at a multiple of three.
+So a first look hashes only those parts of every text, of both templates, and joins them with all parts of the items;
+documents without a common part can't hold a window, and only the others are hashed at every word. Nothing is lost by it.
+
 Items shorter than a window are compared as one window of their own length if they have at least five words; shorter
 ones are never matched. Null and empty texts match nothing. Every document row gives one row. Items that repeat count
-once each.
+once each. Rows without an id are judged by their text; rows that repeat an id count as one document with several texts.
+Other columns of the documents pass through `flagged`, but for n_items and item_ids, which are replaced.
 """
 
 from __future__ import annotations
@@ -24,6 +29,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, read
 
 WINDOW, SHORTEST = 8, 5
+#: Places of the parts that the first look hashes, and their words.
+STRIDE = 3
+PART = WINDOW - STRIDE + 1
 MIN_SHARE = 0.5
 #: Up to this many distinct benchmark windows (16 bytes each) go to every executor; beyond it both sides are shuffled.
 BROADCAST_WINDOWS = 200_000
@@ -98,15 +106,52 @@ def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str =
     return both.join(total, "item_id").withColumn("slots", F.exists("own", slot))
 
 
+def _both(texts: DataFrame, *keys: str) -> DataFrame:
+    """(keys, t, e): both templates of (keys, text)."""
+    return texts.select(*keys, numbered(F.col("text")).alias("text")).select(*keys, template(F.col("text")).alias("t"), template(F.col("text"), True).alias("e"))
+
+
+def _hashed(both: DataFrame, sizes: list[int]) -> DataFrame:
+    """(doc_id, hash) of the windows of the sizes of both templates."""
+    return both.select("doc_id", F.explode(F.concat(*(F.expr(windows(t, size)) for size in sizes for t in "te"))).alias("hash"))
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """A table of ids or hashes, sent to every executor if a count finds it small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_WINDOWS else df
+
+
+def parts(texts: DataFrame, sizes: list[tuple[int, int]], *keys: str) -> DataFrame:
+    """(keys, hash) of the windows of each (size, stride) of both templates of (keys, text), a window of equal templates once.
+
+    A template is one line of words here. Capitalised words that only the second template replaces stand behind \\x04.
+    """
+    both = F.lower(F.regexp_replace(marked(numbered(F.replace("text", F.lit("\u0004"), F.lit(" ")))), "\\p{Lu}(?<![\\p{L}\\p{N}\u0001-\u0003]\\p{Lu})", "\u0004$0"))
+    slots = F.regexp_replace(both, "([\u0001-\u0003])[\\p{L}\\p{N}]+(?:[.,:/]\\d+)*", "$1")
+    line = F.concat(F.ltrim(F.regexp_replace(slots, "[^\\p{L}\\p{N}\u0001-\u0004]+", " ")), F.lit(" "))
+    pattern = "(?=((?:[^ ]++ ){{{}}}))(?:[^ ]++ ){{{}}}"
+    found = F.concat(*(F.regexp_extract_all("line", F.lit(pattern.format(size, stride)), F.lit(1)) for size, stride in sizes))
+    each = texts.select(*keys, line.alias("line")).select(*keys, F.explode(found).alias("part"))
+    second = F.when(F.contains("part", F.lit("\u0004")), F.xxhash64(F.regexp_replace("part", "\u0004[\\p{L}\\p{N}]+", "\u0002")))
+    return each.select(*keys, F.explode(F.array(F.xxhash64(F.replace("part", F.lit("\u0004"), F.lit(""))), second)).alias("hash")).filter("hash is not null")
+
+
+def candidates(texts: DataFrame, items: DataFrame, lengths: list[int], scratch: Scratch) -> DataFrame:
+    """The rows (doc_id, text) that share a part of a window, or a whole short item, with the benchmark."""
+    sizes = [(PART, STRIDE) if s == WINDOW else (s, 1) for s in lengths]
+    own = scratch.keep(parts(items, [(s, 1) for s, _ in sizes]).distinct())
+    near = scratch.keep(parts(texts, sizes, "doc_id").join(_few(own), "hash", "left_semi").select("doc_id").distinct())
+    return scratch.keep(texts.join(_few(near), "doc_id", "left_semi"))
+
+
 def leaks(docs: DataFrame, items: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, share): items whose windows a document holds, by the share of them that it holds."""
+    """(doc_id, item_id, share): items whose windows a document with an id holds, by the share of them that it holds."""
     bench = scratch.keep(benchmark_windows(items))
     keys = bench.select("hash").distinct()
-    small = keys.count() <= BROADCAST_WINDOWS
     lengths = [r[0] for r in bench.select(F.size("own")).distinct().collect()] or [WINDOW]  # WINDOW - SHORTEST + 1 values at most
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null and text is not null")
-    every = texts.select("doc_id", numbered(F.col("text")).alias("text")).select("doc_id", template(F.col("text")).alias("t"), template(F.col("text"), True).alias("e")).select("doc_id", F.explode(F.concat(*(F.expr(windows(t, s)) for s in lengths for t in "te"))).alias("hash"))
-    hits = scratch.keep(every.join(F.broadcast(keys) if small else keys, "hash").distinct())
+    texts = candidates(texts, items.select("item_id", "text").filter("item_id is not null and text is not null"), lengths, scratch)
+    hits = scratch.keep(_hashed(_both(texts, "doc_id"), lengths).join(_few(keys), "hash").distinct())
     plain = hits.join(bench.filter("not slots"), "hash").select("doc_id", "item_id", "item_p", "total")
     # a window with slots needs the values that fill them: only documents with enough hits of an item, were all of them
     # consistent, are read again
@@ -114,21 +159,32 @@ def leaks(docs: DataFrame, items: DataFrame, scratch: Scratch, id_col: str = "do
     near = hits.join(bench.select("hash", "item_id", "item_p", "total"), "hash").groupBy("doc_id", "item_id").agg((F.count_distinct("item_p") / F.max("total")).alias("most")).filter(F.col("most") >= MIN_SHARE).select("doc_id", "item_id")
     near = scratch.keep(near.join(slotted.select("item_id"), "item_id", "left_semi"))
     asked = scratch.keep(near.select("doc_id").distinct())
-    n = asked.count()
-    if n:
-        again = scratch.keep(texts.join(F.broadcast(asked) if n <= BROADCAST_WINDOWS else asked, "doc_id", "left_semi"))
+    if not asked.isEmpty():
+        again = scratch.keep(texts.join(_few(asked), "doc_id", "left_semi"))
         for e in (False, True):
             filled = _windows_with_words(again, "doc_id", lengths, e).withColumnRenamed("own", "filled").join(slotted, "hash").join(near, ["doc_id", "item_id"], "left_semi").withColumn("at", F.col("p") - F.col("item_p"))
             plain = plain.unionByName(consistent(scratch.keep(filled)).select("doc_id", "item_id", "item_p", "total"))
     return plain.groupBy("doc_id", "item_id").agg((F.count_distinct("item_p") / F.max("total")).alias("share")).filter(F.col("share") >= MIN_SHARE)
 
 
+def flagged(docs: DataFrame, items: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of docs(doc_id, text, ...) with n_items and item_ids: the items that each holds. Rows without an id are judged by their text."""
+    docs = docs.drop("n_items", "item_ids")
+
+    def join(rows, key):
+        found = leaks(rows, items, scratch, id_col=key).groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias("n_items"), F.sort_array(F.collect_list("item_id")).alias("item_ids"))  # bounded by the benchmark
+        return rows.join(_few(scratch.keep(found)), key, "left").select(*docs.columns, F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"))
+
+    out, lost = join(docs.filter("doc_id is not null"), "doc_id"), docs.filter("doc_id is null")
+    if lost.isEmpty():
+        return out
+    key = "text_" + "_".join(docs.columns)  # a name that no column has
+    return out.unionByName(join(lost.withColumn(key, F.md5(F.col("text").cast("binary"))), key))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    found = leaks(docs, read(spark, sf_dir, "benchmark"), Scratch(spark, "leaks")).groupBy("doc_id").agg(
-        F.count("*").alias("n_items"), F.sort_array(F.collect_list("item_id")).alias("item_ids"))  # bounded by the benchmark
-    return docs.select("doc_id").join(found, "doc_id", "left").select(
-        "doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"))
+    found = flagged(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"), Scratch(spark, "leaks"))
+    return found.select("doc_id", (F.col("n_items") > 0).alias("contaminated"), "n_items", "item_ids")
 
 
 QUERIES, SQL = {"op10_decontaminate": op10_decontaminate}, {}

@@ -49,9 +49,10 @@ def test_run(spark, sf):
 
 
 def test_odd_rows(spark, sf):
-    """Rows without id or text, repeated rows, and an empty table go through every stage."""
+    """Rows without id or text, repeated rows, and an empty table go through every stage; a row without an id goes by its text."""
     good = read(spark, sf, "documents").filter("n_chars between 800 and 1200").limit(1).collect()[0]
-    rows = [(1, good.text), (1, good.text), (2, good.text), (None, good.text), (3, None), (4, "")]
+    other = read(spark, sf, "documents").filter("n_chars between 1300 and 1600").limit(1).collect()[0].text
+    rows = [(1, good.text), (1, good.text), (2, good.text), (None, good.text), (3, None), (4, ""), (None, other), (None, other)]
     df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.near_duplicates(spark, df, sf).collect()
     assert sorted((str(r.doc_id) for r in kept)) == ["1", "3", "4", "None"]
