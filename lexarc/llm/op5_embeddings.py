@@ -5,11 +5,17 @@ to shards of bounded size by a hash of their id, and each shard builds a hierarc
 class queries every shard of its label, in blocks of bounded size. A query whose whole beam is similar enough has not
 reached the edge of its neighbourhood and goes again with a beam twice as wide. Then every block is audited: a fixed number of
 its queries go against all vectors of the shard, and if one of them lacks more than 1 - AUDIT_RECALL of its own true links, the
-whole block goes again with wider beams. A query whose beam would hold the whole shard is multiplied with all its vectors. Candidates count when their cosine in double precision
-reaches the threshold, and links union to components.
+whole block goes again with wider beams. A query whose beam would be wider than WIDEST is multiplied with all vectors of the
+shard. Candidates count when their cosine in double precision reaches the threshold.
+
+Links are counted, not listed: a query's own search of each shard says how many vectors it links with there, and of the
+links of a block and a shard only a spanning forest goes on to the components. So what a block passes on is bounded by its
+queries and the shard, however dense a cluster is. `recall` is the least share of its true links that an audited query of
+the label found at last.
 
 Vectors that are null, empty, zero, or hold null or non-finite values, and those without a label or id, link with nothing.
-Vectors of different length don't compare. Every row gives one row; equal rows link with each other.
+Vectors of different length don't compare. Every row gives one row; equal rows link with each other, and rows that repeat
+an id are rows of their own with one component. Columns other than the three are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ from .hnsw import BATCH, Graph
 
 THRESHOLD = 0.93
 SHARD, BLOCK = 8_192, 4_096
-BEAM, AUDITS, AUDIT_RECALL = 32, 64, 0.999
+BEAM, WIDEST, AUDITS, AUDIT_RECALL = 32, 512, 64, 0.999
 #: Slack of single precision below the threshold, before the check in double precision.
 SLACK = 1e-4
 
@@ -37,9 +43,10 @@ def _unit(table: pa.Table, name: str = "v") -> tuple[np.ndarray, np.ndarray]:
     return x, (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-def range_search(graph: Graph, unit: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) pairs with a similarity of at least threshold - SLACK, widening beams as the module describes."""
+def range_search(graph: Graph, unit: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """(query, node) pairs with a similarity of at least threshold - SLACK, widening beams as the module describes; and the least audited recall."""
     n, floor = len(graph.x), threshold - SLACK
+    found = lambda a, t: len(np.intersect1d(hits[int(a)], t)) / len(t) if len(t) else 1.0
     audit = np.arange(0, len(unit), max(1, len(unit) // AUDITS))[:AUDITS]
     truth = [np.flatnonzero(t) for t in unit[audit] @ graph.x.T >= threshold - SLACK / 2]
     left, right = [], []
@@ -60,18 +67,37 @@ def range_search(graph: Graph, unit: np.ndarray, threshold: float) -> tuple[np.n
                     hits[int(r)] = ids[i][sim[i] >= floor]
                 again.append(rows[sim[:, -1] >= floor])
         todo = np.concatenate(again)
-        if not len(todo) and any(len(np.intersect1d(hits[int(a)], t)) < AUDIT_RECALL * len(t) for a, t in zip(audit, truth, strict=True)):
+        recall = 1.0 if len(todo) else min(found(a, t) for a, t in zip(audit, truth, strict=True))
+        if recall < AUDIT_RECALL:
             todo = np.flatnonzero(~exact)
-        width[todo] = np.minimum(n, 2 * width[todo])
+        width[todo] = np.where(2 * width[todo] > WIDEST, n, np.minimum(n, 2 * width[todo]))
     for r, ids in hits.items():
         left.append(np.full(len(ids), r))
         right.append(ids)
-    return np.concatenate(left), np.concatenate(right)
+    return np.concatenate(left), np.concatenate(right), recall
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, least id reachable) for every id but the least ones, over the links of arrays a and b."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, root = at[:len(a)], at[len(a):], np.arange(len(ids))
+    while True:
+        low = root.copy()
+        np.minimum.at(low, root[x], root[y])
+        np.minimum.at(low, root[y], root[x])
+        while not np.array_equal(low, low[low]):
+            low = low[low]
+        low = low[root]
+        if np.array_equal(low, root):
+            break
+        root = low
+    rest = root != np.arange(len(ids))
+    return ids[rest], ids[root[rest]]
 
 
 def near_duplicates(vectors: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
                     shard: int = SHARD, block: int = BLOCK) -> DataFrame:
-    """(id, n_links, component_id) for every row of vectors."""
+    """(id, n_links, component_id, recall) for every row of vectors."""
     kind = vectors.schema[label_col].dataType.simpleString()
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     whole = F.size("v") > 0
@@ -79,7 +105,7 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, threshold: float = THR
     rows = rows.withColumn("ok", F.coalesce(fine, F.lit(False))).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(17), "v"))
     classes = scratch.keep(rows.filter("ok").groupBy("label", "h1", "h2").agg(F.min_by("v", "id").alias("v"), F.min("id").alias("rep"), F.count("*").alias("copies")).withColumn("dim", F.size("v")))
     sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n"))
-    dealt = classes.select("rep", "label", "dim", "v").join(sizes, ["label", "dim"]).withColumn("shards", F.ceil(F.col("n") / shard).cast("int")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    dealt = classes.select("rep", "label", "dim", "v", "copies").join(sizes, ["label", "dim"]).withColumn("shards", F.ceil(F.col("n") / shard).cast("int")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     dealt = scratch.keep(dealt.withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int")))
 
     def grow(key, table):
@@ -88,42 +114,45 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, threshold: float = THR
         table = table.take(pa.array(order))
         x, unit = _unit(table)
         return pa.table({"label": pa.array([key[0].as_py()], table.schema.field("label").type), "dim": pa.array([key[1].as_py()], pa.int32()), "shard": pa.array([key[2].as_py()], pa.int32()), "blocks": table.column("blocks").slice(0, 1).combine_chunks(),
-                         "ids": pa.array([table.column("rep").to_pylist()], pa.list_(pa.int64())), "exact": pa.array([x.tobytes()], pa.binary()), "graph": pa.array([Graph.build(unit).dump()], pa.binary())})
+                         "ids": pa.array([table.column("rep").to_pylist()], pa.list_(pa.int64())), "copies": pa.array([table.column("copies").to_pylist()], pa.list_(pa.int64())), "exact": pa.array([x.tobytes()], pa.binary()), "graph": pa.array([Graph.build(unit).dump()], pa.binary())})
 
-    graphs = scratch.keep(dealt.select("label", "dim", "shard", "blocks", "rep", "v").groupBy("label", "dim", "shard").applyInArrow(grow, f"label {kind}, dim int, shard int, blocks int, ids array<long>, exact binary, graph binary"))
+    graphs = scratch.keep(dealt.select("label", "dim", "shard", "blocks", "rep", "v", "copies").groupBy("label", "dim", "shard").applyInArrow(grow, f"label {kind}, dim int, shard int, blocks int, ids array<long>, copies array<long>, exact binary, graph binary"))
 
     def ask(key, index, queries):
+        """Rows (a, others, recall) for queries, and (a, root) for the forest of the links."""
         if not index.num_rows or not queries.num_rows:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+            return pa.table({"a": pa.array([], pa.int64()), "root": pa.array([], pa.int64()), "others": pa.array([], pa.int64()), "recall": pa.array([], pa.float64())})
         queries = queries.sort_by("rep")
         x, unit = _unit(queries)
         ids = np.array(index.column("ids")[0].as_py(), dtype=np.int64)
         y = np.frombuffer(index.column("exact")[0].as_py(), dtype=np.float64).reshape(len(ids), -1)
         own = np.asarray(queries.column("rep"))
-        i, j = range_search(Graph.load(index.column("graph")[0].as_py()), unit, threshold)
+        i, j, recall = range_search(Graph.load(index.column("graph")[0].as_py()), unit, threshold)
         keep = own[i] != ids[j]
         i, j = i[keep], j[keep]
         norm_x, norm_y = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
         cos = np.concatenate([np.einsum("nd,nd->n", x[i[k:k + 65536]], y[j[k:k + 65536]]) for k in range(0, len(i), 65536)] or [np.zeros(0)]) / (norm_x[i] * norm_y[j])
         i, j = i[cos >= threshold], j[cos >= threshold]
-        a, b = own[i], ids[j]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        others = np.bincount(i, weights=np.array(index.column("copies")[0].as_py())[j], minlength=len(own)).astype(np.int64)
+        node, root = forest(own[i], ids[j])
+        return pa.table({"a": np.concatenate([own, node]), "root": pa.concat_arrays([pa.nulls(len(own), pa.int64()), pa.array(root.astype(np.int64))]),
+                         "others": pa.concat_arrays([pa.array(others), pa.nulls(len(node), pa.int64())]), "recall": pa.concat_arrays([pa.array(np.full(len(own), recall)), pa.nulls(len(node), pa.float64())])})
 
-    index = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("label", "dim", "shard", "block", "ids", "exact", "graph")
+    index = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("label", "dim", "shard", "block", "ids", "copies", "exact", "graph")
     queries = dealt.select("label", "dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "block", "rep", "v")
     keys = ["label", "dim", "shard", "block"]
-    links = scratch.keep(index.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(ask, "a long, b long").distinct())
-    comps = connected_components(links, scratch)
-    weight = classes.select(F.col("rep").alias("b"), "copies")
-    degree = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(weight, "b").groupBy("a").agg(F.sum("copies").alias("others"))
+    told = scratch.keep(index.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(ask, "a long, root long, others long, recall double"))
+    comps = connected_components(told.filter("root is not null").select("a", F.col("root").alias("b")), scratch)
+    degree = told.filter("root is null").groupBy("a").agg(F.sum("others").alias("others"), F.min("recall").alias("recall"))
+    scratch.drop(dealt, graphs)
     named = classes.select("label", "h1", "h2", "rep", "copies").join(degree.withColumnRenamed("a", "rep"), "rep", "left").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "label", "h1", "h2", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"), F.lit(True).alias("ok"))
-    return rows.select("id", "label", "h1", "h2", "ok").join(named, ["label", "h1", "h2", "ok"], "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+        "label", "h1", "h2", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"), "recall", F.lit(True).alias("ok"))
+    return rows.select("id", "label", "h1", "h2", "ok").join(named, ["label", "h1", "h2", "ok"], "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"), "recall")
 
 
 def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = near_duplicates(read(spark, sf_dir, "embeddings"), Scratch(spark, "vectors"))
-    return got.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return got.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"), "recall")
 
 
 QUERIES, SQL = {"op5_embeddings": op5_embeddings}, {}
