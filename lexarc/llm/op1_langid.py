@@ -8,7 +8,9 @@ trigram count for each further language rises. The prediction is the language wi
 
 A null text, or one without letters, is `und` with score 0 and no proportions; so is every text if nothing could be
 learned. Every row gives one row, repeated ones too. Equal shares go to the language that comes first in order. Texts
-are processed whole. The model has languages x buckets numbers; more than `MAX_LANGUAGES` labels raise an error.
+are processed whole. Rows without an id are never held out. Columns other than the id, the text and the label are not read,
+whatever their names. The model has languages x buckets numbers of four bytes, one vector a language, summed where the counts
+are; labels beyond `MODEL_BYTES` (2,048 languages) raise an error, since the model goes to every executor.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from .common import crc_mod, read
 from .textstats import points, tables
 
 BUCKETS = 1 << 15
-MAX_LANGUAGES = 1_000
+MODEL_BYTES = 1 << 28
 EM_ROUNDS = 20
 SLICE = 512
 
@@ -61,19 +63,27 @@ def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Da
 
 def model(counts: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages in order and their smoothed trigram probabilities (buckets x languages)."""
-    t = counts.toPandas()
-    langs = sorted(t["lang"].unique())
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; the model holds {MAX_LANGUAGES}")
-    p = np.full((BUCKETS, len(langs)), 0.5)
-    where = {x: i for i, x in enumerate(langs)}
-    p[t["bucket"].to_numpy(np.int64), t["lang"].map(where).to_numpy(np.int64)] += t["n"].to_numpy(np.float64)
-    return langs, p / p.sum(axis=0)
+
+    def vector(key, table):  # at most a row a bucket
+        p = np.full(BUCKETS, 0.5)
+        p[np.asarray(table.column("bucket"))] += np.asarray(table.column("n"))
+        return pa.table({"lang": pa.array([key[0].as_py()], pa.string()), "p": pa.array([(p / p.sum()).astype(np.float32).tobytes()], pa.binary())})
+
+    vectors = counts.groupBy("lang").applyInArrow(vector, "lang string, p binary").persist()
+    n = vectors.count()
+    if 4 * BUCKETS * n > MODEL_BYTES:
+        raise ValueError(f"{n} languages; the model holds {MODEL_BYTES // (4 * BUCKETS)}")
+    rows = sorted(vectors.toLocalIterator(), key=lambda r: r.lang)
+    vectors.unpersist()
+    p = np.zeros((BUCKETS, n), dtype=np.float32)
+    for i, r in enumerate(rows):
+        p[:, i] = np.frombuffer(r.p, dtype=np.float32)
+    return [r.lang for r in rows], p
 
 
 def mixture(u: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Proportions of the languages in a text with trigram buckets u, seen n times each."""
-    q, total = p[u], n.sum()
+    q, total = p[u].astype(np.float64), n.sum()
     langs = q.shape[1]
     pi = np.zeros(langs)
     best = int(np.argmax(n @ np.log(q)))
