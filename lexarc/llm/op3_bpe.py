@@ -6,7 +6,9 @@ looks only ahead; the chunks are stitched at the first such boundary and each en
 Decoding concatenates the raw bytes of the ids. A text whose neighbouring chunks never agree (a single pre-token
 longer than the overlap) is put together again and encoded in one piece.
 
-A null text counts as empty and has no ids. Every input row gives one output row; repeated rows stay repeated.
+A null text counts as empty and has no ids. Every input row gives one output row, with or without an id; repeated rows stay
+repeated. Long rows are numbered in the order of the frame, so the frame is a scan or a kept table, which gives lost tasks
+the same rows again.
 Columns other than the id and the text are not read, whatever their names.
 """
 
@@ -15,6 +17,7 @@ from __future__ import annotations
 import base64
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,8 +84,6 @@ def exact_matches(split, text: str, last: bool) -> list[tuple[int, int]]:
 def _lists(rows: list[list[int]]) -> pa.Array:
     import itertools
 
-    import numpy as np
-
     offsets = np.zeros(len(rows) + 1, dtype=np.int32)
     np.cumsum([len(r) for r in rows], out=offsets[1:])
     flat = np.fromiter(itertools.chain.from_iterable(rows), dtype=np.int32, count=int(offsets[-1]))
@@ -130,7 +131,7 @@ def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
     seen = pieces.mapInArrow(pretokenise, pieces_schema).withColumn("hi", F.when(~F.col("is_last"), cut)).withColumn(
         "lo", F.coalesce(F.lag("hi").over(w), F.lit(0))).withColumn(
         "whole", F.max(F.expr("hi is null and not is_last")).over(W.partitionBy("row_id")))
-    parts_schema = f"`{id_col}` {kind}, row_id long, chunk_no int, ids array<int>, decoded binary, kept string"
+    parts_schema = f"`{id_col}` {kind}, row_id long, chunk_no int, ids array<int>, kept string"
 
     def encode_parts(batches):
         c = codec(ranks_path, pattern)
@@ -140,15 +141,23 @@ def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
                 got = [[] if r["whole"] else c.encode_pieces(r["part"][s:e] for s, e in exact_matches(c.split, r["part"], r["is_last"])
                                                              if s + r["start"] >= r["lo"] and (r["is_last"] or s + r["start"] < r["hi"])) for r in b.to_pylist()]
                 kept = [(r["part"] if r["is_last"] else r["part"][:chunk]) if r["whole"] else None for r in b.to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), _lists(got), pa.array([c.decode(x) for x in got], pa.binary()), pa.array(kept, pa.string())],
-                                                 names=[id_col, "row_id", "chunk_no", "ids", "decoded", "kept"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), _lists(got), pa.array(kept, pa.string())],
+                                                 names=[id_col, "row_id", "chunk_no", "ids", "kept"])
 
     stitched = seen.drop("head", "tail").mapInArrow(encode_parts, parts_schema).groupBy("row_id", id_col).agg(
-        F.array_sort(F.collect_list(F.struct("chunk_no", "ids", F.hex("decoded").alias("hex"), "kept"))).alias("parts"))
+        F.array_sort(F.collect_list(F.struct("chunk_no", "ids", "kept"))).alias("parts"))
     again = stitched.filter("parts[0].kept is not null").select(
         id_col, F.expr("concat_ws('', transform(parts, p -> p.kept))").alias("text")).mapInArrow(whole, schema)
-    joined = stitched.filter("parts[0].kept is null").select(
-        id_col, F.expr("flatten(transform(parts, p -> p.ids))").alias("ids"), F.expr("unhex(concat_ws('', transform(parts, p -> p.hex)))").alias("decoded"))
+
+    def decode(batches):
+        c = codec(ranks_path, pattern)
+        for big in batches:
+            for at in range(0, big.num_rows, slice_rows):
+                b = big.slice(at, slice_rows)
+                decoded = [c.decode(np.asarray(x.values).tolist()) for x in b.column(1)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(decoded, pa.binary())], names=[id_col, "ids", "decoded"])
+
+    joined = stitched.filter("parts[0].kept is null").select(id_col, F.expr("flatten(transform(parts, p -> p.ids))").alias("ids")).mapInArrow(decode, schema)
     return short.unionByName(joined).unionByName(again)
 
 
