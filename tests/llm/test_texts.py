@@ -135,6 +135,37 @@ def test_secrets(spark, odd):
     assert op2_secrets.scan(odd).count() == len(ROWS) and op2_secrets.scan(odd.filter("false")).count() == 0
 
 
+def test_forms_that_were_not_trained():
+    """Recall of key formats, and rejection of look-alikes, that the labelled findings don't generate."""
+    rng = np.random.default_rng(31)
+    some = lambda alphabet, k: "".join(alphabet[i] for i in rng.integers(0, len(alphabet), k))
+    hexes, every = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = {"npm": lambda: f"npm_{some(every, 36)}", "lab": lambda: f"glpat-{some(every, 20)}", "hub": lambda: f"hf_{some(every, 34)}", "shop": lambda: f"shpat_{some(hexes, 32)}",
+            "word password": lambda: f"password is hunter{some('0123456789', 1)}hunter{some('0123456789', 2)}", "client": lambda: f"client_secret: {some(every, 32)}"}
+    alike = {"digest": lambda: f"digest sha256:{some(hexes, 64)}", "commit": lambda: f"reverts commit {some(hexes, 40)} of main", "slug": lambda: f"https://news.org/2021/the-long-road-to-the-northern-station-{some('0123456789', 3)}",
+             "class": lambda: f"AbstractServiceHandlerFactoryBean{some('0123456789', 1)}", "path": lambda: f"/usr/lib/python3/site-packages/module{some('0123456789', 1)}/index", "placeholder": lambda: "password=changeme123", "sentence": lambda: "the password is forgotten by everyone"}
+    forest = op2_secrets.standard_forest()
+    share = lambda make: np.mean([any(x["score"] >= op2_secrets.ACCEPT for x in op2_secrets._findings([f"we saw {make()} in the log"], forest)[0]) for _ in range(100)])
+    found = {k: share(f) for k, f in keys.items()}
+    wrong = {k: share(f) for k, f in alike.items()}
+    assert min(found.values()) >= 0.9 and max(wrong.values()) <= 0.1, (found, wrong)
+
+
+def test_false_positives_in_documents(spark, sf):
+    """Look-alikes planted in documents become candidates and are rejected; keys planted beside them are found."""
+    rng = np.random.default_rng(3)
+    some = lambda alphabet, k: "".join(alphabet[i] for i in rng.integers(0, len(alphabet), k))
+    hexes = "0123456789abcdef"
+    docs = [(r.doc_id, r.text) for r in read(spark, sf, "documents").filter("length(text) > 200").limit(60).collect()]
+    base = {r.doc_id: r for r in op2_secrets.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    plant = lambda i: f" at commit {some(hexes, 40)} " if i % 2 else f" key AKIA{some('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 16)} "
+    planted = [(d, t[:100] + plant(i) + t[100:]) for i, (d, t) in enumerate(docs)]
+    got = {r.doc_id: r for r in op2_secrets.scan(spark.createDataFrame(planted, "doc_id long, text string")).collect()}
+    more = [(i, got[d].n_candidates - base[d].n_candidates, len(got[d].findings) - len(base[d].findings)) for i, (d, _) in enumerate(docs)]
+    assert np.mean([c >= 1 for _, c, _ in more]) > 0.9
+    assert np.mean([f == 0 for i, _, f in more if i % 2]) >= 0.9 and np.mean([f == 1 for i, _, f in more if not i % 2]) >= 0.9
+
+
 def test_key_inside_a_rejected_candidate():
     class Known:
         def predict(self, x):
