@@ -33,8 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
-#: Rows that pass to Python at once while a table is written: they can hold long texts or blocks of bitmaps.
-BATCH_ROWS = 256
+#: Rows and bytes that pass to Python at once while a table is written: rows can hold long texts or blocks of bitmaps.
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
 
 
 class Scratch:
@@ -52,13 +52,16 @@ class Scratch:
         path = f"{self.root}/{self.n}"
         self.n += 1
         schema = df.schema
-        conf, name = self.spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-        usual = conf.get(name)
-        conf.set(name, str(min(int(usual), BATCH_ROWS) if int(usual) > 0 else BATCH_ROWS))
+        conf, names = self.spark.conf, [f"spark.sql.execution.arrow.{x}" for x in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+        usual = [conf.get(x) for x in names]
+        rows = int(usual[0])
+        conf.set(names[0], str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS))
+        conf.set(names[1], str(BATCH_BYTES))
         try:
             df.write.option("compression", "zstd").parquet(path)
         finally:
-            conf.set(name, usual)
+            for x, was in zip(names, usual, strict=True):
+                conf.set(x, was)
         out = self.spark.read.schema(schema).parquet(path)
         out._lexarc_path = path
         return out
