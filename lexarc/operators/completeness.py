@@ -61,10 +61,12 @@ def report(pages: DataFrame, r: DataFrame, lines: DataFrame, chunks: DataFrame)
     ln = lines.groupBy("transcript_id").agg(ints("page").alias("extracted_pages"), ints("case when is_testimony then page end").alias("extracted_testimony_pages"), F.count("*").alias("extracted_lines"), F.count_if("is_testimony").alias("extracted_testimony_lines"))
     tp = testimony_pages(pages, lines).groupBy("transcript_id").agg(ints("page").alias("testimony_pages"))
     ch = chunks.groupBy("transcript_id").agg(F.count("*").alias("chunks_created"))
-    gaps = line_gaps(pages, r, lines).groupBy("transcript_id").agg(F.sum(F.expr("case when size(missing_lines) > 0 then 1 else 0 end + case when size(missing_in_canonical) > 0 then 1 else 0 end")).alias("gaps_detected"))
-    dup = duplicate_lines(r).join(pages.filter("kept"), KEY).groupBy("transcript_id").agg(F.count_distinct("pdf_page_index").alias("duplicate_pages"))
-    warn = extraction_warnings(pages, r, lines).groupBy("transcript_id").agg(F.count("*").alias("n_warnings"))
+    gaps = line_gaps(pages, r, lines).groupBy("transcript_id").agg(F.sum(F.expr("case when size(missing_lines) > 0 then 1 else 0 end + case when size(missing_in_canonical) > 0 then 1 else 0 end")).alias("gaps_detected"), ints("page").alias("gap_pages"))
+    dup = duplicate_lines(r).join(pages.filter("kept"), KEY).groupBy("transcript_id").agg(F.count_distinct("pdf_page_index").alias("duplicate_pages"), ints("pdf_page_index").alias("duplicate_pdf_pages"))
+    warn = extraction_warnings(pages, r, lines).groupBy("transcript_id").agg(F.count("*").alias("n_warnings"), F.expr("transform(array_sort(collect_list(struct(n, warning))), x -> x.warning)").alias("warnings"))
     x = p
     for other in (roles, ln, tp, testimony_range(lines), ch, gaps, dup, warn):
         x = x.join(other, "transcript_id", "left")
+    for name in ("gap_pages", "duplicate_pdf_pages", "warnings"):
+        x = x.withColumn(name, F.coalesce(name, F.array().cast(x.schema[name].dataType)))
     return x.fillna(0, ["chunks_created", "gaps_detected", "duplicate_pages", "n_warnings", "extracted_lines", "extracted_testimony_lines"])

@@ -52,8 +52,9 @@ def run_summary(topics: DataFrame, lines: DataFrame, chunks: DataFrame, pages: D
 
 
 def fingerprint(topics: DataFrame) -> DataFrame:
-    """(transcript_id, n_topics, sha256) over each transcript's index rows in order."""
-    row = F.expr("concat_ws('|', topic_id, topic, start_page, start_line, end_page, end_line, supporting_source_reference, array_join(source_ids, ','))")
+    """(transcript_id, n_topics, sha256) over all public fields of each transcript's index rows, in order."""
+    row = F.expr("""concat_ws('|', topic_id, topic, start_page, start_line, end_page, end_line, supporting_source_reference, supporting_evidence, array_join(source_ids, ','), array_join(related_topic_ids, ','),
+        coalesce(recurrence_of, ''), is_procedural, transition_type, confidence)""")
     return topics.groupBy("transcript_id").agg(F.count("*").alias("n_topics"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("topic_no", row.alias("r")))), lambda x: x["r"]), "\n").cast("binary"), 256).alias("sha256"))
 
 

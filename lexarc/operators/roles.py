@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .layout import KEY, fold_lines, footers, rows
+from .layout import KEY, fold_lines, footers
 
 # Roles whose pages give no lines.
 SKIPPED = ["word_index", "procedural_appendix", "reporter_certificate", "redacted_administrative", "unnumbered"]
@@ -41,10 +41,9 @@ def classify(texts: DataFrame, r: DataFrame) -> DataFrame:
     return p.withColumn("transcript_page", page).withColumn("kept", F.expr(f"page_role not in ({skipped})")).select(*KEY, "page_role", "transcript_page", "kept", "raw_text")
 
 
-def canonical_lines(words: DataFrame, texts: DataFrame) -> DataFrame:
+def canonical_lines(r: DataFrame, pages: DataFrame) -> DataFrame:
     """Lines of kept pages with a footer: (transcript_id, pdf_page_index, page, line, page_role, text, timestamp, cue)."""
-    r = rows(words)
-    pages = classify(texts, r).filter("kept and transcript_page is not null").select(*KEY, "page_role", F.col("transcript_page").alias("page"))
+    pages = pages.filter("kept and transcript_page is not null").select(*KEY, "page_role", F.col("transcript_page").alias("page"))
     return fold_lines(r).join(pages, KEY)
 
 

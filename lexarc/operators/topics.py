@@ -21,11 +21,20 @@ def n_words(col: Column) -> Column:
     return F.when(F.trim(col) == "", 0).otherwise(F.size(F.split(F.trim(col), r"\s+")))
 
 
-def normalize_label(col: Column) -> Column:
-    t = F.trim(F.regexp_replace(col, r"\s+", " "))
-    t = F.trim(F.regexp_replace(F.regexp_replace(t, FILLER, ""), "^[-:;,. ]+", ""))
-    t = F.when(F.length(t) > 115, F.concat(F.regexp_replace(F.substring(t, 1, 115), " [^ ]*$", ""), F.lit("..."))).otherwise(t)
-    return F.when(t == "", F.lit(UNTITLED)).otherwise(F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 1_000_000)))
+def capital(col: Column) -> Column:
+    return F.concat(F.upper(F.substring(col, 1, 1)), F.substring(col, 2, 1_000_000))
+
+
+def normalized(df: DataFrame, source: Column, name: str) -> DataFrame:
+    """df with a label made of the source: one line, no filler before it, a bounded length, a capital.
+
+    Each step is a column of its own, since an expression that repeats its input grows with every step.
+    """
+    blank = F.trim(F.regexp_replace(source, r"\s+", " "))
+    plain = F.trim(F.regexp_replace(F.regexp_replace(blank, FILLER, ""), "^[-:;,. ]+", ""))
+    t = F.col(name)
+    short = F.when(F.length(t) > 115, F.concat(F.regexp_replace(F.substring(t, 1, 115), " [^ ]*$", ""), F.lit("..."))).otherwise(t)
+    return df.withColumn(name, plain).withColumn(name, short).withColumn(name, F.when(t == "", F.lit(UNTITLED)).otherwise(capital(t)))
 
 
 def topic_units(numbered: DataFrame, assigned: DataFrame) -> DataFrame:
@@ -56,11 +65,15 @@ def first_question(units: DataFrame, turns: DataFrame) -> DataFrame:
     return units.groupBy(*KEY).agg(F.min_by("text", "unit_no").alias("other")).join(best, KEY, "left").select(*KEY, F.coalesce("best", "other").alias("question"))
 
 
-def compose_label(question: Column, phrases: Column) -> Column:
-    q = normalize_label(question)
-    topical = F.array_join(F.slice(F.coalesce(phrases, F.array().cast("array<string>")), 1, 3), "; ")
-    alone = normalize_label(F.when(topical == "", F.lit("Testimony segment")).otherwise(F.concat(F.upper(F.substring(topical, 1, 1)), F.substring(topical, 2, 1_000_000))))
-    return F.when(F.startswith(F.lower(q), F.lit("untitled")), alone).when((topical != "") & ~F.contains(F.lower(q), F.lower(topical)) & (F.length(q) <= 75), normalize_label(F.concat(q, F.lit(" ("), topical, F.lit(")")))).otherwise(q)
+def composed_label(t: DataFrame) -> DataFrame:
+    """t(question, phrases, given) with its label: the given one, or the question, with the phrases where it is short, or they alone."""
+    q, topical = F.col("label_q"), F.col("label_topical")
+    t = normalized(t, F.coalesce("given", "question"), "label_q").withColumn("label_topical", F.array_join(F.slice(F.coalesce("phrases", F.array().cast("array<string>")), 1, 3), "; "))
+    alone = F.when(topical == "", F.lit("Testimony segment")).otherwise(capital(topical))
+    both = (topical != "") & ~F.contains(F.lower(q), F.lower(topical)) & (F.length(q) <= 75)
+    t = t.withColumn("label_more", F.when(F.col("given").isNull(), F.when(F.startswith(F.lower(q), F.lit("untitled")), alone).when(both, F.concat(q, F.lit(" ("), topical, F.lit(")")))))
+    t = normalized(t, F.col("label_more"), "label_made")
+    return t.withColumn("label", F.when(F.col("label_more").isNotNull(), F.col("label_made")).otherwise(q)).drop("label_q", "label_topical", "label_more", "label_made")
 
 
 def evidence(topics: DataFrame, lines: DataFrame, limit: int) -> DataFrame:
@@ -79,12 +92,12 @@ def records(units: DataFrame, turns: DataFrame, lines: DataFrame, config: Engine
     """Topics before validation. labels(transcript_id, chunk_id, topic_label) may name topics by their first labelled chunk."""
     t = spans(units)
     t = t.join(T.keyphrases(t, KEY, "text", 6, config.phrase_vocabulary), KEY, "left").join(first_question(units, turns), KEY)
-    label = compose_label(F.col("question"), F.col("phrases"))
-    if labels is not None:
+    if labels is None:
+        t = t.withColumn("given", F.lit(None).cast("string"))
+    else:
         named = units.select(*KEY, "chunk_no", "chunk_id").distinct().join(labels.filter("coalesce(topic_label, '') <> ''"), ["transcript_id", "chunk_id"]).groupBy(*KEY).agg(F.min_by("topic_label", "chunk_no").alias("given"))
         t = t.join(named, KEY, "left")
-        label = F.when(F.col("given").isNotNull(), normalize_label(F.col("given"))).otherwise(label)
-    t = t.withColumn("topic", F.when(F.col("is_procedural"), F.expr("concat('Procedural interruption (', reason, ')')")).otherwise(label))
+    t = composed_label(t).withColumn("topic", F.when(F.col("is_procedural"), F.expr("concat('Procedural interruption (', reason, ')')")).otherwise(F.col("label"))).drop("label", "given")
     t = t.withColumn("fingerprint", F.expr("substring(sha1(array_join(slice(coalesce(phrases, cast(array() as array<string>)), 1, 4), ' ')), 1, 10)"))
     t = t.withColumn("confidence", F.expr("round(least(0.95D, 0.55D + 0.05D * ln(1 + n_units)), 3)"))
     t = t.withColumn("supporting_source_reference", F.expr(f"concat('{config.deposition_name} P', start_page, ':L', start_line, ' - P', end_page, ':L', end_line)"))

@@ -148,9 +148,14 @@ def testimony_lines(t):
     return t.lines.filter("is_testimony").select("transcript_id", "source_id", "page", "line")
 
 
-@query("SELECT * FROM wide")
+TROUBLED = "case when ord <= 2 then 'P1:L1' else source_id end"
+
+
+@query(f""", troubled AS (SELECT * REPLACE ({TROUBLED} AS source_id, is_testimony AND transcript_id % 2 = 1 AS is_testimony) FROM lines)
+SELECT transcript_id, unnest(list_filter([CASE WHEN count(*) <> count(DISTINCT source_id) THEN 'Duplicate source_id values were produced during extraction.' END, CASE WHEN NOT bool_or(is_testimony) THEN 'No testimony lines detected; check extraction.' END], lambda x: x IS NOT NULL)) AS warning FROM troubled GROUP BY 1""")
 def transcript_warnings(t):
-    return speakers.transcript_warnings(t.lines)
+    """Over lines with a repeated id, and every second transcript without testimony."""
+    return speakers.transcript_warnings(t.lines.withColumn("source_id", F.expr(TROUBLED)).withColumn("is_testimony", F.expr("is_testimony and transcript_id % 2 = 1")))
 
 
 @query("SELECT transcript_id, turn_no, speaker, speaker_kind, n_lines, source_ids FROM turns", "turns")
@@ -275,7 +280,7 @@ def first_question(t):
 
 @query(f"SELECT transcript_id, turn_no, {O.label('text')} AS label FROM turns")
 def normalize_label(t):
-    return t.turns.select("transcript_id", "turn_no", topics.normalize_label(F.col("text")).alias("label"))
+    return topics.normalized(t.kept_turns, F.col("text"), "label").select("transcript_id", "turn_no", "label")
 
 
 @query("SELECT transcript_id, topic_no, topic0 AS topic FROM recs")
@@ -288,9 +293,19 @@ def topic_procedural(t):
     return topics.spans(t.topic_units).select(*TOPIC, "is_procedural", "reason")
 
 
-@query("SELECT transcript_id, topic_no, fingerprint, recurrence_of, related_topic_ids, transition_type FROM linked")
+ALIKE_SQL = """, alike AS (SELECT * REPLACE ('f' || (topic_no % 3) AS fingerprint) FROM checked),
+aheld AS (SELECT *, first_value(topic_no) OVER w AS h_no, first_value(topic_id) OVER w AS h_id, first_value(end_page) OVER w AS h_end, first_value(provenance_ok) OVER w AS h_ok FROM alike WINDOW w AS (PARTITION BY transcript_id, fingerprint ORDER BY topic_no)),
+alinked AS (SELECT * EXCLUDE (topic0), h_no <> topic_no AND h_ok AS l, h_no <> topic_no AND h_ok AND start_page - h_end >= 4 AS later, topic0 || CASE WHEN h_no <> topic_no AND h_ok AND start_page - h_end >= 4 THEN ' (later span)' ELSE '' END AS topic FROM aheld)"""
+
+
+def alike(t) -> DataFrame:
+    """All topics, where every third has the same fingerprint."""
+    return topics.link_recurrence(provenance.validate(t.records.withColumn("fingerprint", F.expr("concat('f', topic_no % 3)")), t.lines), t.config)
+
+
+@query(ALIKE_SQL + """ SELECT transcript_id, topic_no, topic, fingerprint, CASE WHEN later THEN h_id END AS recurrence_of, CASE WHEN l THEN [h_id] ELSE [] END AS related_topic_ids, CASE WHEN l THEN 'related_distinct' ELSE 'new_topic' END AS transition_type FROM alinked""")
 def topic_recurrence(t):
-    return t.linked.select(*TOPIC, "fingerprint", "recurrence_of", "related_topic_ids", "transition_type")
+    return alike(t).select(*TOPIC, "topic", "fingerprint", "recurrence_of", "related_topic_ids", "transition_type")
 
 
 @query("SELECT * FROM ev")
@@ -316,14 +331,15 @@ warnings AS (SELECT * FROM (SELECT transcript_id, row_number() OVER (PARTITION B
 
 
 @query(GAPS + TPAGES + WARN + """ SELECT p.transcript_id, total_pdf_pages, non_testimony_roles, page_roles, extracted_pages, extracted_testimony_pages, extracted_lines, extracted_testimony_lines, testimony_pages, testimony_start, testimony_end,
-  coalesce(chunks_created, 0) AS chunks_created, coalesce(gaps_detected, 0) AS gaps_detected, coalesce(duplicate_pages, 0) AS duplicate_pages, coalesce(n_warnings, 0) AS n_warnings
+  coalesce(chunks_created, 0) AS chunks_created, coalesce(gaps_detected, 0) AS gaps_detected, coalesce(duplicate_pages, 0) AS duplicate_pages, coalesce(n_warnings, 0) AS n_warnings,
+  coalesce(gap_pages, []) AS gap_pages, coalesce(duplicate_pdf_pages, []) AS duplicate_pdf_pages, coalesce(warnings, []) AS warnings
 FROM (SELECT transcript_id, count(*) AS total_pdf_pages, list(DISTINCT page_role ORDER BY page_role) FILTER (WHERE page_role <> 'transcript') AS non_testimony_roles FROM pages GROUP BY 1) p
 LEFT JOIN (SELECT transcript_id, list(page_role || '=' || n ORDER BY page_role) AS page_roles FROM (SELECT transcript_id, page_role, count(*) AS n FROM pages GROUP BY 1, 2) GROUP BY 1) USING (transcript_id)
 LEFT JOIN (SELECT transcript_id, list(DISTINCT page ORDER BY page) AS extracted_pages, list(DISTINCT page ORDER BY page) FILTER (WHERE is_testimony) AS extracted_testimony_pages, count(*) AS extracted_lines, count(*) FILTER (WHERE is_testimony) AS extracted_testimony_lines FROM lines GROUP BY 1) USING (transcript_id)
 LEFT JOIN (SELECT transcript_id, list(page ORDER BY page) AS testimony_pages FROM tpages GROUP BY 1) USING (transcript_id) LEFT JOIN trange USING (transcript_id) LEFT JOIN (SELECT transcript_id, count(*) AS chunks_created FROM chunks GROUP BY 1) USING (transcript_id)
-LEFT JOIN (SELECT transcript_id, sum((len(missing_lines) > 0)::INT + (len(missing_in_canonical) > 0)::INT)::BIGINT AS gaps_detected FROM gaps GROUP BY 1) USING (transcript_id)
-LEFT JOIN (SELECT transcript_id, count(DISTINCT pdf_page_index) AS duplicate_pages FROM dups JOIN pages USING (transcript_id, pdf_page_index) WHERE kept GROUP BY 1) USING (transcript_id)
-LEFT JOIN (SELECT transcript_id, count(*) AS n_warnings FROM warnings GROUP BY 1) USING (transcript_id)""")
+LEFT JOIN (SELECT transcript_id, sum((len(missing_lines) > 0)::INT + (len(missing_in_canonical) > 0)::INT)::BIGINT AS gaps_detected, list(page ORDER BY page) AS gap_pages FROM gaps GROUP BY 1) USING (transcript_id)
+LEFT JOIN (SELECT transcript_id, count(DISTINCT pdf_page_index) AS duplicate_pages, list(DISTINCT pdf_page_index ORDER BY pdf_page_index) AS duplicate_pdf_pages FROM dups JOIN pages USING (transcript_id, pdf_page_index) WHERE kept GROUP BY 1) USING (transcript_id)
+LEFT JOIN (SELECT transcript_id, count(*) AS n_warnings, list(warning ORDER BY n) AS warnings FROM warnings GROUP BY 1) USING (transcript_id)""")
 def completeness_report(t):
     return completeness.report(t.pages, t.rows, t.lines, t.chunks)
 
@@ -408,9 +424,11 @@ def provenance_audit(t):
     return provenance.audit(broken(t.records), t.lines)
 
 
-@query("SELECT transcript_id, source_id, count(*) AS n_topics FROM (SELECT transcript_id, topic_no, unnest(source_ids) AS source_id FROM idx) GROUP BY 1, 2 HAVING count(*) > 1")
+@query("SELECT transcript_id, source_id, count(*) AS n_topics FROM (SELECT transcript_id, topic_no, unnest(CASE WHEN topic_no % 2 = 1 THEN list_concat(source_ids, ['P2:L2', 'P3:L1']) ELSE source_ids END) AS source_id FROM idx) GROUP BY 1, 2 HAVING count(*) > 1")
 def duplicate_assignments(t):
-    return t.index.select("transcript_id", F.explode("source_ids").alias("source_id")).groupBy("transcript_id", "source_id").agg(F.count("*").alias("n_topics")).filter("n_topics > 1")
+    """Over an index in which every second topic holds two more lines."""
+    shared = t.index.withColumn("source_ids", F.expr("case when topic_no % 2 = 1 then concat(source_ids, array('P2:L2', 'P3:L1')) else source_ids end"))
+    return shared.select("transcript_id", F.explode("source_ids").alias("source_id")).groupBy("transcript_id", "source_id").agg(F.count("*").alias("n_topics")).filter("n_topics > 1")
 
 
 @query(f"SELECT transcript_id, topic_id, topic FROM idx WHERE contains(lower(topic), '{TERM}') OR contains(lower(supporting_evidence), '{TERM}') OR contains(lower(array_to_string(source_ids, ' ')), '{TERM}')")
@@ -429,9 +447,9 @@ def topic_lookup(t):
     return reduce(DataFrame.unionByName, [search.lookup(t.index, x).select(F.lit(x).alias("asked"), "transcript_id", "topic_id") for x in ("T002", "-1", "0")])
 
 
-@query("SELECT a.transcript_id, a.topic_id, r.topic_id AS related_id, r.topic AS related_topic FROM (SELECT transcript_id, topic_id, unnest(related_topic_ids) AS rid FROM idx) a JOIN idx r ON r.transcript_id = a.transcript_id AND r.topic_id = a.rid")
+@query(ALIKE_SQL + " SELECT a.transcript_id, a.topic_id, r.topic_id AS related_id, r.topic AS related_topic FROM (SELECT transcript_id, topic_id, h_id AS rid FROM alinked WHERE provenance_ok AND l) a JOIN alinked r ON r.transcript_id = a.transcript_id AND r.topic_id = a.rid AND r.provenance_ok")
 def topic_related(t):
-    return search.related(t.index)
+    return search.related(alike(t).filter("provenance_ok"))
 
 
 @query("SELECT transcript_id, topic_no, page, line, source_id, speaker, text FROM topiclines")
@@ -452,7 +470,7 @@ def provenance_check(t):
     return provenance.check(t.index, t.lines)
 
 
-@query(None)
+@query(f"""SELECT transcript_id, row_number() OVER (PARTITION BY transcript_id ORDER BY start_page, start_line, end_page, end_line, topic_no) AS n, CAST(to_json({{{', '.join(f"'{c}': {c}" for c in sorted(reports.PUBLIC))}}}) AS VARCHAR) AS entry FROM idx""")
 def topic_index_json(t):
     return reports.json_rows(t.index)
 
@@ -470,7 +488,7 @@ def run_summary(t):
     return reports.run_summary(t.index, t.lines, t.chunks, t.pages)
 
 
-@query("""SELECT transcript_id, count(*) AS n_topics, sha256(string_agg(topic_id || '|' || topic || '|' || start_page || '|' || start_line || '|' || end_page || '|' || end_line || '|' || supporting_source_reference || '|' || array_to_string(source_ids, ','), chr(10) ORDER BY topic_no)) AS sha256 FROM idx GROUP BY 1""")
+@query("""SELECT transcript_id, count(*) AS n_topics, sha256(string_agg(concat_ws('|', topic_id, topic, start_page, start_line, end_page, end_line, supporting_source_reference, supporting_evidence, array_to_string(source_ids, ','), array_to_string(related_topic_ids, ','), coalesce(recurrence_of, ''), is_procedural, transition_type, confidence), chr(10) ORDER BY topic_no)) AS sha256 FROM idx GROUP BY 1""")
 def run_fingerprint(t):
     return reports.fingerprint(t.index)
 
@@ -489,7 +507,7 @@ def location_accuracy(t):
 
 def _bind(f):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        t = Transcripts.of(spark, sf_dir)
+        t = Transcripts.run(spark, sf_dir)
         t.documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
         return f(t)
     return run

@@ -10,11 +10,19 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 from ..operators import layout, provenance, roles, segment, speakers, topics, turns
 from ..sources import adapter
-from ..sources.artifacts import keep
+from ..sources.artifacts import keep, new_folder, remove, version
+
+
+#: Runs of this application by input folder and configuration, with the version of the input that they have read.
+_RUNS: dict[tuple, tuple] = {}
 
 
 class Transcripts:
-    """Stages from words and page texts to the topic index. Lines, units and topics are kept as tables, like the artifacts of a run."""
+    """Stages from words and page texts to the topic index.
+
+    Rows, pages, lines, units and topics are kept as tables, like the artifacts of a run; each is made once, by the first
+    query that needs it, and read by the others. `drop` removes them.
+    """
 
     def __init__(self, words: DataFrame, texts: DataFrame, config: EngineConfig = EngineConfig(), decisions: DataFrame | None = None):
         self.words, self.texts, self.config, self.decisions = words, texts, config, decisions
@@ -26,33 +34,57 @@ class Transcripts:
         made.printed = printed
         return made
 
+    @classmethod
+    def run(cls, spark: SparkSession, sf_dir: str, config: EngineConfig = EngineConfig()) -> Transcripts:
+        """The run of this application over an input, begun anew if the input has changed since."""
+        app = spark.sparkContext.applicationId
+        key, now = (app, sf_dir, config), version(spark, f"{sf_dir}/conversations.parquet")
+        for old in [k for k in _RUNS if k[0] != app]:
+            del _RUNS[old]
+        if key not in _RUNS or _RUNS[key][0] != now:
+            _RUNS[key] = now, cls.of(spark, sf_dir, config=config)
+        return _RUNS[key][1]
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self.folder = getattr(self, "folder", None) or new_folder(df.sparkSession)
+        return keep(df, self.folder, name)
+
+    def drop(self) -> None:
+        """Removes the kept tables; the run can't be read afterwards."""
+        if getattr(self, "folder", None):
+            remove(self.words.sparkSession, self.folder)
+
     @cached_property
     def rows(self) -> DataFrame:
-        return layout.rows(self.words)
+        return self.keep(layout.rows(self.words), "rows")
 
     @cached_property
     def pages(self) -> DataFrame:
-        return roles.classify(self.texts, self.rows)
+        return self.keep(roles.classify(self.texts, self.rows), "pages")
 
     @cached_property
     def canonical(self) -> DataFrame:
-        return roles.canonical_lines(self.words, self.texts)
+        return roles.canonical_lines(self.rows, self.pages)
 
     @cached_property
     def lines(self) -> DataFrame:
-        return keep(speakers.transcript(self.canonical).drop("cue"))
+        return self.keep(speakers.transcript(self.canonical).drop("cue"), "lines")
 
     @cached_property
     def turns(self) -> DataFrame:
         return turns.turns(self.lines)
 
+    @cached_property
+    def kept_turns(self) -> DataFrame:
+        return self.keep(self.turns, "turns")
+
     @cached_property
     def units(self) -> DataFrame:
-        return turns.units(self.turns)
+        return turns.units(self.kept_turns)
 
     @cached_property
     def numbered(self) -> DataFrame:
-        return keep(turns.number_chunks(self.units, self.config))
+        return self.keep(turns.number_chunks(self.units, self.config), "numbered")
 
     @cached_property
     def chunks(self) -> DataFrame:
@@ -60,15 +92,15 @@ class Transcripts:
 
     @cached_property
     def kept_chunks(self) -> DataFrame:
-        return keep(self.chunks)
+        return self.keep(self.chunks, "chunks")
 
     @cached_property
     def gram(self) -> DataFrame:
-        return keep(segment.chunk_gram(self.kept_chunks, self.config))
+        return self.keep(segment.chunk_gram(self.kept_chunks, self.config), "gram")
 
     @cached_property
     def groups(self) -> DataFrame:
-        return keep(segment.walk(self.kept_chunks, self.gram, self.config, self.decisions))
+        return self.keep(segment.walk(self.kept_chunks, self.gram, self.config, self.decisions), "groups")
 
     @cached_property
     def merged(self) -> DataFrame:
@@ -81,17 +113,17 @@ class Transcripts:
     @cached_property
     def topic_units(self) -> DataFrame:
         ids = self.numbered.withColumn("chunk_id", F.expr("concat('C', lpad(cast(chunk_no as string), greatest(3, length(cast(chunk_no as string))), '0'))"))
-        return keep(topics.topic_units(ids, self.assigned))
+        return self.keep(topics.topic_units(ids, self.assigned), "topic_units")
 
     @cached_property
     def records(self) -> DataFrame:
         labels = self.decisions if self.decisions is not None and "topic_label" in self.decisions.columns else None
-        return keep(topics.records(self.topic_units, turns.number_units(self.turns), self.lines, self.config, labels))
+        return self.keep(topics.records(self.topic_units, turns.number_units(self.kept_turns), self.lines, self.config, labels), "records")
 
     @cached_property
     def linked(self) -> DataFrame:
         """All topics, validated, with their recurrence links."""
-        return keep(topics.link_recurrence(provenance.validate(self.records, self.lines), self.config))
+        return self.keep(topics.link_recurrence(provenance.validate(self.records, self.lines), self.config), "linked")
 
     @cached_property
     def index(self) -> DataFrame:

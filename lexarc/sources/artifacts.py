@@ -48,8 +48,44 @@ def shared_folder(spark: SparkSession) -> str:
     return known
 
 
-def keep(df: DataFrame) -> DataFrame:
+def keep(df: DataFrame, folder: str | None = None, name: str = "stage") -> DataFrame:
     """Writes a stage's result as Parquet and reads it again, so that later stages start from it."""
-    path, schema = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}", df.schema
+    path, schema = f"{folder or new_folder(df.sparkSession)}/{name}", df.schema
     df.write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def new_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+
+
+def _path(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    fs, at = _path(spark, folder)
+    fs.delete(at, True)
+
+
+def version(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """(bytes, files, time of the last change) of a table, by which a changed input is told from the one that a run has read."""
+    fs, at = _path(spark, path)
+    held = fs.getContentSummary(at)
+    newest = max((x.getModificationTime() for x in fs.listStatus(at)), default=0)
+    return held.getLength(), held.getFileCount(), newest
+
+
+# The artifacts that a run leaves in its output folder.
+RUN_ARTIFACTS = ["canonical_transcript", "chunks", "topic_index", "topic_index_markdown", "completeness_report", "run_summary"]
+
+
+def missing(spark: SparkSession, output_dir: str, names: list[str] = RUN_ARTIFACTS) -> list[str]:
+    """The artifacts that a run's output folder lacks, in order."""
+    found = []
+    for name in names:
+        fs, at = _path(spark, f"{output_dir.rstrip('/')}/{name}")
+        if not fs.exists(at):
+            found.append(name)
+    return found

@@ -74,11 +74,11 @@ def test_packing(spark, lengths, chunks):
 
 @pytest.mark.parametrize("text, label", [("  so,  what   is that? ", "What is that?"), ("And so it was", "So it was"), ("-- talking about?", "Talking about?"), ("   ", "Untitled testimony segment")])
 def test_labels(spark, text, label):
-    assert column(spark, text, topics.normalize_label(F.col("text"))) == label
+    assert topics.normalized(spark.createDataFrame([(text,)], "text string"), F.col("text"), "label").first().label == label
 
 
 def test_long_label_is_cut(spark):
-    got = column(spark, "word " * 40, topics.normalize_label(F.col("text")))
+    got = topics.normalized(spark.createDataFrame([("word " * 40,)], "text string"), F.col("text"), "label").first().label
     assert got.endswith("...") and len(got) == 117
 
 
@@ -171,3 +171,41 @@ def test_walk_uses_decisions_only_with_coverage(spark):
     most = spark.createDataFrame([(1, "C002", "continue"), (1, "C003", "continue")], "transcript_id long, chunk_id string, action string")
     number = lambda d: [r.group_no for r in segment.walk(c, g, decisions=d).orderBy("chunk_no").collect()]
     assert number(None) == [1, 2, 3, 4] and number(few) == [1, 2, 3, 4] and number(most) == [1, 1, 1, 2]
+
+
+def test_given_labels(spark):
+    t = spark.createDataFrame([(1, "so, what is that?", ["tea", "time"], None), (2, "so, what is that?", ["tea"], "and Lunch"), (3, "", ["tea", "time"], None), (4, "", [], None)], "no int, question string, phrases array<string>, given string")
+    assert {r.no: r.label for r in topics.composed_label(t).collect()} == {1: "What is that? (tea; time)", 2: "Lunch", 3: "Tea; time", 4: "Testimony segment"}
+
+
+def test_runs_are_shared_until_the_input_changes(spark, sf, tmp_path):
+    from lexarc.plans.pipeline import Transcripts
+
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").filter("conv_id < 2")
+    turns.coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    one = Transcripts.run(spark, str(tmp_path))
+    assert one.lines.count() > 0 and Transcripts.run(spark, str(tmp_path)) is one
+    turns.filter("conv_id < 1").coalesce(1).write.mode("append").parquet(str(tmp_path / "conversations.parquet"))
+    assert Transcripts.run(spark, str(tmp_path)) is not one
+    one.drop()
+
+
+def test_command_line(spark, sf, tmp_path):
+    """A run leaves every artifact, and its index passes the checks."""
+    from lexarc import __main__ as cli
+    from lexarc.operators import provenance
+    from lexarc.plans.pipeline import Transcripts
+    from lexarc.sources.artifacts import missing
+
+    t = Transcripts.of(spark, sf)
+    t.words.write.parquet(str(tmp_path / "words"))
+    t.texts.write.parquet(str(tmp_path / "texts"))
+    out = str(tmp_path / "out")
+    assert len(missing(spark, out)) == 6
+    cli.main(["--words", str(tmp_path / "words"), "--texts", str(tmp_path / "texts"), "--output-dir", out, "--run-name", "first"])
+    assert missing(spark, out) == []
+    index, lines = load(spark, f"{out}/topic_index"), load(spark, f"{out}/canonical_transcript")
+    assert index.filter("run_name = 'first'").count() == index.count() > 0
+    ids = index.selectExpr("explode(source_ids) as s")
+    assert ids.count() == ids.distinct().count()
+    assert {r.verification_status for r in provenance.check(index.withColumn("topic_no", F.substring("topic_id", 2, 9).cast("int")), lines).collect()} == {"verified"}
