@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -74,6 +75,17 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def release() -> None:
+    """Gives memory that a finished task no longer uses back to the machine: Python workers are kept for later tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def position(col: str, bits: int):
     """Place of a value in a bitmap of so many bits."""
     return F.pmod(F.xxhash64(col), F.lit(bits))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, release
 
 TREES, DEPTH, BINS, SEED = 40, 8, 32, 7
 #: Labelled findings that the built-in training set holds.
@@ -274,6 +274,7 @@ def redact(df: DataFrame, forest: Forest | None = None, text_col: str = "text")
                 columns = b.columns
                 columns[place] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays(columns, names=b.schema.names)
+        release()
 
     return df.mapInArrow(run, df.schema)
 

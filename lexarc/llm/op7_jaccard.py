@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Scratch, bitmap, position, read
+from .common import Scratch, bitmap, position, read, release
 from .components import connected_components
 from .wordhash import _U, _mix, word_hashes
 
@@ -45,7 +45,7 @@ BROADCAST_IDS = 100_000
 #: Pairs of two components that the first round of the second pass verifies, and how much each further round takes more.
 FIRST_PAIRS, PAIRS_GROW = 16, 64
 #: Least keys of a member that travel with it, to tell whether a pair has met before.
-LEAST_KEYS = 16
+LEAST_KEYS = 8
 #: Members to be expected in a slot of a frequent entry; the low bits of a key hold the logarithm of its number of slots.
 SLOT_ROWS, SLOT_BITS = 1_024, 5
 #: Bits of the largest parity bitmap.
@@ -114,8 +114,8 @@ def prefix_keys(s: np.ndarray, level: np.ndarray, percent: int, slots: np.ndarra
 
 
 def parity_bits(s: np.ndarray) -> bytes:
-    """Parity of the tokens in each of two to four times as many cells; two sets differ in no fewer tokens than cells."""
-    cells = min(MOST_CELLS, 1 << max(6, len(s).bit_length() + 1))
+    """Parity of the tokens in each of one to two times as many cells; two sets differ in no fewer tokens than cells."""
+    cells = min(MOST_CELLS, 1 << max(6, len(s).bit_length()))
     return np.packbits(np.bincount((s & _U(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
@@ -141,6 +141,7 @@ def _sliced(batches):
     for big in batches:
         for at in range(0, big.num_rows, SLICE):
             yield big.slice(at, SLICE)
+    release()
 
 
 def _profile(docs: DataFrame, k: int) -> DataFrame:
@@ -358,6 +359,7 @@ def _cross_pairs(entries: DataFrame, bits: DataFrame, comps: DataFrame, percent:
                         gaps[r, c] = -1
                 r, c, cut = spanning_pairs(gaps, ca, cb, more)
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ia[r], ib[c])), pa.array(np.maximum(ia[r], ib[c])), pa.array(cut)], names=["a", "b", "cut"])
+        release()
 
     found = scratch.keep(meet.mapInArrow(compare, "a long, b long, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut")))
     scratch.drop(blocks)

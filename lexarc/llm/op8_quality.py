@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bitmap, crc_mod, position, read
+from .common import Scratch, bitmap, crc_mod, position, read, release
 from .textstats import points, tables
 
 FEATURES = 256
@@ -212,6 +212,7 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, folds: int = 5)
         for b in batches:
             b = b.take(pa.array(np.flatnonzero(m[np.asarray(b.column(2))])))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["doc_id", "text"])
+        release()
 
     some = docs.filter("doc_id is not null").select("doc_id", "text", position("doc_id", bits).alias("h")).mapInArrow(labelled, f"doc_id {kind}, text string")
     return fit(scratch.keep(_labelled(describe(some), labels, folds)))
@@ -227,6 +228,7 @@ def keep_above(docs: DataFrame, classifier: Classifier, threshold: float = THRES
                 b = big.slice(at, SLICE)
                 score = classifier.score(np.array([statistics(x or "") for x in b.column(place).to_pylist()]))
                 yield b.take(pa.array(np.flatnonzero(score >= threshold)))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 
