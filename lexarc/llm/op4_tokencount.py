@@ -6,7 +6,8 @@ one pass over the word's bytes, without building the pieces.
 
 A word is a run of characters other than white space, matched with a leading blank, as byte-level vocabularies write the
 beginning of a word; a word that the vocabulary can't cover counts as one unknown token. Null, empty and blank texts have no
-tokens. Every row gives one row. Texts are counted whole.
+tokens. Every row gives one row, with or without an id, repeated ones too. Texts are counted whole. Columns other than the
+id and the text are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -20,7 +20,8 @@ the corpus counts alone; the first pass works slot by slot, and the second lets
 
 Null, empty and blank texts have an empty set and no links; their component is their own id. Texts with fewer than k
 words have one shingle, the whole sequence. Repeated ids count as one document with several texts. Every row gives one
-row; a null id keeps a null component unless its text equals that of another row.
+row; a null id keeps a null component unless its text equals that of another row. Columns other than the id and the text
+are not read, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations

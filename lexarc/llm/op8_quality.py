@@ -7,7 +7,8 @@ over which an isotonic fit turns a raw score into a probability.
 
 A null text counts as empty. Rows with a null label or id do not train; a document with several labels counts with
 their mean. Without labels (or with one class only) every score is the mean label, or 0.5. Every document row gives
-one row. All labelled rows train; no sample is taken.
+one row. All labelled rows train; no sample is taken. Of columns other than the id, the text and the label none is read,
+whatever their names; `keep_above` passes them through.
 """
 
 from __future__ import annotations

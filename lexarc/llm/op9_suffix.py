@@ -13,7 +13,8 @@ Positions count words between white space (`[^\\x20\\x09-\\x0D]+`); case counts.
 sorted once, and repeat as a whole if they have MIN_WORDS words. A repeat may lie in the same text; where it overlaps
 itself (a run of one word that is shorter than two passages) it may be missed. Null, empty and short
 texts have no spans. Every row gives one row; repeated rows are copies of each other. In a run of equal seeds
-(one word over and over) every RUN-th position and the last are kept.
+(one word over and over) every RUN-th position and the last are kept. Columns other than the id and the text are not
+read, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
