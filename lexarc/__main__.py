@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import re
 
 from pyspark.sql import SparkSession
 
@@ -11,6 +12,7 @@ from .config import EngineConfig
 from .operators import completeness, reports
 from .plans.pipeline import Transcripts
 from .sources import pdf
+from .sources.artifacts import snapshot
 
 
 def main(args: list[str] | None = None) -> None:
@@ -21,8 +23,10 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--output-dir", required=True)
     p.add_argument("--run-name")
     a = p.parse_args(args)
+    if a.run_name and not re.fullmatch(r"\w[\w.-]*", a.run_name):
+        p.error("a run's name has letters, digits, dots, dashes and underscores only")
     spark = SparkSession.builder.appName("lexarc").getOrCreate()
-    words, texts = (pdf.word_boxes(spark, a.pdf), pdf.page_texts(spark, a.pdf)) if a.pdf else (spark.read.parquet(a.words), spark.read.parquet(a.texts))
+    words, texts = pdf.tables(spark, a.pdf) if a.pdf else (spark.read.parquet(a.words), spark.read.parquet(a.texts))
     t = Transcripts(words, texts, EngineConfig.from_env())
     out = a.output_dir.rstrip("/")
     t.lines.write.mode("overwrite").parquet(f"{out}/canonical_transcript")
@@ -31,7 +35,9 @@ def main(args: list[str] | None = None) -> None:
     reports.markdown_rows(t.index).write.mode("overwrite").parquet(f"{out}/topic_index_markdown")
     completeness.report(t.pages, t.rows, t.lines, t.chunks).write.mode("overwrite").json(f"{out}/completeness_report")
     summary = reports.run_summary(t.index, t.lines, t.chunks, t.pages)
-    summary.write.mode("overwrite").json(f"{out}/run_summary")
+    reports.full_summary(summary, t.index, a.pdf or a.words, t.config.decision_provider).write.mode("overwrite").json(f"{out}/run_summary")
+    if a.run_name:
+        snapshot(spark, out, a.run_name)
     for r in summary.orderBy("transcript_id").limit(20).collect():
         print(json.dumps(r.asDict(), ensure_ascii=False, sort_keys=True))
 

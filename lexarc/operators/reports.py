@@ -51,6 +51,13 @@ def run_summary(topics: DataFrame, lines: DataFrame, chunks: DataFrame, pages: D
     return x.fillna(0, ["extracted_lines", "testimony_lines", "chunks", "topic_count"])
 
 
+def full_summary(summary: DataFrame, topics: DataFrame, source: str, provider: str) -> DataFrame:
+    """The summary as a run leaves it: with its time, source, decision provider and index entries."""
+    entry = F.struct(*CHRONOLOGICAL, F.struct(*PUBLIC).alias("entry"))
+    entries = topics.groupBy("transcript_id").agg(F.array_sort(F.collect_list(entry)).alias("x")).select("transcript_id", F.col("x.entry").alias("topics"))
+    return summary.join(entries, "transcript_id", "left").withColumns({"ran_at": F.current_timestamp(), "source": F.lit(source), "decision_provider": F.lit(provider or "none")})
+
+
 def fingerprint(topics: DataFrame) -> DataFrame:
     """(transcript_id, n_topics, sha256) over all public fields of each transcript's index rows, in order."""
     row = F.expr("""concat_ws('|', topic_id, topic, start_page, start_line, end_page, end_line, supporting_source_reference, supporting_evidence, array_join(source_ids, ','), array_join(related_topic_ids, ','),
@@ -59,10 +66,10 @@ def fingerprint(topics: DataFrame) -> DataFrame:
 
 
 def diff(one: DataFrame, other: DataFrame) -> DataFrame:
-    """Index rows that only one of two runs has, with its side."""
+    """Index rows that only one of two runs has, compared by all public fields, with their side."""
     cols = ["transcript_id", "topic_id", "topic", "start_page", "start_line", "end_page", "end_line"]
-    a, b = one.select(*cols), other.select(*cols)
-    return a.exceptAll(b).withColumn("side", F.lit("first")).unionByName(b.exceptAll(a).withColumn("side", F.lit("second")))
+    a, b = one.select("transcript_id", *PUBLIC), other.select("transcript_id", *PUBLIC)
+    return a.exceptAll(b).select(*cols, F.lit("first").alias("side")).unionByName(b.exceptAll(a).select(*cols, F.lit("second").alias("side")))
 
 
 def location_accuracy(topics: DataFrame, lines: DataFrame) -> DataFrame:

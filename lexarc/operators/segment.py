@@ -9,6 +9,9 @@ from pyspark.sql import Window as W
 from ..config import EngineConfig
 from . import text as T
 
+# Chunks in a request for decisions, and characters of each.
+REQUEST_CHUNKS, REQUEST_CHARS = 8, 4000
+
 
 def chunk_weights(c: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
     counts = T.term_counts(c, ["transcript_id", "chunk_no"], "corpus")
@@ -80,3 +83,14 @@ def related_candidates(c: DataFrame, groups: DataFrame, g: DataFrame, config: En
     cross = inner.filter("gj < gi").join(first.select("transcript_id", F.col("opener").alias("i")), ["transcript_id", "i"], "left_semi").groupBy("transcript_id", "i", "gj").agg(F.sum("g").alias("num"))
     s = cross.join(size, ["transcript_id", "gj"]).join(own, ["transcript_id", "i"]).withColumn("similarity", F.expr("num / sqrt(q * own)"))
     return s.filter(F.round("similarity", 9) >= config.related_similarity).select("transcript_id", F.col("i").alias("chunk_no"), F.col("gj").alias("group_no"), "similarity")
+
+
+def decision_requests(chunks: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """(transcript_id, batch_no, provider, temperature, chunk_ids, source_ranges, texts): what a decision provider is asked, in bounded batches.
+
+    Its answers come back as the decisions of `walk`: transcript_id, chunk_id, action and, if given, topic_label.
+    """
+    asked = F.expr(f"struct(chunk_no, chunk_id, source_range, substring(text, 1, {REQUEST_CHARS}) as text)")
+    return chunks.withColumn("batch_no", F.expr(f"1 + (chunk_no - 1) div {REQUEST_CHUNKS}").cast("int")).groupBy("transcript_id", "batch_no").agg(F.array_sort(F.collect_list(asked)).alias("x")).select(
+        "transcript_id", "batch_no", F.lit(config.decision_provider).alias("provider"), F.lit(config.temperature).alias("temperature"),
+        F.col("x.chunk_id").alias("chunk_ids"), F.col("x.source_range").alias("source_ranges"), F.col("x.text").alias("texts"))

@@ -249,6 +249,12 @@ def topic_walk_decisions(t):
     return segment.walk(t.kept_chunks, t.gram, t.config, d)
 
 
+@query("""SELECT transcript_id, CAST(1 + (chunk_no - 1) // 8 AS INT) AS batch_no, '' AS provider, 0.0::DOUBLE AS temperature, list(chunk_id ORDER BY chunk_no) AS chunk_ids, list(source_range ORDER BY chunk_no) AS source_ranges,
+  list(substring(text, 1, 4000) ORDER BY chunk_no) AS texts FROM chunks GROUP BY 1, 2""")
+def decision_requests(t):
+    return segment.decision_requests(t.kept_chunks, t.config)
+
+
 @query("""SELECT transcript_id, i AS chunk_no, gj AS group_no, round(num / sqrt(q * own), 6) AS similarity FROM (
   SELECT g.transcript_id, g.i, b.group_no AS gj, sum(g.g) AS num FROM gram g JOIN groups a ON a.transcript_id = g.transcript_id AND a.chunk_no = g.i JOIN groups b ON b.transcript_id = g.transcript_id AND b.chunk_no = g.j
   WHERE b.group_no < a.group_no AND g.i = (SELECT min(chunk_no) FROM groups x WHERE x.transcript_id = a.transcript_id AND x.group_no = a.group_no) GROUP BY ALL) n

@@ -81,6 +81,22 @@ def version(spark: SparkSession, path: str) -> tuple[int, int, int]:
 RUN_ARTIFACTS = ["canonical_transcript", "chunks", "topic_index", "topic_index_markdown", "completeness_report", "run_summary"]
 
 
+# Of these, the ones that are written as JSON lines.
+JSON_ARTIFACTS = {"completeness_report", "run_summary"}
+
+
+def snapshot(spark: SparkSession, output_dir: str, run_name: str) -> str:
+    """Copies a run's artifacts to runs/<name> in its output folder, in place of an earlier run of that name."""
+    out = output_dir.rstrip("/")
+    to = f"{out}/runs/{run_name}"
+    remove(spark, to)
+    for name in RUN_ARTIFACTS:
+        kind = "text" if name in JSON_ARTIFACTS else "parquet"
+        at = f"{out}/{name}/run_name={run_name}" if name == "topic_index" else f"{out}/{name}"
+        spark.read.format(kind).load(at).write.format(kind).save(f"{to}/{name}")
+    return to
+
+
 def missing(spark: SparkSession, output_dir: str, names: list[str] = RUN_ARTIFACTS) -> list[str]:
     """The artifacts that a run's output folder lacks, in order."""
     found = []

@@ -4,43 +4,49 @@ from __future__ import annotations
 
 import importlib.util
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORDS = "transcript_id long, pdf_page_index int, word_no int, x0 double, y0 double, x1 double, y1 double, text string"
-TEXTS = "transcript_id long, pdf_page_index int, raw_text string"
+from .artifacts import keep
+
+PAGES = "transcript_id long, pdf_page_index int, raw_text string, words array<struct<word_no:int,x0:double,y0:double,x1:double,y1:double,text:string>>"
+PLACE = ["x0", "y0", "x1", "y1"]
 
 
 def decoder_available() -> bool:
     return importlib.util.find_spec("pymupdf") is not None
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
+def pages(spark: SparkSession, path: str) -> DataFrame:
+    """One row a page; files are decoded in parallel, and a file's pages leave its task one by one."""
     if not decoder_available():
         raise ImportError("reading PDF files needs the pymupdf package on driver and executors")
-    return spark.read.format("binaryFile").load(path).select(F.abs(F.xxhash64("path")).alias("transcript_id"), "content")
-
+    word = pa.struct([("word_no", pa.int32()), *((c, pa.float64()) for c in PLACE), ("text", pa.string())])
+    schema = pa.schema([("transcript_id", pa.int64()), ("pdf_page_index", pa.int32()), ("raw_text", pa.string()), ("words", pa.list_(word))])
 
-def word_boxes(spark: SparkSession, path: str) -> DataFrame:
-    """One file per task row; pages of a file come out in order."""
     def decode(batches):
-        import pandas as pd
         import pymupdf
 
         for b in batches:
-            rows = [(i, p, k, *w[:4], w[4]) for i, data in zip(b["transcript_id"], b["content"], strict=True) for p, page in enumerate(pymupdf.open(stream=data, filetype="pdf")) for k, w in enumerate(page.get_text("words"))]
-            yield pd.DataFrame(rows, columns=["transcript_id", "pdf_page_index", "word_no", "x0", "y0", "x1", "y1", "text"])
+            for i, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for p, page in enumerate(pymupdf.open(stream=data, filetype="pdf")):
+                    words = [{"word_no": k, **dict(zip(PLACE, w[:4], strict=True)), "text": w[4]} for k, w in enumerate(page.get_text("words"))]
+                    yield pa.RecordBatch.from_pylist([{"transcript_id": i, "pdf_page_index": p, "raw_text": page.get_text(), "words": words}], schema=schema)
 
-    return _files(spark, path).mapInPandas(decode, WORDS)
+    files = spark.read.format("binaryFile").load(path).select(F.abs(F.xxhash64("path")).alias("transcript_id"), "content")
+    return files.mapInArrow(decode, PAGES)
 
 
-def page_texts(spark: SparkSession, path: str) -> DataFrame:
-    def decode(batches):
-        import pandas as pd
-        import pymupdf
+def word_boxes(decoded: DataFrame) -> DataFrame:
+    return decoded.select("transcript_id", "pdf_page_index", F.explode("words").alias("w")).select("transcript_id", "pdf_page_index", "w.word_no", *(f"w.{c}" for c in PLACE), "w.text")
+
+
+def page_texts(decoded: DataFrame) -> DataFrame:
+    return decoded.select("transcript_id", "pdf_page_index", "raw_text")
 
-        for b in batches:
-            rows = [(i, p, page.get_text()) for i, data in zip(b["transcript_id"], b["content"], strict=True) for p, page in enumerate(pymupdf.open(stream=data, filetype="pdf"))]
-            yield pd.DataFrame(rows, columns=["transcript_id", "pdf_page_index", "raw_text"])
 
-    return _files(spark, path).mapInPandas(decode, TEXTS)
+def tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(word boxes, page texts) of PDF files, which are decoded once and kept."""
+    decoded = keep(pages(spark, path), name="pdf_pages")
+    return word_boxes(decoded), page_texts(decoded)

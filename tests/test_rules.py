@@ -203,9 +203,65 @@ def test_command_line(spark, sf, tmp_path):
     out = str(tmp_path / "out")
     assert len(missing(spark, out)) == 6
     cli.main(["--words", str(tmp_path / "words"), "--texts", str(tmp_path / "texts"), "--output-dir", out, "--run-name", "first"])
-    assert missing(spark, out) == []
+    assert missing(spark, out) == [] and missing(spark, f"{out}/runs/first") == []
+    kept = spark.read.json(f"{out}/runs/first/run_summary")
+    assert kept.filter("ran_at is null or source is null or decision_provider <> 'none' or size(topics) <> topic_count").count() == 0 < kept.count()
+    with pytest.raises(SystemExit):
+        cli.main(["--words", "w", "--texts", "t", "--output-dir", out, "--run-name", "../first"])
     index, lines = load(spark, f"{out}/topic_index"), load(spark, f"{out}/canonical_transcript")
     assert index.filter("run_name = 'first'").count() == index.count() > 0
     ids = index.selectExpr("explode(source_ids) as s")
     assert ids.count() == ids.distinct().count()
     assert {r.verification_status for r in provenance.check(index.withColumn("topic_no", F.substring("topic_id", 2, 9).cast("int")), lines).collect()} == {"verified"}
+
+
+def test_decision_requests(spark):
+    """Eight chunks a request, in order, each cut to a bounded length."""
+    c = spark.createDataFrame([(1, i, f"C{i:03}", f"P{i}:L1", "x" * 4500 if i == 9 else "y") for i in range(10, 0, -1)], "transcript_id long, chunk_no int, chunk_id string, source_range string, text string")
+    got = segment.decision_requests(c, EngineConfig(decision_provider="own", temperature=0.5)).orderBy("batch_no").collect()
+    assert [(r.batch_no, r.provider, r.temperature, r.chunk_ids) for r in got] == [(1, "own", 0.5, [f"C{i:03}" for i in range(1, 9)]), (2, "own", 0.5, ["C009", "C010"])]
+    assert [len(x) for x in got[1].texts] == [4000, 1]
+
+
+def test_diff_sees_every_public_field(spark, sf):
+    from lexarc.plans.pipeline import Transcripts
+
+    index = Transcripts.run(spark, sf).index.cache()
+    other = index.withColumn("confidence", F.expr("case when topic_no = 1 then confidence + 0.1 else confidence end"))
+    n = index.filter("topic_no = 1").count()
+    assert {r.side: r["count"] for r in reports.diff(index, other).groupBy("side").count().collect()} == {"first": n, "second": n}
+
+
+def test_pdf_files_are_decoded_once(spark, tmp_path):
+    """With a decoder that reads one page a line, and logs each file that it opens."""
+    from lexarc.sources import pdf
+
+    log = tmp_path / "log"
+    stub = tmp_path / "pymupdf.py"
+    stub.write_text(f"""
+class Page:
+    def __init__(self, text):
+        self.text = text
+
+    def get_text(self, kind="text"):
+        return self.text if kind == "text" else [(10.0 * k, 5.0, 10.0 * k + 8, 9.0, w, 0, 0, k) for k, w in enumerate(self.text.split())]
+
+
+def open(stream, filetype):
+    import builtins
+
+    with builtins.open({str(log)!r}, "a") as f:
+        f.write("opened\\n")
+    return [Page(x) for x in stream.decode().split("\\n")]
+""")
+    if not pdf.decoder_available():
+        spark.sparkContext.addPyFile(str(stub))
+    (tmp_path / "files").mkdir()
+    (tmp_path / "files" / "a.pdf").write_text("1 Q Why\n2 A So")
+    (tmp_path / "files" / "b.pdf").write_text("")  # holds no page
+    (tmp_path / "files" / "c.pdf").write_text("only")
+    words, texts = pdf.tables(spark, str(tmp_path / "files"))
+    assert sorted((r.pdf_page_index, r.raw_text) for r in texts.collect()) == [(0, "1 Q Why"), (0, "only"), (1, "2 A So")]
+    assert [(r.pdf_page_index, r.word_no, r.x0, r.y1, r.text) for r in words.join(texts.filter("raw_text <> 'only'"), ["transcript_id", "pdf_page_index"], "left_semi").orderBy("pdf_page_index", "word_no").collect()] == [
+        (0, 0, 0.0, 9.0, "1"), (0, 1, 10.0, 9.0, "Q"), (0, 2, 20.0, 9.0, "Why"), (1, 0, 0.0, 9.0, "2"), (1, 1, 10.0, 9.0, "A"), (1, 2, 20.0, 9.0, "So")]
+    assert log.read_text().count("opened") == 2
