@@ -75,6 +75,26 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+#: A join deals a key with over one SLICES-th of all rows to slots; no more than SLICES keys can have that many.
+SLICES = 20_000
+
+
+def join_spread(rows: DataFrame, facts: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """rows joined with facts by keys, however many rows one key has.
+
+    facts has one row a key, and in column n the number of rows with it. A key of more than one SLICES-th of all such rows
+    goes to slots of that size, and its fact to each of them. These keys, at most SLICES of them, are broadcast.
+    """
+    total = facts.agg(F.sum(n).alias("t")).first().t
+    cut = max(1, -(-int(total or 0) // SLICES))
+    slots, slot = "slots_" + "_".join(keys), "slot_" + "_".join(keys)  # names that no column has
+    some = facts.withColumn(slots, F.expr(f"cast(ceil({n} / {cut}) as int)"))
+    many = F.broadcast(some.filter(f"{slots} > 1").select(*keys, slots))
+    dealt = rows.join(many, keys, "left").withColumn(slot, F.coalesce(F.expr(f"cast(floor(rand(7) * {slots}) as int)"), F.lit(0))).drop(slots)
+    each = some.withColumn(slot, F.explode(F.expr(f"sequence(0, {slots} - 1)"))).drop(slots, n)
+    return dealt.join(each, [*keys, slot]).drop(slot)
+
+
 def release() -> None:
     """Gives memory that a finished task no longer uses back to the machine: Python workers are kept for later tasks."""
     import ctypes
