@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["op1_langid", "op2_secrets", "op3_bpe", "op4_tokencount", "op5_embeddings", "op6_chat", "op7_jaccard", "op8_quality", "op9_suffix", "op10_decontaminate", "op12_lines"]
+MODULES = ["op1_langid", "op2_secrets", "op3_bpe", "op4_tokencount", "op5_embeddings", "op6_chat", "op7_jaccard", "op8_quality", "op9_suffix", "op10_decontaminate", "op11_codes",
+           "op12_lines", "op13_elkan"]
 
 
 def queries() -> dict:
