@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from ..config import EngineConfig
 from . import text as T
+from .chains import Keep, first_reach, keep_table, running, runs
 
 # Chunks in a request for decisions, and characters of each.
 REQUEST_CHUNKS, REQUEST_CHARS = 8, 4000
@@ -28,40 +29,91 @@ def adjacent_similarity(g: DataFrame) -> DataFrame:
     return g.filter("i = j + 1").select("transcript_id", F.col("i").alias("chunk_no"), F.col("g").alias("similarity"))
 
 
-def walk(c: DataFrame, g: DataFrame, config: EngineConfig = EngineConfig(), decisions: DataFrame | None = None) -> DataFrame:
-    """(transcript_id, chunk_no, group_no). The open topic is the run of chunks since it opened, so its centroid's cosine
-    with the next chunk follows from sums of products; one fold per transcript carries them."""
-    row = g.groupBy("transcript_id", F.col("i").alias("chunk_no")).agg(F.array_sort(F.collect_list(F.struct("j", "g"))).alias("row"))
-    d = c.join(row, ["transcript_id", "chunk_no"], "left")
+def _pages(c: DataFrame) -> DataFrame:
+    """(transcript_id, chunk_no, page, low, top): the least page from a chunk on, and the greatest one up to it.
+
+    Both never fall along a transcript, also where printed page numbers do.
+    """
+    x = c.select("transcript_id", "chunk_no", F.col("start_page").alias("page"))
+    x = running(x, ["transcript_id"], "chunk_no", F.col("page"), "low", "min", backwards=True)
+    return running(x, ["transcript_id"], "chunk_no", F.col("page"), "top", "max")
+
+
+def _near(a: DataFrame, b: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """Rows of a(keys, i, low, top_i) with those of b(keys, j, top) that are no more than limit pages before; met by page buckets."""
+    width = limit + 1
+    late = a.withColumn("bucket", F.explode(F.expr(f"sequence(cast(floor((low - {limit}) / {width}) as int), cast(floor(top_i / {width}) as int))")))
+    early = b.withColumn("bucket", F.expr(f"cast(floor(top / {width}) as int)"))
+    return late.join(early, [*keys, "bucket"]).filter(f"j <= i and low - top <= {limit}").drop("bucket")
+
+
+def band_pairs(c: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """(transcript_id, i, j): a chunk with itself and with the chunks before that a topic can hold together with it by its pages."""
+    p = _pages(c)
+    a = p.select("transcript_id", F.col("chunk_no").alias("i"), "low", F.col("top").alias("top_i"))
+    return _near(a, p.select("transcript_id", F.col("chunk_no").alias("j"), "top"), ["transcript_id"], config.max_pages_continue).select("transcript_id", "i", "j")
+
+
+def band_gram(c: DataFrame, weights: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """(transcript_id, i, j, g) for the pairs of the band, and of neighbours over any gap, whose rows share a term."""
+    t, limit = "transcript_id", config.max_pages_continue
+    p = _pages(c)
+    w = weights.join(p.drop("page"), [t, "chunk_no"])
+    a = w.select(t, "term", F.col("chunk_no").alias("i"), "low", F.col("top").alias("top_i"), F.col("weight").alias("wi"))
+    b = w.select(t, "term", F.col("chunk_no").alias("j"), "top", F.col("weight").alias("wj"))
+    near = _near(a, b, [t, "term"], limit)
+    leap = p.select(t, F.col("chunk_no").alias("i"), "low").join(p.select(t, F.col("chunk_no").alias("j"), (F.col("chunk_no") + 1).alias("i"), "top"), [t, "i"]).filter(f"low - top > {limit}").select(t, "i", "j")
+    far = leap.join(a.select(t, "i", "term", "wi"), [t, "i"]).join(b.select(t, "j", "term", "wj"), [t, "j", "term"])
+    cols = [t, "i", "j", "wi", "wj"]
+    return near.select(*cols).unionByName(far.select(*cols)).groupBy(t, "i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("g"))
+
+
+def _actions(c: DataFrame, decisions: DataFrame | None) -> DataFrame:
+    """(transcript_id, chunk_no, chunk_id, only, page, action): decisions count where they cover half of a transcript's chunks."""
+    d = c.select("transcript_id", "chunk_no", "chunk_id", F.col("only_procedure").alias("only"), F.col("start_page").alias("page"))
     if decisions is None:
-        d = d.withColumn("action", F.lit(None).cast("string"))
-    else:
-        covered = decisions.join(c.select("transcript_id", "chunk_id"), ["transcript_id", "chunk_id"]).groupBy("transcript_id").agg(F.count_distinct("chunk_id").alias("covered"))
-        total = c.groupBy("transcript_id").agg(F.count("*").alias("total"))
-        usable = covered.join(total, "transcript_id").filter("covered >= greatest(1, total div 2)").select("transcript_id")
-        d = d.join(decisions.join(usable, "transcript_id", "left_semi").select("transcript_id", "chunk_id", F.coalesce("action", F.lit("new_topic")).alias("action")), ["transcript_id", "chunk_id"], "left")
-    seq = d.groupBy("transcript_id").agg(F.expr("""array_sort(collect_list(struct(chunk_no as i, only_procedure as only, start_page as page, action as action,
-        coalesce(row, cast(array() as array<struct<j:int,g:double>>)) as row)))""").alias("seq"))
-    own = "coalesce(get(filter(x.row, r -> r.j = x.i), 0).g, 0D)"
-    hold = f"case when a.q * {own} > 0 then num / sqrt(a.q * {own}) else 0D end"
-    joins = f"""a.t > 0 and case when x.action is not null then x.action in ('continue', 'brief_digression')
-        else x.only or (round({hold}, 9) >= {config.continue_similarity} and x.page - a.p <= {config.max_pages_continue}) end"""
-    folded = F.expr(f"""aggregate(seq, named_struct('s', 0, 'p', 0, 'q', 0D, 't', 0, 'out', cast(array() as array<struct<chunk_no:int,group_no:int>>)),
-        (a, x) -> transform(array(aggregate(filter(x.row, r -> r.j >= a.s and r.j < x.i), 0D, (u, r) -> u + r.g)), num ->
-            case when {joins} then named_struct('s', a.s, 'p', a.p, 'q', a.q + 2 * num + {own}, 't', a.t, 'out', concat(a.out, array(named_struct('chunk_no', x.i, 'group_no', a.t))))
-            else named_struct('s', x.i, 'p', x.page, 'q', {own}, 't', a.t + 1, 'out', concat(a.out, array(named_struct('chunk_no', x.i, 'group_no', a.t + 1)))) end)[0], a -> a.out)""")
-    return seq.select("transcript_id", F.explode(folded).alias("x")).select("transcript_id", "x.*")
-
-
-def merge_small(c: DataFrame, groups: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
+        return d.withColumn("action", F.lit(None).cast("string"))
+    covered = decisions.join(c.select("transcript_id", "chunk_id"), ["transcript_id", "chunk_id"]).groupBy("transcript_id").agg(F.count_distinct("chunk_id").alias("covered"))
+    total = c.groupBy("transcript_id").agg(F.count("*").alias("total"))
+    usable = covered.join(total, "transcript_id").filter("covered >= greatest(1, total div 2)").select("transcript_id")
+    return d.join(decisions.join(usable, "transcript_id", "left_semi").select("transcript_id", "chunk_id", F.coalesce("action", F.lit("new_topic")).alias("action")), ["transcript_id", "chunk_id"], "left")
+
+
+def walk(c: DataFrame, g: DataFrame, config: EngineConfig = EngineConfig(), decisions: DataFrame | None = None, keep: Keep = keep_table) -> DataFrame:
+    """(transcript_id, chunk_no, group_no), by the products of band_gram.
+
+    An open topic is the run of chunks since it opened, so its centroid's cosine with the next chunk follows from sums of
+    products within the run. For each chunk these sums, taken as if a topic opened there, say where that topic would end.
+    Beyond the band the page limit holds, so there only chunks that join by a decision or as mere procedure go on. The topics are
+    the runs that follow from the first chunk.
+    """
+    t = "transcript_id"
+    d = _actions(c, decisions).withColumn("always", F.expr("case when action is not null then action in ('continue', 'brief_digression') else only end"))
+    d = running(d, [t], "chunk_no", F.when(~F.col("always"), F.col("chunk_no")), "next_stop", "min", backwards=True, strict=True)
+    late = d.select(t, F.col("chunk_no").alias("i"), "always", F.col("action").isNotNull().alias("decided"), F.col("page").alias("page_i"))
+    x = band_pairs(c, config).join(g, [t, "i", "j"], "left").withColumn("g", F.coalesce("g", F.lit(0.0)))
+    back, ahead = W.partitionBy(t, "i"), W.partitionBy(t, "j").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
+    x = x.withColumn("own", F.max(F.expr("case when i = j then g end")).over(back))
+    x = x.withColumn("num", F.sum(F.expr("case when j < i then g else 0D end")).over(back.orderBy(F.desc("j")).rowsBetween(W.unboundedPreceding, 0)))
+    x = x.withColumn("q", F.sum(F.col("own") + 2 * F.col("num")).over(ahead))
+    x = x.filter("i > j").join(late, [t, "i"]).join(d.select(t, F.col("chunk_no").alias("j"), F.col("page").alias("page_j")), [t, "j"])
+    alike = f"round(case when q * own > 0 then num / sqrt(q * own) else 0D end, 9) >= {config.continue_similarity} and page_i - page_j <= {config.max_pages_continue}"
+    ends = x.groupBy(t, F.col("j").alias("chunk_no")).agg(F.min(F.expr(f"case when not (always or (not decided and {alike})) then i end")).alias("stop"), F.max("i").alias("last"))
+    beyond = d.select(t, F.col("chunk_no").alias("last"), F.col("next_stop").alias("far_stop"))
+    n = d.groupBy(t).agg((F.max("chunk_no") + 1).alias("end"))
+    succ = d.select(t, "chunk_no").join(ends, [t, "chunk_no"], "left").withColumn("last", F.coalesce("last", "chunk_no")).join(beyond, [t, "last"]).join(n, t).select(t, "chunk_no", F.coalesce("stop", "far_stop", "end").alias("succ"))
+    return runs(succ, [t], "chunk_no", "succ", keep).select(t, F.col("pos").alias("chunk_no"), F.col("run_no").alias("group_no"))
+
+
+def merge_small(c: DataFrame, groups: DataFrame, config: EngineConfig = EngineConfig(), keep: Keep = keep_table) -> DataFrame:
     """(transcript_id, group_no, merged_no): groups with little text join the one before, unless that is long."""
-    lengths = groups.join(c, ["transcript_id", "chunk_no"]).groupBy("transcript_id", "group_no").agg(F.sum(F.length("text")).alias("len"))
-    seq = lengths.groupBy("transcript_id").agg(F.expr("array_sort(collect_list(struct(group_no as no, len as len)))").alias("seq"))
-    folded = F.expr(f"""aggregate(seq, named_struct('len', 0L, 'g', 0, 'out', cast(array() as array<struct<group_no:int,merged_no:int>>)),
-        (a, x) -> case when a.g > 0 and x.len < {config.min_topic_chars} and a.len < {config.merge_below_chars}
-            then named_struct('len', a.len + x.len, 'g', a.g, 'out', concat(a.out, array(named_struct('group_no', x.no, 'merged_no', a.g))))
-            else named_struct('len', x.len, 'g', a.g + 1, 'out', concat(a.out, array(named_struct('group_no', x.no, 'merged_no', a.g + 1)))) end, a -> a.out)""")
-    return seq.select("transcript_id", F.explode(folded).alias("x")).select("transcript_id", "x.*")
+    t = "transcript_id"
+    lengths = groups.join(c, [t, "chunk_no"]).groupBy(t, "group_no").agg(F.sum(F.length("text")).alias("len"))
+    x = first_reach(lengths, [t], "group_no", "len", config.merge_below_chars, "full_at")
+    x = running(x, [t], "group_no", F.when(F.col("len") >= config.min_topic_chars, F.col("group_no")), "next_large", "min", backwards=True, strict=True)
+    n = lengths.groupBy(t).agg((F.max("group_no") + 1).alias("end"))
+    succ = x.join(n, t).select(t, "group_no", F.least(F.col("full_at") + 1, "next_large", "end").alias("succ"))
+    return runs(succ, [t], "group_no", "succ", keep).select(t, F.col("pos").alias("group_no"), F.col("run_no").alias("merged_no"))
 
 
 def split_oversized(c: DataFrame, groups: DataFrame, merged: DataFrame, similarity: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
@@ -73,16 +125,28 @@ def split_oversized(c: DataFrame, groups: DataFrame, merged: DataFrame, similari
     return x.select("transcript_id", "chunk_no", F.sum("opens").over(W.partitionBy("transcript_id").orderBy("chunk_no").rowsBetween(W.unboundedPreceding, 0)).cast("int").alias("topic_no"))
 
 
-def related_candidates(c: DataFrame, groups: DataFrame, g: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
+def openers_and_centroids(groups: DataFrame, weights: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(transcript_id, l, term, weight) of the chunks that open a group, and (transcript_id, r, term, weight) of the groups' centroids; both of unit length."""
+    t = "transcript_id"
+    first = groups.groupBy(t, "group_no").agg(F.min("chunk_no").alias("chunk_no")).filter("group_no > 1")
+    left = weights.join(first, [t, "chunk_no"], "left_semi").select(t, F.col("chunk_no").alias("l"), "term", "weight")
+    sums = weights.join(groups, [t, "chunk_no"]).groupBy(t, F.col("group_no").alias("r"), "term").agg(F.sum("weight").alias("raw"))
+    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy(t, "r")))
+    return left, sums.select(t, "r", "term", (F.col("raw") / length).alias("weight"))
+
+
+def related_pairs(groups: DataFrame, weights: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """(transcript_id, l, r): openers and earlier groups that may be alike enough."""
+    left, right = openers_and_centroids(groups, weights)
+    own = groups.select("transcript_id", F.col("chunk_no").alias("l"), F.col("group_no").alias("own"))
+    return T.cosine_candidates(left, right, ["transcript_id"], config.related_similarity).join(own, ["transcript_id", "l"]).filter("r < own").drop("own")
+
+
+def related_candidates(groups: DataFrame, weights: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
     """(transcript_id, chunk_no, group_no, similarity): for a chunk that opens a group, earlier groups whose centroid resembles it."""
-    first = groups.groupBy("transcript_id", "group_no").agg(F.min("chunk_no").alias("opener"))
-    j, i = groups.select("transcript_id", F.col("chunk_no").alias("j"), F.col("group_no").alias("gj")), groups.select("transcript_id", F.col("chunk_no").alias("i"), F.col("group_no").alias("gi"))
-    inner = g.join(i, ["transcript_id", "i"]).join(j, ["transcript_id", "j"])
-    size = inner.filter("gi = gj").groupBy("transcript_id", F.col("gi").alias("gj")).agg(F.sum(F.expr("case when i = j then g else 2 * g end")).alias("q"))
-    own = g.filter("i = j").select("transcript_id", "i", F.col("g").alias("own"))
-    cross = inner.filter("gj < gi").join(first.select("transcript_id", F.col("opener").alias("i")), ["transcript_id", "i"], "left_semi").groupBy("transcript_id", "i", "gj").agg(F.sum("g").alias("num"))
-    s = cross.join(size, ["transcript_id", "gj"]).join(own, ["transcript_id", "i"]).withColumn("similarity", F.expr("num / sqrt(q * own)"))
-    return s.filter(F.round("similarity", 9) >= config.related_similarity).select("transcript_id", F.col("i").alias("chunk_no"), F.col("gj").alias("group_no"), "similarity")
+    left, right = openers_and_centroids(groups, weights)
+    s = T.cosines(related_pairs(groups, weights, config), left, right, ["transcript_id"]).withColumnRenamed("s", "similarity")
+    return s.filter(F.round("similarity", 9) >= config.related_similarity).select("transcript_id", F.col("l").alias("chunk_no"), F.col("r").alias("group_no"), "similarity")
 
 
 def decision_requests(chunks: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:

@@ -44,6 +44,30 @@ def gram(weights: DataFrame, group: list[str], doc: str) -> DataFrame:
     return a.join(b, [*group, "term"]).filter("i >= j").groupBy(*group, "i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("g"))
 
 
+def cosine_candidates(left: DataFrame, right: DataFrame, group: list[str], threshold: float) -> DataFrame:
+    """(group, l, r): pairs of unit vectors left(group, l, term, weight) and right(group, r, term, weight) that may reach threshold.
+
+    Terms go from rare to frequent. The product of two vectors whose first common term is x is at most the product of what
+    each weighs from x on. So a pair that reaches the threshold shares a term up to which neither has too little left, and
+    only these terms are joined: frequent ones seldom are among them.
+    """
+    least = threshold - 1e-6
+    both = left.select(*group, "term").unionByName(right.select(*group, "term")).groupBy(*group, "term").agg(F.count("*").alias("df"))
+
+    def front(side: DataFrame, name: str) -> DataFrame:
+        w = W.partitionBy(*group, name).orderBy(F.desc("df"), F.desc("term")).rowsBetween(W.unboundedPreceding, 0)
+        x = side.join(both, [*group, "term"]).withColumn("rest", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(w)))
+        return x.filter(F.col("rest") >= least).select(*group, "term", name, F.col("rest").alias(f"rest_{name}"))
+
+    return front(left, "l").join(front(right, "r"), [*group, "term"]).filter(F.col("rest_l") * F.col("rest_r") >= least).select(*group, "l", "r").distinct()
+
+
+def cosines(pairs: DataFrame, left: DataFrame, right: DataFrame, group: list[str]) -> DataFrame:
+    """pairs(group, l, r) with their exact product s; pairs without a common term are left out."""
+    x = pairs.join(left.withColumnRenamed("weight", "wl"), [*group, "l"]).join(right.withColumnRenamed("weight", "wr"), [*group, "r", "term"])
+    return x.groupBy(*group, "l", "r").agg(F.sum(F.col("wl") * F.col("wr")).alias("s"))
+
+
 def keyphrases(docs: DataFrame, keys: list[str], text: str, n: int, cap: int) -> DataFrame:
     """(keys, phrases): a text's most frequent terms of four characters or more, ties in order of the term."""
     stops = ", ".join(f"'{w}'" for w in PHRASE_STOPS)

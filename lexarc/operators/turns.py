@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..config import EngineConfig
+from .chains import BLOCK, Keep, block_of, keep_table, runs
 
 # Phrases that mark procedure.
 PROCEDURAL_PHRASES = ["objection", "same objection", "form of the question", "go off the record", "off the record", "on the record", "back on the record", "this concludes today", "deposition concluded", "take a break",
@@ -57,14 +58,17 @@ def units(t: DataFrame) -> DataFrame:
         "unit_id", F.expr("concat('QA', lpad(cast(unit_no as string), greatest(4, length(cast(unit_no as string))), '0'))")).drop("only_procedure", "has_qa")
 
 
-def number_chunks(u: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
-    """Units with their chunk. Packing carries a sum that resets, so it folds over a transcript's unit lengths in order."""
-    packed = u.groupBy("transcript_id").agg(F.expr("array_sort(collect_list(struct(unit_no as no, length(text) as len)))").alias("seq")).select("transcript_id", F.explode(F.expr(f"""aggregate(seq,
-        named_struct('ch', 0L, 'n', 0, 'c', 0, 'out', cast(array() as array<struct<unit_no:int,chunk_no:int>>)),
-        (a, x) -> case when a.c = 0 or a.ch >= {config.chunk_chars} or a.n >= {config.chunk_max_units}
-            then named_struct('ch', cast(x.len as bigint), 'n', 1, 'c', a.c + 1, 'out', concat(a.out, array(named_struct('unit_no', x.no, 'chunk_no', a.c + 1))))
-            else named_struct('ch', a.ch + x.len, 'n', a.n + 1, 'c', a.c, 'out', concat(a.out, array(named_struct('unit_no', x.no, 'chunk_no', a.c)))) end, a -> a.out)""")).alias("x")).select("transcript_id", "x.*")
-    return u.join(packed, ["transcript_id", "unit_no"])
+def number_chunks(u: DataFrame, config: EngineConfig = EngineConfig(), keep: Keep = keep_table) -> DataFrame:
+    """Units with their chunk. Where a chunk that begins at a unit would end shows in the few units after it, so units are
+    looked at in blocks that reach a little into the next; chunks are the runs that follow from unit 1."""
+    most = config.chunk_max_units
+    x = u.select("transcript_id", "unit_no", F.length("text").alias("len")).withColumn("home", block_of("unit_no"))
+    x = x.withColumn("seen_in", F.explode(F.expr(f"sequence(greatest(0, cast((unit_no - {most}) div {BLOCK} as int)), home)")))
+    w = W.partitionBy("transcript_id", "seen_in").orderBy("unit_no")
+    full = [F.when(F.sum("len").over(w.rowsBetween(0, k)) >= config.chunk_chars, F.col("unit_no") + k + 1) for k in range(most - 1)]
+    x = x.withColumn("succ", F.coalesce(*full, F.col("unit_no") + most)).filter("seen_in = home")
+    numbers = runs(x, ["transcript_id"], "unit_no", "succ", keep).select("transcript_id", F.col("pos").alias("unit_no"), F.col("run_no").alias("chunk_no"))
+    return u.join(numbers, ["transcript_id", "unit_no"])
 
 
 def chunks(numbered: DataFrame) -> DataFrame:

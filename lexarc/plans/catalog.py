@@ -210,7 +210,7 @@ def ngrams(t):
 
 @query("SELECT transcript_id, chunk_no, term, round(weight, 9) AS weight FROM weights")
 def tfidf(t):
-    return segment.chunk_weights(t.kept_chunks).select("transcript_id", "chunk_no", "term", F.round("weight", 9).alias("weight"))
+    return t.weights.select("transcript_id", "chunk_no", "term", F.round("weight", 9).alias("weight"))
 
 
 @query("SELECT transcript_id, term, cf, rank FROM vocab")
@@ -220,12 +220,12 @@ def vocab_topk(t):
 
 @query("SELECT transcript_id, i, j, round(g, 9) AS g FROM gram")
 def chunk_gram(t):
-    return t.gram.select("transcript_id", "i", "j", F.round("g", 9).alias("g"))
+    return text.gram(t.weights, ["transcript_id"], "chunk_no").select("transcript_id", "i", "j", F.round("g", 9).alias("g"))
 
 
 @query("SELECT transcript_id, chunk_no, round(similarity, 9) AS similarity FROM adjacent")
 def adjacent_similarity(t):
-    return segment.adjacent_similarity(t.gram).withColumn("similarity", F.round("similarity", 9))
+    return segment.adjacent_similarity(t.band).withColumn("similarity", F.round("similarity", 9))
 
 
 @query("SELECT transcript_id, topic_no, phrases FROM phr")
@@ -246,7 +246,7 @@ def topic_walk(t):
 @query(f""", decided AS (SELECT *, CASE WHEN chunk_no % 3 = 0 THEN 'continue' WHEN chunk_no % 3 = 1 THEN 'new_topic' END AS action FROM chunks), {O.walk('dgroups', 'decided')} SELECT * FROM dgroups""")
 def topic_walk_decisions(t):
     d = t.kept_chunks.filter("chunk_no % 3 <> 2").select("transcript_id", "chunk_id", F.expr("case when chunk_no % 3 = 0 then 'continue' else 'new_topic' end").alias("action"))
-    return segment.walk(t.kept_chunks, t.gram, t.config, d)
+    return segment.walk(t.kept_chunks, t.band, t.config, d, t.step)
 
 
 @query("""SELECT transcript_id, CAST(1 + (chunk_no - 1) // 8 AS INT) AS batch_no, '' AS provider, 0.0::DOUBLE AS temperature, list(chunk_id ORDER BY chunk_no) AS chunk_ids, list(source_range ORDER BY chunk_no) AS source_ranges,
@@ -261,7 +261,7 @@ def decision_requests(t):
   JOIN (SELECT g.transcript_id, a.group_no AS gj, sum(CASE WHEN g.i = g.j THEN g.g ELSE 2 * g.g END) AS q FROM gram g JOIN groups a ON a.transcript_id = g.transcript_id AND a.chunk_no = g.i JOIN groups b ON b.transcript_id = g.transcript_id AND b.chunk_no = g.j AND b.group_no = a.group_no GROUP BY ALL) USING (transcript_id, gj)
   JOIN (SELECT transcript_id, i, g AS own FROM gram WHERE i = j) USING (transcript_id, i) WHERE round(num / sqrt(q * own), 9) >= 0.32""")
 def related_candidates(t):
-    return segment.related_candidates(t.kept_chunks, t.groups, t.gram, t.config).withColumn("similarity", F.round("similarity", 6))
+    return segment.related_candidates(t.groups, t.weights, t.config).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("SELECT * FROM merged")

@@ -49,6 +49,11 @@ class Transcripts:
         self.folder = getattr(self, "folder", None) or new_folder(df.sparkSession)
         return keep(df, self.folder, name)
 
+    def step(self, df: DataFrame) -> DataFrame:
+        """Keeps a table that only the next steps of a stage read."""
+        self.steps = getattr(self, "steps", 0) + 1
+        return self.keep(df, f"step-{self.steps}")
+
     def drop(self) -> None:
         """Removes the kept tables; the run can't be read afterwards."""
         if getattr(self, "folder", None):
@@ -84,7 +89,7 @@ class Transcripts:
 
     @cached_property
     def numbered(self) -> DataFrame:
-        return self.keep(turns.number_chunks(self.units, self.config), "numbered")
+        return self.keep(turns.number_chunks(self.units, self.config, self.step), "numbered")
 
     @cached_property
     def chunks(self) -> DataFrame:
@@ -95,20 +100,25 @@ class Transcripts:
         return self.keep(self.chunks, "chunks")
 
     @cached_property
-    def gram(self) -> DataFrame:
-        return self.keep(segment.chunk_gram(self.kept_chunks, self.config), "gram")
+    def weights(self) -> DataFrame:
+        return self.keep(segment.chunk_weights(self.kept_chunks, self.config), "weights")
+
+    @cached_property
+    def band(self) -> DataFrame:
+        """Products of the chunks that a topic can hold together; the walk needs no others."""
+        return self.keep(segment.band_gram(self.kept_chunks, self.weights, self.config), "band")
 
     @cached_property
     def groups(self) -> DataFrame:
-        return self.keep(segment.walk(self.kept_chunks, self.gram, self.config, self.decisions), "groups")
+        return self.keep(segment.walk(self.kept_chunks, self.band, self.config, self.decisions, self.step), "groups")
 
     @cached_property
     def merged(self) -> DataFrame:
-        return segment.merge_small(self.kept_chunks, self.groups, self.config)
+        return self.keep(segment.merge_small(self.kept_chunks, self.groups, self.config, self.step), "merged")
 
     @cached_property
     def assigned(self) -> DataFrame:
-        return segment.split_oversized(self.kept_chunks, self.groups, self.merged, segment.adjacent_similarity(self.gram), self.config)
+        return segment.split_oversized(self.kept_chunks, self.groups, self.merged, segment.adjacent_similarity(self.band), self.config)
 
     @cached_property
     def topic_units(self) -> DataFrame:
