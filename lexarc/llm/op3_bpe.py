@@ -108,10 +108,21 @@ def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
 
     short = docs.filter(F.length("text") <= chunk).mapInArrow(whole, schema)
 
-    long = docs.filter(F.length("text") > chunk).withColumn("row_id", F.monotonically_increasing_id()).withColumn("n", F.length("text"))
-    pieces = long.select(id_col, "row_id", F.posexplode(F.expr(f"sequence(0, greatest(0, cast(ceil((n - {overlap}) / {chunk}) as int) - 1))")).alias("chunk_no", "k"), "n", "text").select(
-        id_col, "row_id", "chunk_no", (F.col("chunk_no") * chunk).alias("start"), (F.col("chunk_no") * chunk + chunk + overlap >= F.col("n")).alias("is_last"),
-        F.expr(f"substring(text, chunk_no * {chunk} + 1, {chunk + overlap})").alias("part")).repartition("row_id", "chunk_no")
+    def cut_up(batches):
+        for b in batches:
+            for at in range(b.num_rows):
+                text, one = b.column(2)[at].as_py(), b.slice(at, 1)
+                count = max(1, -(-(len(text) - overlap) // chunk))
+                for begin in range(0, count, slice_rows):
+                    ks = range(begin, min(count, begin + slice_rows))
+                    again = pa.array(np.zeros(len(ks), dtype=np.int64))
+                    yield pa.RecordBatch.from_arrays(
+                        [one.column(0).take(again), one.column(1).take(again), pa.array(ks, pa.int32()), pa.array([k * chunk for k in ks], pa.int32()),
+                         pa.array([k * chunk + chunk + overlap >= len(text) for k in ks]), pa.array([text[k * chunk:(k + 1) * chunk + overlap] for k in ks], pa.string())],
+                        names=[id_col, "row_id", "chunk_no", "start", "is_last", "part"])
+
+    long = docs.filter(F.length("text") > chunk).withColumn("row_id", F.monotonically_increasing_id()).select(id_col, "row_id", "text")
+    pieces = long.mapInArrow(cut_up, f"`{id_col}` {kind}, row_id long, chunk_no int, start int, is_last boolean, part string").repartition("row_id", "chunk_no")
     pieces_schema = f"`{id_col}` {kind}, row_id long, chunk_no int, start int, is_last boolean, part string, head array<int>, tail array<int>"
 
     def pretokenise(batches):

@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from lexarc.llm import op1_langid, op2_secrets, op3_bpe, op4_tokencount, op8_quality
 from lexarc.llm.common import Scratch, read
@@ -185,3 +186,10 @@ def test_secret_query(spark, sf):
     got = {r.doc_id: r.n_secrets for r in op2_secrets.op2_secrets(spark, sf).collect()}
     sure = re.compile(r'AKIA[0-9A-Z]{16}|token = "[0-9a-f]{40}"|password=[0-9a-f]{18}')
     assert all(got[i] for i, t in docs.items() if sure.search(t or "")) and collections.Counter(got.keys()) == collections.Counter(docs.keys())
+
+
+def test_a_text_of_tens_of_megabytes(spark, library):
+    text = "One more sentence of plain words, number 12, and a line break.\n" * 500_000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = op3_bpe.encode_decode(docs, RANKS, P.PATTERN).select(F.size("ids").alias("n"), F.sha2("decoded", 256).alias("sha")).collect()
+    assert [(r.n, r.sha) for r in got] == [(len(library.encode_ordinary(text[:63])) * 500_000, hashlib.sha256(text.encode()).hexdigest())]
