@@ -1,7 +1,8 @@
 """Corpus pipeline: quality, near-duplicates, benchmark leaks, secrets, tokens.
 
 Each stage takes the documents that its predecessor kept and returns documents with the same columns; the last returns
-their tokens. Rows without a doc_id are judged by their text.
+their tokens. Rows without a doc_id are judged by their text. Stages whose result comes out of Python return it as a written
+table, since only what `Scratch.keep` writes passes through Python in small batches.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores at its threshold or above."""
-    return keep_above(docs, learn(docs, read(spark, sf_dir, "labels"), Scratch(spark, "pipeline-quality")), THRESHOLD)
+    scratch = Scratch(spark, "pipeline-quality")
+    return scratch.keep(keep_above(docs, learn(docs, read(spark, sf_dir, "labels"), scratch), THRESHOLD))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,15 +51,17 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced by their kind; n_chars follows."""
-    return redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    safe = redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return Scratch(spark, "pipeline-secrets").keep(safe)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of each document."""
     import public_tokenizers as P
 
-    return encode_decode(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).select(
+    got = encode_decode(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return Scratch(spark, "pipeline-bpe").keep(got)
 
 
 STAGES = [("quality", quality), ("jaccard", near_duplicates), ("decontaminate", decontaminate), ("secrets", secrets), ("bpe", tokens)]
@@ -70,5 +74,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = scratch.keep(stage(spark, docs, sf_dir))
+        made = stage(spark, docs, sf_dir)
+        docs = made if hasattr(made, "_lexarc_path") else scratch.keep(made)
     return STAGES[-1][1](spark, docs, sf_dir)
