@@ -175,6 +175,29 @@ def test_embeddings_odd_rows(spark):
     assert op5_embeddings.near_duplicates(df.filter("false"), Scratch(spark, "t")).count() == 0
 
 
+def test_embeddings_of_one_id(spark):
+    """Different vectors that share an id count and link as if their ids differed."""
+    a, near_a, b, near_b = [1.0, 0.0, 0.0], [1.0, 0.05, 0.0], [0.0, 0.0, 1.0], [0.0, 0.05, 1.0]
+    rows = [(1, a, 1), (1, b, 1), (2, near_a, 1), (3, near_b, 1), (7, a, 2), (7, near_a, 2), (8, a, 3), (8, b, 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r.id, r.n_links, r.component_id) for r in op5_embeddings.near_duplicates(df, Scratch(spark, "t")).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (7, 1, 7), (7, 1, 7), (8, 0, 8), (8, 0, 8)]
+
+
+def test_a_dense_block_is_held_a_few_queries_at_a_time():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=32) + rng.normal(size=(3000, 32)) * 0.02
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    graph = hnsw.Graph.build(x)
+    hits, exact, recall = op5_embeddings.range_search(graph, x[:2000], 0.93)
+    assert exact.all() and recall == 1.0
+    total = 0
+    for i, j, sim in op5_embeddings.found_pairs(graph, x[:2000], 0.93, hits, exact):
+        assert len(np.unique(i)) <= op5_embeddings.SLICE and len(i) == len(j) == len(sim)
+        total += len(i)
+    assert total == 2000 * 3000
+
+
 @pytest.mark.parametrize("cluster,lost", [(700, 60), (400, 2)])
 def test_audit_beside_a_cluster(cluster, lost):
     """Pairs that the graph doesn't reach are found, whether the cluster saturates the whole shard or outweighs them."""
@@ -193,7 +216,8 @@ def test_audit_beside_a_cluster(cluster, lost):
     graph = hnsw.Graph.build(x)
     for layer in graph.layers:
         layer[np.isin(layer, cut)] = -1
-    i, j, recall = op5_embeddings.range_search(graph, x, 0.93)
+    hits, exact, recall = op5_embeddings.range_search(graph, x, 0.93)
+    i, j, _ = map(np.concatenate, zip(*op5_embeddings.found_pairs(graph, x, 0.93, hits, exact), strict=True))
     want = np.argwhere(x @ x.T >= 0.93)
     assert {tuple(p) for p in want.tolist()} <= set(zip(i.tolist(), j.tolist(), strict=True)) and recall >= op5_embeddings.AUDIT_RECALL
 
