@@ -26,7 +26,9 @@ def line_gaps(pages: DataFrame, r: DataFrame, lines: DataFrame) -> DataFrame:
     """(transcript_id, page, missing_lines, missing_in_canonical): what a testimony page's record lacks, and what its lines lack."""
     own = lines.filter("is_testimony")
     silent = own.groupBy("transcript_id", "page").agg(F.expr("array_sort(array_except(sequence(1, max(line)), collect_set(line)))").alias("silent"))
-    first = pages.filter("kept and transcript_page is not null").join(missing_lines(r), KEY, "left").groupBy("transcript_id", F.col("transcript_page").alias("page")).agg(F.min_by("missing_lines", "pdf_page_index").alias("listed"))
+    # the first record with a page's number counts, also that of a page whose lines were not taken, which lacks none
+    lacks = F.coalesce(F.when(F.col("kept"), F.col("missing_lines")), F.array().cast("array<int>"))
+    first = pages.filter("transcript_page is not null").join(missing_lines(r), KEY, "left").groupBy("transcript_id", F.col("transcript_page").alias("page")).agg(F.min_by(lacks, "pdf_page_index").alias("listed"))
     x = silent.join(first, ["transcript_id", "page"], "left").withColumn("listed", F.array_sort(F.coalesce("listed", F.array().cast("array<int>"))))
     return x.filter("size(silent) > 0 or size(listed) > 0").select("transcript_id", "page", F.col("listed").alias("missing_lines"), F.col("silent").alias("missing_in_canonical"))
 
@@ -54,19 +56,20 @@ def extraction_warnings(pages: DataFrame, r: DataFrame, lines: DataFrame, per_pa
 
 
 def report(pages: DataFrame, r: DataFrame, lines: DataFrame, chunks: DataFrame) -> DataFrame:
-    """One row per transcript."""
+    """One row per transcript. gaps, duplicate_lines and page_roles have the pages, lines and counts themselves."""
     ints = lambda c: F.expr(f"array_sort(collect_set({c}))")
     p = pages.groupBy("transcript_id").agg(F.count("*").alias("total_pdf_pages"), F.expr("array_sort(collect_set(page_role) filter (where page_role <> 'transcript'))").alias("non_testimony_roles"))
-    roles = page_role_counts(pages).groupBy("transcript_id").agg(F.expr("transform(array_sort(collect_list(struct(page_role, n_pages))), x -> concat(x.page_role, '=', x.n_pages))").alias("page_roles"))
+    roles = page_role_counts(pages).groupBy("transcript_id").agg(F.expr("map_from_entries(array_sort(collect_list(struct(page_role, n_pages))))").alias("page_roles"))
     ln = lines.groupBy("transcript_id").agg(ints("page").alias("extracted_pages"), ints("case when is_testimony then page end").alias("extracted_testimony_pages"), F.count("*").alias("extracted_lines"), F.count_if("is_testimony").alias("extracted_testimony_lines"))
     tp = testimony_pages(pages, lines).groupBy("transcript_id").agg(ints("page").alias("testimony_pages"))
     ch = chunks.groupBy("transcript_id").agg(F.count("*").alias("chunks_created"))
-    gaps = line_gaps(pages, r, lines).groupBy("transcript_id").agg(F.sum(F.expr("case when size(missing_lines) > 0 then 1 else 0 end + case when size(missing_in_canonical) > 0 then 1 else 0 end")).alias("gaps_detected"), ints("page").alias("gap_pages"))
-    dup = duplicate_lines(r).join(pages.filter("kept"), KEY).groupBy("transcript_id").agg(F.count_distinct("pdf_page_index").alias("duplicate_pages"), ints("pdf_page_index").alias("duplicate_pdf_pages"))
+    gaps = line_gaps(pages, r, lines).groupBy("transcript_id").agg(F.sum(F.expr("case when size(missing_lines) > 0 then 1 else 0 end + case when size(missing_in_canonical) > 0 then 1 else 0 end")).alias("gaps_detected"), F.array_sort(F.collect_list(F.struct("page", "missing_lines", "missing_in_canonical"))).alias("gaps"))
+    twice = duplicate_lines(r).join(pages.filter("kept"), KEY).groupBy(*KEY, "transcript_page").agg(ints("line").alias("lines"))
+    dup = twice.groupBy("transcript_id").agg(F.count("*").alias("duplicate_pages"), F.array_sort(F.collect_list(F.struct("pdf_page_index", F.col("transcript_page").alias("page"), "lines"))).alias("duplicate_lines"))
     warn = extraction_warnings(pages, r, lines).groupBy("transcript_id").agg(F.count("*").alias("n_warnings"), F.expr("transform(array_sort(collect_list(struct(n, warning))), x -> x.warning)").alias("warnings"))
     x = p
     for other in (roles, ln, tp, testimony_range(lines), ch, gaps, dup, warn):
         x = x.join(other, "transcript_id", "left")
-    for name in ("gap_pages", "duplicate_pdf_pages", "warnings"):
+    for name in ("gaps", "duplicate_lines", "warnings"):
         x = x.withColumn(name, F.coalesce(name, F.array().cast(x.schema[name].dataType)))
     return x.fillna(0, ["chunks_created", "gaps_detected", "duplicate_pages", "n_warnings", "extracted_lines", "extracted_testimony_lines"])

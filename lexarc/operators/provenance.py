@@ -36,14 +36,25 @@ def validate(topics: DataFrame, lines: DataFrame) -> DataFrame:
 def clamp(places: DataFrame, lines: DataFrame) -> DataFrame:
     """places(transcript_id, place_no, page, line) with the nearest line that exists, on the nearest page if need be.
 
-    The nearest page comes first, over the few distinct pages of a transcript; then the nearest line of that page.
+    Of equally near pages the lower one counts, of equally near lines the earlier one. Places and what they may move to go in
+    one order, so that the nearest on either side is the last one seen, and no place meets more than two of them.
     """
-    pages = lines.select("transcript_id", F.col("page").alias("p")).distinct()
-    w = W.partitionBy("transcript_id", "place_no").orderBy(F.abs(F.col("p") - F.col("page")), "p")
-    near = places.join(pages, "transcript_id").withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
-    own = lines.select("transcript_id", F.col("page").alias("p"), F.col("line").alias("l"), "ord")
-    v = W.partitionBy("transcript_id", "place_no").orderBy(F.abs(F.col("l") - F.col("line")), "ord")
-    return near.join(own, ["transcript_id", "p"]).withColumn("r", F.row_number().over(v)).filter("r = 1").select("transcript_id", "place_no", "page", "line", F.col("p").alias("clamped_page"), F.col("l").alias("clamped_line"))
+    t, asked = "transcript_id", F.col("place_no").isNotNull()
+    pages = lines.select(t, F.col("page").alias("at")).distinct()
+    x = places.select(t, "place_no", "page", "line", F.col("page").alias("at")).unionByName(pages, allowMissingColumns=True)
+    seen = F.last(F.when(~asked, F.col("at")), ignorenulls=True)
+    up, down = (W.partitionBy(t).orderBy(o("at"), asked).rowsBetween(W.unboundedPreceding, 0) for o in (F.asc, F.desc))
+    x = x.withColumn("low", seen.over(up)).withColumn("high", seen.over(down)).filter(asked)
+    x = x.withColumn("p", F.expr("case when high is null or at - low <= high - at then low else high end")).filter("p is not null")
+
+    own = lines.groupBy(t, F.col("page").alias("p"), F.col("line").alias("at")).agg(F.min("ord").alias("ord"))
+    y = x.select(t, "p", "place_no", "page", "line", F.col("line").alias("at")).unionByName(own, allowMissingColumns=True)
+    seen = F.last(F.when(~asked, F.struct("at", "ord")), ignorenulls=True)
+    up, down = (W.partitionBy(t, "p").orderBy(o("at"), asked).rowsBetween(W.unboundedPreceding, 0) for o in (F.asc, F.desc))
+    y = y.withColumn("low", seen.over(up)).withColumn("high", seen.over(down)).filter(asked)
+    far = "case when {0} is not null then named_struct('far', abs({0}.at - line), 'ord', {0}.ord, 'at', {0}.at) end"
+    y = y.withColumn("to", F.least(F.expr(far.format("low")), F.expr(far.format("high"))))
+    return y.select(t, "place_no", "page", "line", F.col("p").alias("clamped_page"), F.col("to.at").alias("clamped_line"))
 
 
 def validate_or_repair(topics: DataFrame, lines: DataFrame) -> DataFrame:
@@ -95,3 +106,9 @@ def audit(topics: DataFrame, lines: DataFrame) -> DataFrame:
     return x.groupBy("transcript_id").agg(
         F.count("*").alias("topics_checked"), F.sum(F.expr("size(filter(provenance_notes, n -> n like 'start does%' or n like 'end does%' or n like 'start is%'))")).alias("invalid_refs"),
         F.sum(F.expr("coalesce(lost, 0) + case when size(source_ids) = 0 then 1 else 0 end")).alias("missing_sids"), F.sum(F.expr("case when provenance_ok then 0 else 1 end")).alias("evidence_mismatches"), F.sum(F.expr("case when at < before then 1 else 0 end")).alias("order_violations"))
+
+
+def duplicate_assignments(topics: DataFrame) -> DataFrame:
+    """(transcript_id, source_id, n_topics): lines that several topics of a transcript hold."""
+    own = topics.select(*KEY, F.explode("source_ids").alias("source_id")).distinct()
+    return own.groupBy("transcript_id", "source_id").agg(F.count("*").alias("n_topics")).filter("n_topics > 1")

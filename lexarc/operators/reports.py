@@ -36,13 +36,6 @@ def markdown_rows(topics: DataFrame) -> DataFrame:
         f"concat('| ', replace(topic, '|', '/'), ' | P', start_page, ':L', start_line, ' | P', end_page, ':L', end_line, ' | ', case when length({ev}) > 220 then concat(substring({ev}, 1, 217), '...') else {ev} end, ' |')").alias("row"))
 
 
-def markdown(topics: DataFrame, title: str, transcript_id: int, policies: dict[str, str]) -> str:
-    """One transcript's index as a Markdown page."""
-    rows = [r.row for r in markdown_rows(topics.filter(F.col("transcript_id") == transcript_id)).orderBy("n").collect()]
-    tail = [x for name, text in policies.items() for x in ("", f"## {name}", "", text)]
-    return "\n".join([f"# {title}", "", "| Topic | Start | End | Supporting Evidence |", "|---|---|---|---|", *rows, *tail, ""])
-
-
 def run_summary(topics: DataFrame, lines: DataFrame, chunks: DataFrame, pages: DataFrame) -> DataFrame:
     x = pages.groupBy("transcript_id").agg(F.count("*").alias("total_pdf_pages"))
     for other in (lines.groupBy("transcript_id").agg(F.count("*").alias("extracted_lines"), F.count_if("is_testimony").alias("testimony_lines")), testimony_range(lines), chunks.groupBy("transcript_id").agg(F.count("*").alias("chunks")),
@@ -59,10 +52,71 @@ def full_summary(summary: DataFrame, topics: DataFrame, source: str, provider: s
 
 
 def fingerprint(topics: DataFrame) -> DataFrame:
-    """(transcript_id, n_topics, sha256) over all public fields of each transcript's index rows, in order."""
-    row = F.expr("""concat_ws('|', topic_id, topic, start_page, start_line, end_page, end_line, supporting_source_reference, supporting_evidence, array_join(source_ids, ','), array_join(related_topic_ids, ','),
-        coalesce(recurrence_of, ''), is_procedural, transition_type, confidence)""")
-    return topics.groupBy("transcript_id").agg(F.count("*").alias("n_topics"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("topic_no", row.alias("r")))), lambda x: x["r"]), "\n").cast("binary"), 256).alias("sha256"))
+    """(transcript_id, n_topics, sha256) over all public fields of each transcript's index rows as JSON, in order."""
+    row = F.to_json(F.struct(*sorted(PUBLIC)), {"ignoreNullFields": "false"})
+    rows = F.array_sort(F.collect_list(F.struct("topic_no", row.alias("r"))))
+    return topics.groupBy("transcript_id").agg(F.count("*").alias("n_topics"), F.sha2(F.array_join(F.transform(rows, lambda x: x["r"]), "\n").cast("binary"), 256).alias("sha256"))
+
+
+#: Rows in a leaf of a run's hash tree, and transcripts on a shelf of it.
+LEAF, SHELF = 256, 1000
+LEVELS = {"root": [], "shelf": ["shelf"], "transcript": ["shelf", "transcript_id"], "leaf": ["shelf", "transcript_id", "leaf"]}
+
+LEVELS_ABOVE = {"root": [], "shelf": [], "transcript": ["shelf"], "leaf": ["shelf", "transcript_id"]}
+
+
+def hashed_rows(artifact: DataFrame, order: str | None) -> DataFrame:
+    """(shelf, transcript_id, leaf, place, sha256) of each row, as JSON with sorted keys; order is its number within the transcript."""
+    place = F.col(order) if order else F.lit(1)
+    row = F.to_json(F.struct(*sorted(artifact.columns)), {"ignoreNullFields": "false"})
+    return artifact.select(F.expr(f"transcript_id div {SHELF}").alias("shelf"), F.col("transcript_id").cast("long").alias("transcript_id"), place.cast("int").alias("place"), F.sha2(row.cast("binary"), 256).alias("sha256")).withColumn(
+        "leaf", F.expr(f"cast((place - 1) div {LEAF} as int)"))
+
+
+def hash_tree(artifact: DataFrame, order: str | None) -> DataFrame:
+    """(level, shelf, transcript_id, leaf, sha256): a hash for each leaf of rows, each transcript, each shelf of transcripts, and the whole.
+
+    A node's hash is that of its children's in order, so that two runs differ below a node if and only if its hashes differ. A
+    node has as many children as a leaf has rows, or as a transcript has leaves.
+    """
+    below, order_by, out = hashed_rows(artifact, order), "place", []
+    for level in reversed(LEVELS):
+        keys = LEVELS[level]
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order_by, "sha256"))), lambda x: x["sha256"]), "")
+        below = below.groupBy(*keys).agg(F.sha2(joined.cast("binary"), 256).alias("sha256"))
+        if keys:
+            order_by = keys[-1]
+        out.append(below.select(F.lit(level).alias("level"), *[F.col(c).cast("long").alias(c) if c in keys else F.lit(None).cast("long").alias(c) for c in LEVELS["leaf"]], "sha256"))
+    leaf, transcript, shelf, root = out
+    return root.unionByName(shelf).unionByName(transcript).unionByName(leaf)
+
+
+def changed_leaves(one: DataFrame, other: DataFrame) -> DataFrame:
+    """(shelf, transcript_id, leaf) that differ between two hash trees; a level is looked at below nodes that differ only."""
+    found = None
+    for level, keys in LEVELS.items():
+        a, b = (x.filter(F.col("level") == level).select(*keys, F.col("sha256").alias(name)) for x, name in ((one, "h1"), (other, "h2")))
+        if found is not None and LEVELS_ABOVE[level]:
+            a, b = (x.join(found, LEVELS_ABOVE[level], "left_semi") for x in (a, b))
+        if not keys:
+            a, b = a.withColumn("k", F.lit(0)), b.withColumn("k", F.lit(0))
+        found = a.join(b, keys or ["k"], "full").filter("h1 is null or h2 is null or h1 <> h2").select(*keys)
+        if not keys and found.isEmpty():  # one row
+            return one.limit(0).select(*LEVELS["leaf"])
+    return found
+
+
+def changed_rows(one: DataFrame, other: DataFrame, order: str | None, trees: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(transcript_id, place, side) of an artifact's rows that differ between two runs: changed, first (only there) or second.
+
+    Rows are hashed only in leaves that differ. trees are the stored trees of both, where there are any.
+    """
+    left, right = trees or (hash_tree(one, order), hash_tree(other, order))
+    leaves = changed_leaves(left, right)
+    keys = ["transcript_id", "leaf", "place"]
+    a, b = (hashed_rows(x, order).join(leaves, ["shelf", "transcript_id", "leaf"], "left_semi").select(*keys, F.col("sha256").alias(name)) for x, name in ((one, "h1"), (other, "h2")))
+    side = F.expr("case when h2 is null then 'first' when h1 is null then 'second' else 'changed' end")
+    return a.join(b, keys, "full").filter("h1 is null or h2 is null or h1 <> h2").select("transcript_id", "place", side.alias("side"))
 
 
 def diff(one: DataFrame, other: DataFrame) -> DataFrame:
@@ -80,9 +134,3 @@ def location_accuracy(topics: DataFrame, lines: DataFrame) -> DataFrame:
     x = x.join(here.toDF("transcript_id", "start_page", "start_line").withColumn("s", F.lit(1)), ["transcript_id", "start_page", "start_line"], "left").join(here.toDF("transcript_id", "end_page", "end_line").withColumn("e", F.lit(1)), ["transcript_id", "end_page", "end_line"], "left")
     ok = F.expr("coalesce(s = 1 and e = 1 and start_page * 1000 + start_line <= end_page * 1000 + end_line, false)")
     return x.groupBy("transcript_id").agg(F.count("*").alias("reviewed"), F.count_if(ok).alias("passed")).withColumn("location_accuracy_pct", F.round(100.0 * F.col("passed") / F.col("reviewed"), 1))
-
-
-def write_run(topics: DataFrame, path: str, run_name: str | None = None) -> None:
-    """The index as Parquet; a named run replaces its own partition only."""
-    out = topics.withColumn("run_name", F.lit(run_name or "latest"))
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_name").parquet(path)

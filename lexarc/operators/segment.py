@@ -149,12 +149,40 @@ def related_candidates(groups: DataFrame, weights: DataFrame, config: EngineConf
     return s.filter(F.round("similarity", 9) >= config.related_similarity).select("transcript_id", F.col("l").alias("chunk_no"), F.col("r").alias("group_no"), "similarity")
 
 
-def decision_requests(chunks: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
-    """(transcript_id, batch_no, provider, temperature, chunk_ids, source_ranges, texts): what a decision provider is asked, in bounded batches.
+#: What a provider answers: one row a request, with null decisions where it failed.
+ANSWERS = "request_key string, decisions array<struct<chunk_id string, action string, topic_label string>>"
 
-    Its answers come back as the decisions of `walk`: transcript_id, chunk_id, action and, if given, topic_label.
-    """
+
+def decision_requests(chunks: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """(transcript_id, batch_no, request_key, provider, temperature, chunk_ids, source_ranges, texts): what a decision provider is
+    asked, in bounded batches. The key is a hash of what is asked, so that an answer holds as long as its chunks stay the same."""
     asked = F.expr(f"struct(chunk_no, chunk_id, source_range, substring(text, 1, {REQUEST_CHARS}) as text)")
-    return chunks.withColumn("batch_no", F.expr(f"1 + (chunk_no - 1) div {REQUEST_CHUNKS}").cast("int")).groupBy("transcript_id", "batch_no").agg(F.array_sort(F.collect_list(asked)).alias("x")).select(
+    x = chunks.withColumn("batch_no", F.expr(f"1 + (chunk_no - 1) div {REQUEST_CHUNKS}").cast("int")).groupBy("transcript_id", "batch_no").agg(F.array_sort(F.collect_list(asked)).alias("x")).select(
         "transcript_id", "batch_no", F.lit(config.decision_provider).alias("provider"), F.lit(config.temperature).alias("temperature"),
         F.col("x.chunk_id").alias("chunk_ids"), F.col("x.source_range").alias("source_ranges"), F.col("x.text").alias("texts"))
+    return x.withColumn("request_key", F.sha2(F.to_json(F.struct("transcript_id", "chunk_ids", "source_ranges", "texts")).cast("binary"), 256))
+
+
+def _matched(requests: DataFrame, answers: DataFrame) -> DataFrame:
+    """Requests with their answer; of several answers to one request a good one counts."""
+    best = answers.groupBy("request_key").agg(F.max("decisions").alias("decisions")).withColumn("there", F.lit(True))
+    return requests.select("transcript_id", "batch_no", "request_key").join(best, "request_key", "left")
+
+
+def exchange_status(requests: DataFrame, answers: DataFrame) -> DataFrame:
+    """(request_key, transcript_id, batch_no, status): answered, failed (an answer without decisions), open (none yet), or stale
+    (an answer to what is no longer asked, without a transcript)."""
+    status = F.expr("case when decisions is not null then 'answered' when there then 'failed' else 'open' end")
+    stale = answers.select("request_key").distinct().join(requests, "request_key", "left_anti")
+    return _matched(requests, answers).select("request_key", "transcript_id", "batch_no", status.alias("status")).unionByName(stale.withColumn("status", F.lit("stale")), allowMissingColumns=True)
+
+
+def decisions_of(requests: DataFrame, answers: DataFrame) -> DataFrame:
+    """(transcript_id, chunk_id, action, topic_label), as `walk` takes them: of transcripts whose requests all have a good answer.
+
+    A chunk that is decided on twice has its last decision.
+    """
+    x = _matched(requests, answers)
+    whole = x.groupBy("transcript_id").agg(F.bool_and(F.col("decisions").isNotNull()).alias("whole")).filter("whole").select("transcript_id")
+    each = x.join(whole, "transcript_id", "left_semi").select("transcript_id", "batch_no", F.posexplode("decisions").alias("n", "d")).filter("coalesce(d.chunk_id, '') <> ''")
+    return each.groupBy("transcript_id", F.col("d.chunk_id").alias("chunk_id")).agg(F.max_by("d", F.struct("batch_no", "n")).alias("d")).select("transcript_id", "chunk_id", "d.action", "d.topic_label")

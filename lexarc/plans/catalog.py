@@ -29,6 +29,11 @@ def query(sql: str | None, name: str | None = None):
     return put
 
 
+def both(run: DataFrame, doctored: DataFrame) -> DataFrame:
+    """Results over the run's own data and over data with planted cases, told apart by a column."""
+    return run.select(F.lit("run").alias("data"), "*").unionByName(doctored.select(F.lit("doctored").alias("data"), "*"))
+
+
 def _words(col: str) -> str:
     return f"transform({col}, w -> w.text)"
 
@@ -152,10 +157,13 @@ TROUBLED = "case when ord <= 2 then 'P1:L1' else source_id end"
 
 
 @query(f""", troubled AS (SELECT * REPLACE ({TROUBLED} AS source_id, is_testimony AND transcript_id % 2 = 1 AS is_testimony) FROM lines)
-SELECT transcript_id, unnest(list_filter([CASE WHEN count(*) <> count(DISTINCT source_id) THEN 'Duplicate source_id values were produced during extraction.' END, CASE WHEN NOT bool_or(is_testimony) THEN 'No testimony lines detected; check extraction.' END], lambda x: x IS NOT NULL)) AS warning FROM troubled GROUP BY 1""")
+SELECT 'run' AS data, transcript_id, warning FROM wide UNION ALL
+SELECT 'doctored', transcript_id, unnest(list_filter([CASE WHEN count(*) <> count(DISTINCT source_id) THEN 'Duplicate source_id values were produced during extraction.' END,
+  CASE WHEN NOT bool_or(is_testimony) THEN 'No testimony lines detected; check extraction.' END], lambda x: x IS NOT NULL)) AS warning FROM troubled GROUP BY transcript_id""")
 def transcript_warnings(t):
-    """Over lines with a repeated id, and every second transcript without testimony."""
-    return speakers.transcript_warnings(t.lines.withColumn("source_id", F.expr(TROUBLED)).withColumn("is_testimony", F.expr("is_testimony and transcript_id % 2 = 1")))
+    """Of the run, and over lines with a repeated id and every second transcript without testimony."""
+    doctored = t.lines.withColumn("source_id", F.expr(TROUBLED)).withColumn("is_testimony", F.expr("is_testimony and transcript_id % 2 = 1"))
+    return both(speakers.transcript_warnings(t.lines), speakers.transcript_warnings(doctored))
 
 
 @query("SELECT transcript_id, turn_no, speaker, speaker_kind, n_lines, source_ids FROM turns", "turns")
@@ -249,12 +257,40 @@ def topic_walk_decisions(t):
     return segment.walk(t.kept_chunks, t.band, t.config, d, t.step)
 
 
-@query("""SELECT transcript_id, CAST(1 + (chunk_no - 1) // 8 AS INT) AS batch_no, '' AS provider, 0.0::DOUBLE AS temperature, list(chunk_id ORDER BY chunk_no) AS chunk_ids, list(source_range ORDER BY chunk_no) AS source_ranges,
-  list(substring(text, 1, 4000) ORDER BY chunk_no) AS texts FROM chunks GROUP BY 1, 2""")
+REQUESTS_SQL = """, requests AS (SELECT *, sha256(CAST(to_json({'transcript_id': transcript_id, 'chunk_ids': chunk_ids, 'source_ranges': source_ranges, 'texts': texts}) AS VARCHAR)) AS request_key FROM (
+  SELECT transcript_id, CAST(1 + (chunk_no - 1) // 8 AS INT) AS batch_no, list(chunk_id ORDER BY chunk_no) AS chunk_ids, list(source_range ORDER BY chunk_no) AS source_ranges,
+  list(substring(text, 1, 4000) ORDER BY chunk_no) AS texts FROM chunks GROUP BY 1, 2))"""
+
+
+@query(REQUESTS_SQL + " SELECT *, '' AS provider, 0.0::DOUBLE AS temperature FROM requests")
 def decision_requests(t):
     return segment.decision_requests(t.kept_chunks, t.config)
 
 
+def _answers(requests: DataFrame) -> DataFrame:
+    """Answers to most requests of two thirds of the transcripts, and one that fails; and answers to what nobody asks."""
+    made = F.expr("transform(chunk_ids, (c, i) -> struct(c as chunk_id, if(i % 2 = 0, 'new_topic', 'continue') as action, concat('About ', c) as topic_label))")
+    given = requests.filter("transcript_id % 3 < 2 and not (transcript_id % 3 = 1 and batch_no = 2)").select("request_key", made.alias("decisions"))
+    failed = requests.filter("transcript_id % 3 = 1 and batch_no = 2").select("request_key", F.lit(None).cast(given.schema["decisions"].dataType).alias("decisions"))
+    stale = requests.filter("batch_no = 1").select(F.concat(F.lit("old-"), "request_key").alias("request_key"), F.array().cast(given.schema["decisions"].dataType).alias("decisions"))
+    return given.unionByName(failed).unionByName(stale)
+
+
+@query(REQUESTS_SQL + """ SELECT request_key, transcript_id, batch_no, CASE WHEN transcript_id % 3 = 2 THEN 'open' WHEN transcript_id % 3 = 1 AND batch_no = 2 THEN 'failed' ELSE 'answered' END AS status FROM requests
+UNION ALL SELECT 'old-' || request_key, NULL, NULL, 'stale' FROM requests WHERE batch_no = 1""")
+def decision_status(t):
+    requests = t.step(segment.decision_requests(t.kept_chunks, t.config))
+    return segment.exchange_status(requests, _answers(requests))
+
+
+@query("""SELECT transcript_id, chunk_id, CASE WHEN (chunk_no - 1) % 8 % 2 = 0 THEN 'new_topic' ELSE 'continue' END AS action, 'About ' || chunk_id AS topic_label FROM chunks c
+WHERE transcript_id % 3 = 0 OR (transcript_id % 3 = 1 AND NOT EXISTS (SELECT 1 FROM chunks d WHERE d.transcript_id = c.transcript_id AND d.chunk_no > 8))""")
+def decisions_taken(t):
+    """A transcript with a failed request has no decisions."""
+    requests = t.step(segment.decision_requests(t.kept_chunks, t.config))
+    return segment.decisions_of(requests, _answers(requests))
+
+
 @query("""SELECT transcript_id, i AS chunk_no, gj AS group_no, round(num / sqrt(q * own), 6) AS similarity FROM (
   SELECT g.transcript_id, g.i, b.group_no AS gj, sum(g.g) AS num FROM gram g JOIN groups a ON a.transcript_id = g.transcript_id AND a.chunk_no = g.i JOIN groups b ON b.transcript_id = g.transcript_id AND b.chunk_no = g.j
   WHERE b.group_no < a.group_no AND g.i = (SELECT min(chunk_no) FROM groups x WHERE x.transcript_id = a.transcript_id AND x.group_no = a.group_no) GROUP BY ALL) n
@@ -309,9 +345,11 @@ def alike(t) -> DataFrame:
     return topics.link_recurrence(provenance.validate(t.records.withColumn("fingerprint", F.expr("concat('f', topic_no % 3)")), t.lines), t.config)
 
 
-@query(ALIKE_SQL + """ SELECT transcript_id, topic_no, topic, fingerprint, CASE WHEN later THEN h_id END AS recurrence_of, CASE WHEN l THEN [h_id] ELSE [] END AS related_topic_ids, CASE WHEN l THEN 'related_distinct' ELSE 'new_topic' END AS transition_type FROM alinked""")
+@query(ALIKE_SQL + """ SELECT 'run' AS data, transcript_id, topic_no, topic, fingerprint, recurrence_of, related_topic_ids, transition_type FROM linked UNION ALL
+SELECT 'doctored', transcript_id, topic_no, topic, fingerprint, CASE WHEN later THEN h_id END, CASE WHEN l THEN [h_id] ELSE [] END, CASE WHEN l THEN 'related_distinct' ELSE 'new_topic' END FROM alinked""")
 def topic_recurrence(t):
-    return alike(t).select(*TOPIC, "topic", "fingerprint", "recurrence_of", "related_topic_ids", "transition_type")
+    cols = [*TOPIC, "topic", "fingerprint", "recurrence_of", "related_topic_ids", "transition_type"]
+    return both(t.linked.select(*cols), alike(t).select(*cols))
 
 
 @query("SELECT * FROM ev")
@@ -325,7 +363,8 @@ def topic_confidence(t):
 
 
 GAPS = """, silent AS (SELECT transcript_id, page, list_filter(range(1, max(line) + 1), lambda n: NOT list_contains(list(line), n)) AS s FROM lines WHERE is_testimony GROUP BY ALL),
-listed AS (SELECT p.transcript_id, p.transcript_page AS page, arg_min(m.missing_lines, p.pdf_page_index) AS l FROM pages p LEFT JOIN missing m USING (transcript_id, pdf_page_index) WHERE kept AND transcript_page IS NOT NULL GROUP BY ALL),
+listed AS (SELECT p.transcript_id, p.transcript_page AS page, arg_min(CASE WHEN kept THEN coalesce(m.missing_lines, []) ELSE [] END, p.pdf_page_index) AS l FROM pages p LEFT JOIN missing m USING (transcript_id, pdf_page_index)
+  WHERE transcript_page IS NOT NULL GROUP BY ALL),
 gaps AS (SELECT s.transcript_id, s.page, coalesce(l, []) AS missing_lines, s.s AS missing_in_canonical FROM silent s LEFT JOIN listed USING (transcript_id, page) WHERE len(s.s) > 0 OR len(coalesce(l, [])) > 0)"""
 TPAGES = """, tpages AS (SELECT DISTINCT p.transcript_id, p.transcript_page AS page FROM pages p LEFT JOIN trange r USING (transcript_id) WHERE p.transcript_page IS NOT NULL
   AND CASE WHEN testimony_start IS NOT NULL AND testimony_end IS NOT NULL THEN p.transcript_page BETWEEN testimony_start AND testimony_end ELSE page_role = 'transcript' AND p.transcript_page <> 0 END)"""
@@ -338,16 +377,19 @@ warnings AS (SELECT * FROM (SELECT transcript_id, row_number() OVER (PARTITION B
 
 @query(GAPS + TPAGES + WARN + """ SELECT p.transcript_id, total_pdf_pages, non_testimony_roles, page_roles, extracted_pages, extracted_testimony_pages, extracted_lines, extracted_testimony_lines, testimony_pages, testimony_start, testimony_end,
   coalesce(chunks_created, 0) AS chunks_created, coalesce(gaps_detected, 0) AS gaps_detected, coalesce(duplicate_pages, 0) AS duplicate_pages, coalesce(n_warnings, 0) AS n_warnings,
-  coalesce(gap_pages, []) AS gap_pages, coalesce(duplicate_pdf_pages, []) AS duplicate_pdf_pages, coalesce(warnings, []) AS warnings
+  coalesce(gaps, '[]') AS gaps, coalesce(duplicate_lines, '[]') AS duplicate_lines, coalesce(warnings, []) AS warnings
 FROM (SELECT transcript_id, count(*) AS total_pdf_pages, list(DISTINCT page_role ORDER BY page_role) FILTER (WHERE page_role <> 'transcript') AS non_testimony_roles FROM pages GROUP BY 1) p
-LEFT JOIN (SELECT transcript_id, list(page_role || '=' || n ORDER BY page_role) AS page_roles FROM (SELECT transcript_id, page_role, count(*) AS n FROM pages GROUP BY 1, 2) GROUP BY 1) USING (transcript_id)
+LEFT JOIN (SELECT transcript_id, '{' || string_agg('"' || page_role || '":' || n, ',' ORDER BY page_role) || '}' AS page_roles FROM (SELECT transcript_id, page_role, count(*) AS n FROM pages GROUP BY 1, 2) GROUP BY 1) USING (transcript_id)
 LEFT JOIN (SELECT transcript_id, list(DISTINCT page ORDER BY page) AS extracted_pages, list(DISTINCT page ORDER BY page) FILTER (WHERE is_testimony) AS extracted_testimony_pages, count(*) AS extracted_lines, count(*) FILTER (WHERE is_testimony) AS extracted_testimony_lines FROM lines GROUP BY 1) USING (transcript_id)
 LEFT JOIN (SELECT transcript_id, list(page ORDER BY page) AS testimony_pages FROM tpages GROUP BY 1) USING (transcript_id) LEFT JOIN trange USING (transcript_id) LEFT JOIN (SELECT transcript_id, count(*) AS chunks_created FROM chunks GROUP BY 1) USING (transcript_id)
-LEFT JOIN (SELECT transcript_id, sum((len(missing_lines) > 0)::INT + (len(missing_in_canonical) > 0)::INT)::BIGINT AS gaps_detected, list(page ORDER BY page) AS gap_pages FROM gaps GROUP BY 1) USING (transcript_id)
-LEFT JOIN (SELECT transcript_id, count(DISTINCT pdf_page_index) AS duplicate_pages, list(DISTINCT pdf_page_index ORDER BY pdf_page_index) AS duplicate_pdf_pages FROM dups JOIN pages USING (transcript_id, pdf_page_index) WHERE kept GROUP BY 1) USING (transcript_id)
+LEFT JOIN (SELECT transcript_id, sum((len(missing_lines) > 0)::INT + (len(missing_in_canonical) > 0)::INT)::BIGINT AS gaps_detected,
+  '[' || string_agg('{"page":' || page || ',"missing_lines":[' || array_to_string(missing_lines, ',') || '],"missing_in_canonical":[' || array_to_string(missing_in_canonical, ',') || ']}', ',' ORDER BY page) || ']' AS gaps FROM gaps GROUP BY 1) USING (transcript_id)
+LEFT JOIN (SELECT transcript_id, count(*) AS duplicate_pages, '[' || string_agg('{"pdf_page_index":' || pdf_page_index || coalesce(',"page":' || transcript_page, '') || ',"lines":[' || array_to_string(l, ',') || ']}', ',' ORDER BY pdf_page_index) || ']' AS duplicate_lines
+  FROM (SELECT transcript_id, pdf_page_index, transcript_page, list(DISTINCT line ORDER BY line) AS l FROM dups JOIN pages USING (transcript_id, pdf_page_index) WHERE kept GROUP BY ALL) GROUP BY 1) USING (transcript_id)
 LEFT JOIN (SELECT transcript_id, count(*) AS n_warnings, list(warning ORDER BY n) AS warnings FROM warnings GROUP BY 1) USING (transcript_id)""")
 def completeness_report(t):
-    return completeness.report(t.pages, t.rows, t.lines, t.chunks)
+    found = completeness.report(t.pages, t.rows, t.lines, t.chunks)
+    return found.withColumns({c: F.to_json(c) for c in ("gaps", "duplicate_lines", "page_roles")})
 
 
 @query(GAPS + " SELECT * FROM gaps")
@@ -430,11 +472,19 @@ def provenance_audit(t):
     return provenance.audit(broken(t.records), t.lines)
 
 
-@query("SELECT transcript_id, source_id, count(*) AS n_topics FROM (SELECT transcript_id, topic_no, unnest(CASE WHEN topic_no % 2 = 1 THEN list_concat(source_ids, ['P2:L2', 'P3:L1']) ELSE source_ids END) AS source_id FROM idx) GROUP BY 1, 2 HAVING count(*) > 1")
+@query("""SELECT data, transcript_id, source_id, count(DISTINCT topic_no) AS n_topics FROM (SELECT 'run' AS data, transcript_id, topic_no, unnest(source_ids) AS source_id FROM idx UNION ALL
+  SELECT 'doctored', transcript_id, topic_no, unnest(CASE WHEN topic_no % 2 = 1 THEN list_concat(source_ids, ['P2:L2', 'P3:L1']) ELSE source_ids END) FROM idx) GROUP BY 1, 2, 3 HAVING count(DISTINCT topic_no) > 1""")
 def duplicate_assignments(t):
-    """Over an index in which every second topic holds two more lines."""
-    shared = t.index.withColumn("source_ids", F.expr("case when topic_no % 2 = 1 then concat(source_ids, array('P2:L2', 'P3:L1')) else source_ids end"))
-    return shared.select("transcript_id", F.explode("source_ids").alias("source_id")).groupBy("transcript_id", "source_id").agg(F.count("*").alias("n_topics")).filter("n_topics > 1")
+    """Of the run, and over an index in which every second topic holds two more lines."""
+    doctored = t.index.withColumn("source_ids", F.expr("case when topic_no % 2 = 1 then concat(source_ids, array('P2:L2', 'P3:L1')) else source_ids end"))
+    return both(provenance.duplicate_assignments(t.index), provenance.duplicate_assignments(doctored))
+
+
+@query(f"""SELECT transcript_id, count(*) FILTER (WHERE contains(lower(topic), '{TERM}') OR contains(lower(supporting_evidence), '{TERM}') OR contains(lower(array_to_string(source_ids, ' ')), '{TERM}')) AS count,
+  transcript_id % 2 = 0 AS transcript_available, CASE WHEN transcript_id % 2 = 1 THEN '{search.NO_TRANSCRIPT}' END AS transcript_unavailable_reason FROM idx GROUP BY 1, 3, 4""")
+def filter_envelope(t):
+    """With every second transcript's lines absent."""
+    return search.envelope(t.index, search.filter_topics(t.index, TERM), t.lines.filter("transcript_id % 2 = 0"))
 
 
 @query(f"SELECT transcript_id, topic_id, topic FROM idx WHERE contains(lower(topic), '{TERM}') OR contains(lower(supporting_evidence), '{TERM}') OR contains(lower(array_to_string(source_ids, ' ')), '{TERM}')")
@@ -453,9 +503,10 @@ def topic_lookup(t):
     return reduce(DataFrame.unionByName, [search.lookup(t.index, x).select(F.lit(x).alias("asked"), "transcript_id", "topic_id") for x in ("T002", "-1", "0")])
 
 
-@query(ALIKE_SQL + " SELECT a.transcript_id, a.topic_id, r.topic_id AS related_id, r.topic AS related_topic FROM (SELECT transcript_id, topic_id, h_id AS rid FROM alinked WHERE provenance_ok AND l) a JOIN alinked r ON r.transcript_id = a.transcript_id AND r.topic_id = a.rid AND r.provenance_ok")
+@query(ALIKE_SQL + """ SELECT 'run' AS data, a.transcript_id, a.topic_id, r.topic_id AS related_id, r.topic AS related_topic FROM (SELECT transcript_id, topic_id, unnest(related_topic_ids) AS rid FROM idx) a JOIN idx r ON r.transcript_id = a.transcript_id AND r.topic_id = a.rid UNION ALL
+SELECT 'doctored', a.transcript_id, a.topic_id, r.topic_id, r.topic FROM (SELECT transcript_id, topic_id, h_id AS rid FROM alinked WHERE provenance_ok AND l) a JOIN alinked r ON r.transcript_id = a.transcript_id AND r.topic_id = a.rid AND r.provenance_ok""")
 def topic_related(t):
-    return search.related(alike(t).filter("provenance_ok"))
+    return both(search.related(t.index), search.related(alike(t).filter("provenance_ok")))
 
 
 @query("SELECT transcript_id, topic_no, page, line, source_id, speaker, text FROM topiclines")
@@ -465,7 +516,7 @@ def topic_source_lines(t):
 
 @query(O.search(QUERY, TOP))
 def topic_search(t):
-    return search.ranked(t.index, QUERY, TOP)
+    return search.ranked_stored(t.postings, t.index, QUERY, TOP)
 
 
 @query("""SELECT transcript_id, topic_no, topic_id, line_count, start_exists, end_exists, len(source_ids) - len(gone) AS source_ids_resolved, gone[1:20] AS missing_source_ids, len(gone) = 0 AND line_count > 0 AND start_exists AND end_exists AS ok,
@@ -494,11 +545,67 @@ def run_summary(t):
     return reports.run_summary(t.index, t.lines, t.chunks, t.pages)
 
 
-@query("""SELECT transcript_id, count(*) AS n_topics, sha256(string_agg(concat_ws('|', topic_id, topic, start_page, start_line, end_page, end_line, supporting_source_reference, supporting_evidence, array_to_string(source_ids, ','), array_to_string(related_topic_ids, ','), coalesce(recurrence_of, ''), is_procedural, transition_type, confidence), chr(10) ORDER BY topic_no)) AS sha256 FROM idx GROUP BY 1""")
+def _json(cols: list[str]) -> str:
+    return f"""CAST(to_json({{{', '.join(f"'{c}': {c}" for c in sorted(cols))}}}) AS VARCHAR)"""
+
+
+@query(f"SELECT transcript_id, count(*) AS n_topics, sha256(string_agg({_json(reports.PUBLIC)}, chr(10) ORDER BY topic_no)) AS sha256 FROM idx GROUP BY 1")
 def run_fingerprint(t):
     return reports.fingerprint(t.index)
 
 
+#: Artifacts of a run in its hash tree: columns, the number of a row within its transcript, and where SQL has them.
+ARTIFACTS = {
+    "canonical_transcript": (["transcript_id", "ord", "page", "line", "source_id", "speaker", "speaker_kind", "text", "is_testimony"], "ord", "lines"),
+    "chunks": (["transcript_id", "chunk_no", "chunk_id", "source_range", "text", "source_ids"], "chunk_no", "chunks"),
+    "topic_index": (["transcript_id", "topic_no", *reports.PUBLIC], "topic_no", "idx"),
+    "topic_index_markdown": (["transcript_id", "n", "row"], "n", "mdrows"),
+}
+MD_SQL = """, mdrows AS (SELECT transcript_id, row_number() OVER (PARTITION BY transcript_id ORDER BY start_page, start_line, end_page, end_line, topic_no) AS n, '| ' || replace(topic, '|', '/') || ' | P' || start_page || ':L' || start_line || ' | P' || end_page || ':L' || end_line || ' | ' ||
+  CASE WHEN length(supporting_evidence) > 220 THEN substring(replace(replace(supporting_evidence, '|', '/'), chr(10), ' '), 1, 217) || '...' ELSE replace(replace(supporting_evidence, '|', '/'), chr(10), ' ') END || ' |' AS row FROM idx)"""
+
+
+def artifacts(t) -> dict[str, DataFrame]:
+    made = {"canonical_transcript": t.lines, "chunks": t.kept_chunks, "topic_index": t.index, "topic_index_markdown": reports.markdown_rows(t.index)}
+    return {name: df.select(*ARTIFACTS[name][0]) for name, df in made.items()}
+
+
+def _tree_sql() -> str:
+    steps, last = [], []
+    for k, (name, (cols, order, source)) in enumerate(ARTIFACTS.items()):
+        steps.append(f"""r{k} AS (SELECT transcript_id // {reports.SHELF} AS shelf, transcript_id, ({order} - 1) // {reports.LEAF} AS leaf, {order} AS place, sha256({_json(cols)}) AS h FROM {source}),
+l{k} AS (SELECT shelf, transcript_id, leaf, sha256(string_agg(h, '' ORDER BY place)) AS h FROM r{k} GROUP BY ALL), t{k} AS (SELECT shelf, transcript_id, sha256(string_agg(h, '' ORDER BY leaf)) AS h FROM l{k} GROUP BY ALL),
+s{k} AS (SELECT shelf, sha256(string_agg(h, '' ORDER BY transcript_id)) AS h FROM t{k} GROUP BY ALL)""")
+        last += [f"SELECT '{name}' AS artifact, 'leaf' AS level, CAST(shelf AS BIGINT) AS shelf, CAST(transcript_id AS BIGINT) AS transcript_id, CAST(leaf AS BIGINT) AS leaf, h AS sha256 FROM l{k}",
+                 f"SELECT '{name}', 'transcript', shelf, transcript_id, NULL, h FROM t{k}", f"SELECT '{name}', 'shelf', shelf, NULL, NULL, h FROM s{k}",
+                 f"SELECT '{name}', 'root', NULL, NULL, NULL, sha256(string_agg(h, '' ORDER BY shelf)) FROM s{k} HAVING count(*) > 0"]
+    return MD_SQL + ", " + ",\n".join(steps) + "\n" + "\nUNION ALL ".join(last)
+
+
+@query(_tree_sql())
+def run_tree(t):
+    """The hash trees of a run's artifacts."""
+    return reduce(DataFrame.unionByName, [reports.hash_tree(df, ARTIFACTS[name][1]).select(F.lit(name).alias("artifact"), "*") for name, df in artifacts(t).items()])
+
+
+@query(MD_SQL + """ SELECT 'canonical_transcript' AS artifact, transcript_id, ord AS place, 'changed' AS side FROM lines WHERE ord % 50 = 7 UNION ALL SELECT 'chunks', transcript_id, chunk_no, 'first' FROM chunks WHERE chunk_no % 5 = 4
+UNION ALL SELECT 'topic_index', transcript_id, topic_no, 'changed' FROM idx WHERE topic_no % 3 = 1 UNION ALL SELECT 'topic_index_markdown', transcript_id, n + 1000, 'second' FROM mdrows WHERE n = 2
+UNION ALL SELECT DISTINCT 'completeness_report', transcript_id, 1, 'changed' FROM pages WHERE transcript_id % 2 = 0""")
+def run_tree_diff(t):
+    """Against a run with a planted change in each artifact."""
+    one = artifacts(t) | {"completeness_report": t.step(completeness.report(t.pages, t.rows, t.lines, t.kept_chunks))}
+    other = dict(one)
+    other["canonical_transcript"] = one["canonical_transcript"].withColumn("text", F.expr("if(ord % 50 = 7, concat(text, ' !'), text)"))
+    other["chunks"] = one["chunks"].filter("chunk_no % 5 <> 4")
+    other["topic_index"] = one["topic_index"].withColumn("confidence", F.expr("if(topic_no % 3 = 1, confidence + 1, confidence)"))
+    md = one["topic_index_markdown"]
+    other["topic_index_markdown"] = md.unionByName(md.filter("n = 2").withColumn("n", F.col("n") + 1000))
+    other["completeness_report"] = one["completeness_report"].withColumn("extracted_lines", F.expr("if(transcript_id % 2 = 0, extracted_lines + 1, extracted_lines)"))
+    orders = {name: order for name, (_, order, _) in ARTIFACTS.items()} | {"completeness_report": None}
+    trees = [{n: t.step(reports.hash_tree(run[n], orders[n])) for n in run} for run in (one, other)]
+    return reduce(DataFrame.unionByName, [reports.changed_rows(one[n], other[n], orders[n], (trees[0][n], trees[1][n])).select(F.lit(n).alias("artifact"), "transcript_id", "place", "side") for n in one])
+
+
 @query("SELECT transcript_id, topic_id, topic, start_page, start_line, end_page, end_line, 'first' AS side FROM idx WHERE topic_no % 4 = 0")
 def run_diff(t):
     return reports.diff(t.index, t.index.filter("topic_no % 4 <> 0"))

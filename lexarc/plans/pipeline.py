@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
-from ..operators import layout, provenance, roles, segment, speakers, topics, turns
+from ..operators import layout, provenance, roles, search, segment, speakers, topics, turns
 from ..sources import adapter
-from ..sources.artifacts import keep, new_folder, remove, version
+from ..sources.artifacts import exists, keep, new_folder, remove, version
 
 
 #: Runs of this application by input folder and configuration, with the version of the input that they have read.
@@ -41,13 +41,19 @@ class Transcripts:
         key, now = (app, sf_dir, config), version(spark, f"{sf_dir}/conversations.parquet")
         for old in [k for k in _RUNS if k[0] != app]:
             del _RUNS[old]
+        if key in _RUNS and not _RUNS[key][1].there(spark):
+            del _RUNS[key]
         if key not in _RUNS or _RUNS[key][0] != now:
             _RUNS[key] = now, cls.of(spark, sf_dir, config=config)
         return _RUNS[key][1]
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def there(self, spark: SparkSession) -> bool:
+        """Whether the kept tables still exist, as far as there are any."""
+        return not getattr(self, "folder", None) or exists(spark, self.folder)
+
+    def keep(self, df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
         self.folder = getattr(self, "folder", None) or new_folder(df.sparkSession)
-        return keep(df, self.folder, name)
+        return keep(df, self.folder, name, by)
 
     def step(self, df: DataFrame) -> DataFrame:
         """Keeps a table that only the next steps of a stage read."""
@@ -55,7 +61,9 @@ class Transcripts:
         return self.keep(df, f"step-{self.steps}")
 
     def drop(self) -> None:
-        """Removes the kept tables; the run can't be read afterwards."""
+        """Removes the kept tables; the run can't be read afterwards, and the next one over its input begins anew."""
+        for k in [k for k, (_, run) in _RUNS.items() if run is self]:
+            del _RUNS[k]
         if getattr(self, "folder", None):
             remove(self.words.sparkSession, self.folder)
 
@@ -139,3 +147,8 @@ class Transcripts:
     def index(self) -> DataFrame:
         """Valid topics; their order is chronological by place."""
         return self.linked.filter("provenance_ok")
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        """The inverted index that searches read, in folders by a hash of the term."""
+        return self.keep(search.postings(self.index), "postings", ["bucket"])

@@ -48,10 +48,10 @@ def shared_folder(spark: SparkSession) -> str:
     return known
 
 
-def keep(df: DataFrame, folder: str | None = None, name: str = "stage") -> DataFrame:
-    """Writes a stage's result as Parquet and reads it again, so that later stages start from it."""
+def keep(df: DataFrame, folder: str | None = None, name: str = "stage", by: list[str] | None = None) -> DataFrame:
+    """Writes a stage's result as Parquet, in folders by the values of some columns, and reads it again, so that later stages start from it."""
     path, schema = f"{folder or new_folder(df.sparkSession)}/{name}", df.schema
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
@@ -85,15 +85,38 @@ RUN_ARTIFACTS = ["canonical_transcript", "chunks", "topic_index", "topic_index_m
 JSON_ARTIFACTS = {"completeness_report", "run_summary"}
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _path(spark, path)
+    return fs.exists(at)
+
+
+def publish(spark: SparkSession, staged: str, out: str, names: list[str]) -> None:
+    """Puts artifacts that are written as a whole in place of earlier ones; nothing is removed before all new ones are there."""
+    absent = [n for n in names if not exists(spark, f"{staged}/{n}")]
+    if absent:
+        raise ArtifactMissing(f"{staged} lacks {', '.join(absent)}")
+    for name in names:
+        remove(spark, f"{out}/{name}")
+        fs, to = _path(spark, f"{out}/{name}")
+        fs.mkdirs(to.getParent())
+        if not fs.rename(_path(spark, f"{staged}/{name}")[1], to):
+            raise OSError(f"{out}/{name} can't be put in place")
+    remove(spark, staged)
+
+
 def snapshot(spark: SparkSession, output_dir: str, run_name: str) -> str:
-    """Copies a run's artifacts to runs/<name> in its output folder, in place of an earlier run of that name."""
+    """Copies a run's artifacts to runs/<name> in its output folder; an earlier run of that name goes once the copy is whole."""
     out = output_dir.rstrip("/")
-    to = f"{out}/runs/{run_name}"
-    remove(spark, to)
-    for name in RUN_ARTIFACTS:
-        kind = "text" if name in JSON_ARTIFACTS else "parquet"
-        at = f"{out}/{name}/run_name={run_name}" if name == "topic_index" else f"{out}/{name}"
-        spark.read.format(kind).load(at).write.format(kind).save(f"{to}/{name}")
+    to, staged = f"{out}/runs/{run_name}", f"{out}/runs/.{run_name}-{uuid.uuid4().hex}"
+    try:
+        for name in RUN_ARTIFACTS:
+            kind = "text" if name in JSON_ARTIFACTS else "parquet"
+            at = f"{out}/{name}/run_name={run_name}" if name == "topic_index" else f"{out}/{name}"
+            spark.read.format(kind).load(at).write.format(kind).save(f"{staged}/{run_name}/{name}")
+        publish(spark, staged, f"{out}/runs", [run_name])
+    except Exception:
+        remove(spark, staged)
+        raise
     return to
 
 
@@ -105,3 +128,13 @@ def missing(spark: SparkSession, output_dir: str, names: list[str] = RUN_ARTIFAC
         if not fs.exists(at):
             found.append(name)
     return found
+
+
+def inventory(spark: SparkSession, output_dir: str, names: list[str] = RUN_ARTIFACTS) -> DataFrame:
+    """(artifact, present, files, bytes) of a run's output folder."""
+    rows = []
+    for name in names:
+        fs, at = _path(spark, f"{output_dir.rstrip('/')}/{name}")
+        held = fs.getContentSummary(at) if fs.exists(at) else None
+        rows.append((name, held is not None, held.getFileCount() if held else 0, held.getLength() if held else 0))
+    return spark.createDataFrame(rows, "artifact string, present boolean, files long, bytes long")

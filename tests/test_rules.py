@@ -206,6 +206,14 @@ def test_command_line(spark, sf, tmp_path):
     assert missing(spark, out) == [] and missing(spark, f"{out}/runs/first") == []
     kept = spark.read.json(f"{out}/runs/first/run_summary")
     assert kept.filter("ran_at is null or source is null or decision_provider <> 'none' or size(topics) <> topic_count").count() == 0 < kept.count()
+    told = spark.read.json(f"{out}/decision_status")
+    assert told.count() == told.filter("status = 'open'").count() > 0
+    answers = spark.read.json(f"{out}/decision_requests").selectExpr("request_key", "transform(chunk_ids, c -> named_struct('chunk_id', c, 'action', 'continue', 'topic_label', 'All of it')) as decisions")
+    answers.write.json(str(tmp_path / "answers"))
+    cli.main(["--words", str(tmp_path / "words"), "--texts", str(tmp_path / "texts"), "--output-dir", str(tmp_path / "other"), "--answers", str(tmp_path / "answers")])
+    assert {r.status for r in spark.read.json(str(tmp_path / "other" / "decision_status")).collect()} == {"answered"}
+    decided = load(spark, str(tmp_path / "other" / "topic_index"))
+    assert decided.filter("topic = 'All of it'").count() > 0
     with pytest.raises(SystemExit):
         cli.main(["--words", "w", "--texts", "t", "--output-dir", out, "--run-name", "../first"])
     index, lines = load(spark, f"{out}/topic_index"), load(spark, f"{out}/canonical_transcript")
