@@ -12,7 +12,8 @@ Overlapping passages of a document merge to spans.
 Positions count words between white space (`[^\\x20\\x09-\\x0D]+`); case counts. Texts that are equal as a whole are
 sorted once, and repeat as a whole if they have MIN_WORDS words. A repeat may lie in the same text; where it overlaps
 itself (a run of one word that is shorter than two passages) it may be missed. Null, empty and short
-texts have no spans. Every row gives one row; repeated rows are copies of each other. In a run of equal seeds
+texts have no spans. Every row gives one row; repeated rows are copies of each other. Texts are told apart by their words, never
+by their id: rows without an id are compared like all others, and texts that share an id have spans of their own. In a run of equal seeds
 (one word over and over) every RUN-th position and the last are kept. Columns other than the id and the text are not
 read, whatever their names; an empty table gives an empty one.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Scratch, bitmap, position, read
+from .common import Scratch, bitmap, join_spread, position, read
 from .wordhash import _U, _mix, word_hashes
 
 MIN_WORDS, SEED, RUN = 50, 20, 16
@@ -98,7 +99,7 @@ SCHEMA = "seed long, right binary, left binary, id long, pos int, reach int"
 
 
 def _suffixes(texts: DataFrame, seeds, ids) -> DataFrame:
-    """The suffixes whose seed is in one bitmap and whose text's id is in the other."""
+    """The suffixes whose seed is in one bitmap and whose row's pick is in the other, under their text's key."""
     (seed_bits, seed_marks), (id_bits, id_marks) = seeds, ids
     sc = texts.sparkSession.sparkContext
     shared = sc.broadcast((seed_marks, id_marks))  # of bounded size
@@ -121,7 +122,7 @@ def _suffixes(texts: DataFrame, seeds, ids) -> DataFrame:
                     s, right, left, i, at, reach = (np.concatenate(x) for x in zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), _binary(right), _binary(left), pa.array(i.astype(np.int64)), pa.array(at.astype(np.int32)), pa.array(reach.astype(np.int32))], names=NAMES)
 
-    return texts.filter("text is not null").select("id", "text", position("id", id_bits).alias("h")).mapInArrow(run, SCHEMA)
+    return texts.filter("text is not null").select(F.col("key").alias("id"), "text", position("pick", id_bits).alias("h")).mapInArrow(run, SCHEMA)
 
 
 def _places(s: np.ndarray, bits: int) -> np.ndarray:
@@ -183,7 +184,7 @@ def _matches(ordered: DataFrame, chunk: int) -> DataFrame:
 
 def repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """(id, n_words, copies, spans array<struct<start, end>>) for every row of docs, in words from 0, ends excluded."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("text")).withColumn("pick", F.coalesce("id", "key"))
 
     def profile(batches):
         for big in batches:
@@ -195,25 +196,27 @@ def repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col:
                     n.append(len(h))
                     seeds.append(minimisers(h)[1].view(np.int64))
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in seeds]))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(seeds)))], names=["id", "whole", "n_words", "seeds"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(seeds)))], names=["id", "whole", "key", "n_words", "seeds"])
 
-    seen = scratch.keep(texts.select("id", "text", F.md5(F.col("text").cast("binary")).alias("whole")).mapInArrow(profile, "id long, whole string, n_words int, seeds array<long>"))
-    classes = scratch.keep(seen.groupBy("whole", "n_words").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
-    reps = classes.filter(f"rep is not null and n_words >= {MIN_WORDS}").select(F.col("rep").alias("id"))
-    once = seen.join(reps, "id", "left_semi").select(F.explode("seeds").alias("seed"))
+    seen = scratch.keep(texts.select("id", "text", F.md5(F.col("text").cast("binary")).alias("whole"), "key").mapInArrow(profile, "id long, whole string, key long, n_words int, seeds array<long>"))
+    classes = scratch.keep(seen.groupBy("whole", "n_words").agg(F.min("id").alias("rep"), F.min("key").alias("key"), F.count("*").alias("copies")))
+    # one row stands for equal texts: that with the least id, or those without an id where there is none
+    reps = classes.filter(f"n_words >= {MIN_WORDS}").select(F.coalesce("rep", "key").alias("pick"))
+    once = seen.withColumn("pick", F.coalesce("id", "key")).join(reps, "pick", "left_semi").select(F.explode("seeds").alias("seed"))
     twice = scratch.keep(once.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed"))
-    rows = scratch.keep(_suffixes(texts, _seed_bitmap(twice), bitmap(reps, "id")))
+    rows = scratch.keep(_suffixes(texts, _seed_bitmap(twice), bitmap(reps, "pick")))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, "seed", "right", "id", "pos").sortWithinPartitions("seed", "right", "id", "pos")
     found = scratch.keep(_matches(ordered, chunk))
     scratch.drop(rows)
-    # a passage has at most one row a chunk here, so a list is bounded by the number of chunks
-    across = found.filter("key is not null").groupBy("key").agg(F.collect_list(F.struct("id", "first", "last")).alias("x")).filter("size(x) > 1").select(F.explode("x").alias("x")).select("x.*")
+    open_ends = found.filter("key is not null")
+    again = scratch.keep(open_ends.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    across = join_spread(open_ends, again, ["key"], "n").select("id", "first", "last")
     spans = found.filter("key is null").select("id", "first", "last").unionByName(across)
     w = W.partitionBy("id").orderBy("first", "last")
     island = spans.distinct().withColumn("new", F.coalesce(F.col("first") > F.max("last").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(True)).cast("int")).withColumn("k", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
     merged = island.groupBy("id", "k").agg(F.min("first").alias("start"), F.max("last").alias("end")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    named = classes.join(merged.withColumnRenamed("id", "rep"), "rep", "left").select(
+    named = classes.join(merged.withColumnRenamed("id", "key"), "key", "left").select(
         "whole", "n_words", "copies", F.when((F.col("copies") > 1) & (F.col("n_words") >= MIN_WORDS), F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").alias("end")))).otherwise(
             F.coalesce("spans", F.expr("cast(array() as array<struct<start:int,end:int>>)"))).alias("spans"))
     return seen.select(

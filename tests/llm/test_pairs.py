@@ -294,6 +294,15 @@ def test_repeats_around_a_frequent_passage(spark, chunk):
     assert all(want[i] for i, _ in docs) and got == {i: want[i] for i, _ in docs}
 
 
+def test_repeats_without_and_with_repeated_ids(spark):
+    """A text without an id shares a passage with one that has an id; two texts of one id have spans of their own."""
+    w = [f"w{i}" for i in range(2000)]
+    shared, other = w[:60], w[100:170]
+    rows = [(None, " ".join(w[200:230] + shared)), (1, " ".join(shared + w[300:350])), (5, " ".join(w[400:600] + other + w[600:650])), (5, " ".join(w[700:755])), (6, " ".join(other)), (None, " ".join(w[900:990])), (None, " ".join(w[900:990]))]
+    got = [(r.id, r.n_words, r.copies, [tuple(s) for s in r.spans]) for r in op9_suffix.repeats(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t")).collect()]
+    assert sorted(got, key=repr) == sorted([(None, 90, 1, [(30, 90)]), (1, 110, 1, [(0, 60)]), (5, 320, 1, [(200, 270)]), (5, 55, 1, []), (6, 70, 1, [(0, 70)]), (None, 90, 2, [(0, 90)]), (None, 90, 2, [(0, 90)])], key=repr)
+
+
 def test_repeats_query(spark, sf):
     docs = [(r.doc_id, r.text) for r in read(spark, sf, "documents").collect()]
     want, loose = repeated_words(docs), repeated_words(docs, apart=1)
