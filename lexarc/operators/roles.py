@@ -9,6 +9,13 @@ from .layout import KEY, fold_lines, footers
 
 # Roles whose pages give no lines.
 SKIPPED = ["word_index", "procedural_appendix", "reporter_certificate", "redacted_administrative", "unnumbered"]
+# What the text of such a page holds; a word index has ranges in brackets and many colons.
+SKIP_PHRASES = {
+    "redacted_administrative": ["ADMINISTRATIVE INFORMATION REDACTED"],
+    "procedural_appendix": ["FEDERAL RULES OF CIVIL PROCEDURE", "REVIEW BY THE WITNESS"],
+    "reporter_certificate": ["COMPANY CERTIFICATE AND DISCLOSURE"],
+}
+WORD_INDEX, WORD_INDEX_COLONS = r"\[[^\]]+\s-\s[^\]]+\]", 15
 
 
 def page_role(raw: str = "raw_text", page: str = "transcript_page", has_lines: str = "has_lines") -> Column:
@@ -16,11 +23,13 @@ def page_role(raw: str = "raw_text", page: str = "transcript_page", has_lines: s
     compact = f"trim(regexp_replace({raw}, '\\\\s+', ' '))"
     up = f"upper({compact})"
     has = lambda *xs: " and ".join(f"contains({up}, '{x}')" for x in xs)
+    held = lambda role: f"when {has(*SKIP_PHRASES[role])} then '{role}'"
+    index = WORD_INDEX.replace("\\", "\\\\")
     return F.expr(f"""case
-        when {has('ADMINISTRATIVE INFORMATION REDACTED')} then 'redacted_administrative'
-        when {compact} rlike '\\\\[[^\\\\]]+\\\\s-\\\\s[^\\\\]]+\\\\]' and length({compact}) - length(replace({compact}, ':', '')) >= 15 then 'word_index'
-        when {has('FEDERAL RULES OF CIVIL PROCEDURE', 'REVIEW BY THE WITNESS')} then 'procedural_appendix'
-        when {has('COMPANY CERTIFICATE AND DISCLOSURE')} then 'reporter_certificate'
+        {held('redacted_administrative')}
+        when {compact} rlike '{index}' and length({compact}) - length(replace({compact}, ':', '')) >= {WORD_INDEX_COLONS} then 'word_index'
+        {held('procedural_appendix')}
+        {held('reporter_certificate')}
         when contains({compact}, 'I N D E X') or ({up} rlike '(^|[^A-Z0-9_])INDEX([^A-Z0-9_]|$)' and {has('WITNESS', 'EXAMINATION')}) then 'index'
         when {has('CERTIFICATION', 'SHORTHAND REPORTER')} then 'csr_certificate'
         when contains({compact}, 'E R R A T A') or {has('ERRATA SHEET')} or {has('WITNESS SIGNATURE')} or {has('SOLEMNLY DECLARE UNDER PENALTY')} then 'errata_declaration'

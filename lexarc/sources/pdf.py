@@ -3,47 +3,62 @@
 from __future__ import annotations
 
 import importlib.util
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .artifacts import keep
-
-PAGES = "transcript_id long, pdf_page_index int, raw_text string, words array<struct<word_no:int,x0:double,y0:double,x1:double,y1:double,text:string>>"
-PLACE = ["x0", "y0", "x1", "y1"]
+from .pages import PAGES, PLACE, PageSource, located, page_rows
 
 
 def decoder_available() -> bool:
     return importlib.util.find_spec("pymupdf") is not None
 
 
-def pages(spark: SparkSession, path: str) -> DataFrame:
-    """One row a page; files are decoded in parallel, and a file's pages leave its task one by one."""
+def openable(path: str) -> bool:
+    """Whether Python itself can open a path: a file or folder without wildcards in a store that pyarrow knows."""
+    if re.search(r"[*?\[{]", path):
+        return False
+    try:
+        located(path)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
+    return True
+
+
+def pages(spark: SparkSession, path: str, words: bool = True) -> DataFrame:
+    """(path, pdf_page_index, raw_text, skipped, words), a row a page; skipped pages have no words.
+
+    Files are decoded in parallel, large ones in several tasks. Filters reach the files, but where only Spark's own reader
+    can open a path: then a task takes whole files and Spark filters their pages.
+    """
     if not decoder_available():
         raise ImportError("reading PDF files needs the pymupdf package on driver and executors")
-    word = pa.struct([("word_no", pa.int32()), *((c, pa.float64()) for c in PLACE), ("text", pa.string())])
-    schema = pa.schema([("transcript_id", pa.int64()), ("pdf_page_index", pa.int32()), ("raw_text", pa.string()), ("words", pa.list_(word))])
+    if openable(path):
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+        spark.dataSource.register(PageSource)
+        return spark.read.format(PageSource.name()).option("path", path).option("words", str(words)).load()
 
     def decode(batches):
-        import pymupdf
-
         for b in batches:
-            for i, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for p, page in enumerate(pymupdf.open(stream=data, filetype="pdf")):
-                    words = [{"word_no": k, **dict(zip(PLACE, w[:4], strict=True)), "text": w[4]} for k, w in enumerate(page.get_text("words"))]
-                    yield pa.RecordBatch.from_pylist([{"transcript_id": i, "pdf_page_index": p, "raw_text": page.get_text(), "words": words}], schema=schema)
+            for full, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                yield from page_rows(full, data, words=words)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(decode, PAGES)
+
 
-    files = spark.read.format("binaryFile").load(path).select(F.abs(F.xxhash64("path")).alias("transcript_id"), "content")
-    return files.mapInArrow(decode, PAGES)
+def _keyed(decoded: DataFrame) -> DataFrame:
+    return decoded.withColumn("transcript_id", F.abs(F.xxhash64("path")))
 
 
 def word_boxes(decoded: DataFrame) -> DataFrame:
-    return decoded.select("transcript_id", "pdf_page_index", F.explode("words").alias("w")).select("transcript_id", "pdf_page_index", "w.word_no", *(f"w.{c}" for c in PLACE), "w.text")
+    return _keyed(decoded).select("transcript_id", "pdf_page_index", F.explode("words").alias("w")).select("transcript_id", "pdf_page_index", "w.word_no", *(f"w.{c}" for c in PLACE), "w.text")
 
 
 def page_texts(decoded: DataFrame) -> DataFrame:
-    return decoded.select("transcript_id", "pdf_page_index", "raw_text")
+    return _keyed(decoded).select("transcript_id", "pdf_page_index", "raw_text")
 
 
 def tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

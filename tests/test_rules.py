@@ -240,36 +240,95 @@ def test_diff_sees_every_public_field(spark, sf):
     assert {r.side: r["count"] for r in reports.diff(index, other).groupBy("side").count().collect()} == {"first": n, "second": n}
 
 
-def test_pdf_files_are_decoded_once(spark, tmp_path):
-    """With a decoder that reads one page a line, and logs each file that it opens."""
-    from lexarc.sources import pdf
-
-    log = tmp_path / "log"
-    stub = tmp_path / "pymupdf.py"
-    stub.write_text(f"""
+STUB = """
 class Page:
     def __init__(self, text):
         self.text = text
 
     def get_text(self, kind="text"):
+        note(kind + ": " + self.text[:20])
         return self.text if kind == "text" else [(10.0 * k, 5.0, 10.0 * k + 8, 9.0, w, 0, 0, k) for k, w in enumerate(self.text.split())]
 
 
-def open(stream, filetype):
+def note(what):
     import builtins
 
-    with builtins.open({str(log)!r}, "a") as f:
-        f.write("opened\\n")
-    return [Page(x) for x in stream.decode().split("\\n")]
-""")
-    if not pdf.decoder_available():
-        spark.sparkContext.addPyFile(str(stub))
+    with builtins.open(LOG, "a") as f:
+        f.write(what + "\\n")
+
+
+def open(stream, filetype):
+    text = bytes(stream).decode()
+    note("opened")
+    return [Page(x) for x in text.split("\\n")]
+"""
+
+
+@pytest.fixture(scope="module")
+def decoder(spark, tmp_path_factory):
+    """The log of a decoder that reads one page a line, and notes each file that it opens and each page that it reads."""
+    from lexarc.sources import pdf
+
+    if pdf.decoder_available():
+        pytest.skip("a real decoder is installed")
+    at = tmp_path_factory.mktemp("decoder")
+    (at / "pymupdf.py").write_text(f"LOG = {str(at / 'log')!r}\n{STUB}")
+    spark.sparkContext.addPyFile(str(at / "pymupdf.py"))
+    return at / "log"
+
+
+@pytest.fixture
+def files(decoder, tmp_path):
     (tmp_path / "files").mkdir()
     (tmp_path / "files" / "a.pdf").write_text("1 Q Why\n2 A So")
     (tmp_path / "files" / "b.pdf").write_text("")  # holds no page
-    (tmp_path / "files" / "c.pdf").write_text("only")
-    words, texts = pdf.tables(spark, str(tmp_path / "files"))
-    assert sorted((r.pdf_page_index, r.raw_text) for r in texts.collect()) == [(0, "1 Q Why"), (0, "only"), (1, "2 A So")]
+    (tmp_path / "files" / "c.pdf").write_text("only\nadministrative  information\tredacted 1 2 3")
+    decoder.write_text("")
+    return str(tmp_path / "files")
+
+
+def test_pdf_files_are_decoded_once(spark, decoder, files):
+    """Each file is opened once, and skipped pages give their text, but no words."""
+    from lexarc.sources import pdf
+
+    words, texts = pdf.tables(spark, files)
+    assert sorted((r.pdf_page_index, r.raw_text) for r in texts.collect()) == [(0, "1 Q Why"), (0, "only"), (1, "2 A So"), (1, "administrative  information\tredacted 1 2 3")]
     assert [(r.pdf_page_index, r.word_no, r.x0, r.y1, r.text) for r in words.join(texts.filter("raw_text <> 'only'"), ["transcript_id", "pdf_page_index"], "left_semi").orderBy("pdf_page_index", "word_no").collect()] == [
         (0, 0, 0.0, 9.0, "1"), (0, 1, 10.0, 9.0, "Q"), (0, 2, 20.0, 9.0, "Why"), (1, 0, 0.0, 9.0, "2"), (1, 1, 10.0, 9.0, "A"), (1, 2, 20.0, 9.0, "So")]
-    assert log.read_text().count("opened") == 2
+    log = decoder.read_text().splitlines()
+    assert log.count("opened") == 2 and sorted(x for x in log if x.startswith("words")) == ["words: 1 Q Why", "words: 2 A So", "words: only"]
+
+
+def test_filters_reach_the_pages(spark, decoder, files):
+    from lexarc.sources import pdf
+
+    one = pdf.pages(spark, files).filter(f"path = 'file:{files}/c.pdf' and not skipped")
+    assert [(r.pdf_page_index, r.raw_text, [w.text for w in r.words]) for r in one.collect()] == [(0, "only", ["only"])]
+    assert decoder.read_text().splitlines() == ["opened", "text: only", "words: only", "text: administrative  info"]
+    decoder.write_text("")
+    second = pdf.pages(spark, files, words=False).filter("pdf_page_index >= 1")
+    assert sorted((r.raw_text, r.skipped, r.words) for r in second.collect()) == [("2 A So", False, None), ("administrative  information\tredacted 1 2 3", True, None)]
+    assert sorted(decoder.read_text().splitlines()) == ["opened"] * 2 + ["text: 2 A So", "text: administrative  info"]
+
+
+def test_pages_of_every_reader_are_the_same(spark, decoder, files):
+    """Files in several shares, and files that only Spark's reader opens."""
+    from lexarc.sources import pdf
+
+    rows = lambda df: sorted((r.path, r.pdf_page_index, r.raw_text, r.skipped, r.words) for r in df.collect())
+    whole = rows(pdf.pages(spark, files).filter("words is not null"))
+    shared = spark.read.format("transcript_pages").option("path", files).option("split_bytes", "5").load()
+    assert shared.rdd.getNumPartitions() > 3
+    assert len(whole) == 3 and rows(shared.filter("words is not null")) == whole == rows(pdf.pages(spark, files + "/*.pdf").filter("words is not null"))
+    assert [r.raw_text for r in pdf.pages(spark, files).filter("path = 'none'").collect()] == []
+
+
+def test_skipped_pages_agree_with_their_roles(spark):
+    from lexarc.operators.roles import SKIPPED, page_role
+    from lexarc.sources.pages import skipped
+
+    index = "[a\u00a0- b] [cat -\tdog]" + " 1:2" * 15
+    texts = ["", "plain", "Administrative information\nredacted", "administrative informationredacted", index, index[:-1].replace(":2", "", 1), index.replace("cat -\tdog", "cat"), index.replace("\t", "\u00a0"),
+             "Federal Rules of Civil Procedure", "federal rules of civil  procedure: review by the witness", "COMPANY CERTIFICATE AND DISCLOSURE STATEMENT", "I N D E X"]
+    rows = spark.createDataFrame([(x,) for x in texts], "raw_text string").select("raw_text", page_role("raw_text", "cast(null as int)", "true").alias("role")).collect()
+    assert [skipped(r.raw_text) for r in rows] == [r.role in SKIPPED for r in rows] and sum(skipped(x) for x in texts) == 4
