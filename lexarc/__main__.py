@@ -37,17 +37,19 @@ def main(args: list[str] | None = None) -> None:
     out = a.output_dir.rstrip("/")
     # all artifacts are written beside the earlier ones, and take their place together
     new, index = f"{out}/.new-{uuid.uuid4().hex}", f"topic_index/run_name={a.run_name or 'latest'}"
-    t.lines.write.parquet(f"{new}/canonical_transcript")
-    t.chunks.select("transcript_id", "chunk_id", "source_range", "source_ids", "text").write.parquet(f"{new}/chunks")
-    t.index.select("transcript_id", *reports.PUBLIC).write.parquet(f"{new}/{index}")
+    totals = reports.Totals()
+    totals.of(t.lines, "canonical_transcript").write.parquet(f"{new}/canonical_transcript")
+    totals.of(t.chunks.select("transcript_id", "chunk_id", "source_range", "source_ids", "text"), "chunks").write.parquet(f"{new}/chunks")
+    totals.of(t.index.select("transcript_id", *reports.PUBLIC), "topic_index").write.parquet(f"{new}/{index}")
     reports.markdown_rows(t.index).write.parquet(f"{new}/topic_index_markdown")
     search.postings(t.index).write.partitionBy("bucket").parquet(f"{new}/topic_postings")
     completeness.report(t.pages, t.rows, t.lines, t.chunks).write.json(f"{new}/completeness_report")
     summary = reports.run_summary(t.index, t.lines, t.chunks, t.pages)
     reports.full_summary(summary, t.index, a.pdf or a.words, t.config.decision_provider).write.json(f"{new}/run_summary")
+    spark.createDataFrame([totals.row()], ", ".join(f"{k} long" for k in totals.row())).write.json(f"{new}/run_totals")
     requests.write.json(f"{new}/decision_requests")
     segment.exchange_status(requests, answers).write.json(f"{new}/decision_status")
-    names = ["canonical_transcript", "chunks", index, "topic_index_markdown", "topic_postings", "completeness_report", "run_summary", "decision_requests", "decision_status"]
+    names = ["canonical_transcript", "chunks", index, "topic_index_markdown", "topic_postings", "completeness_report", "run_summary", "run_totals", "decision_requests", "decision_status"]
     publish(spark, new, out, names)
     if a.run_name:
         snapshot(spark, out, a.run_name)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -51,6 +51,29 @@ def full_summary(summary: DataFrame, topics: DataFrame, source: str, provider: s
     return summary.join(entries, "transcript_id", "left").withColumns({"ran_at": F.current_timestamp(), "source": F.lit(source), "decision_provider": F.lit(provider or "none")})
 
 
+class Totals:
+    """Counts of a whole run, observed while its artifacts are written, so that no table is read again for them.
+
+    `of` returns the frame to write; its counts are there once it has been written. Only single numbers reach the driver.
+    """
+
+    COUNTS = {
+        "canonical_transcript": {"extracted_lines": "count(*)", "testimony_lines": "count_if(is_testimony)"},
+        "chunks": {"chunks": "count(*)"},
+        "topic_index": {"topic_count": "count(*)", "procedural_topics": "count_if(is_procedural)"},
+    }
+
+    def __init__(self):
+        self.seen: dict[str, Observation] = {}
+
+    def of(self, df: DataFrame, artifact: str) -> DataFrame:
+        self.seen[artifact] = Observation(artifact)
+        return df.observe(self.seen[artifact], *(F.expr(c).alias(n) for n, c in self.COUNTS[artifact].items()))
+
+    def row(self) -> dict[str, int]:
+        return {k: v for o in self.seen.values() for k, v in o.get.items()}
+
+
 def fingerprint(topics: DataFrame) -> DataFrame:
     """(transcript_id, n_topics, sha256) over all public fields of each transcript's index rows as JSON, in order."""
     row = F.to_json(F.struct(*sorted(PUBLIC)), {"ignoreNullFields": "false"})

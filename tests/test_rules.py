@@ -206,6 +206,10 @@ def test_command_line(spark, sf, tmp_path):
     assert missing(spark, out) == [] and missing(spark, f"{out}/runs/first") == []
     kept = spark.read.json(f"{out}/runs/first/run_summary")
     assert kept.filter("ran_at is null or source is null or decision_provider <> 'none' or size(topics) <> topic_count").count() == 0 < kept.count()
+    index, lines = load(spark, f"{out}/topic_index"), load(spark, f"{out}/canonical_transcript")
+    assert spark.read.json(f"{out}/run_totals").first().asDict() == {
+        "extracted_lines": lines.count(), "testimony_lines": lines.filter("is_testimony").count(), "chunks": load(spark, f"{out}/chunks").count(),
+        "topic_count": index.count(), "procedural_topics": index.filter("is_procedural").count()}
     told = spark.read.json(f"{out}/decision_status")
     assert told.count() == told.filter("status = 'open'").count() > 0
     answers = spark.read.json(f"{out}/decision_requests").selectExpr("request_key", "transform(chunk_ids, c -> named_struct('chunk_id', c, 'action', 'continue', 'topic_label', 'All of it')) as decisions")
