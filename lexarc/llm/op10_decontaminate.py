@@ -1,13 +1,15 @@
 """Benchmark decontamination by templates, with DataFrame functions only.
 
-A text's template is its sequence of words, lower-cased, in which numbers become <n>, units behind a number <u>, and
-capitalised words inside a sentence <e>. A second template has <e> for every capitalised word, since names also begin
-sentences and follow marks; a window of it counts if a word is left in it. Windows of eight words of both templates of
-every benchmark item are hash-joined with those of the documents, and a window is found if either of its templates is.
-Matched windows are then checked against the texts' own words: words that fill the slots must follow the item's: along an alignment the same benchmark value always has the same document value, of the same type (two
-benchmark values may get the same new one), or the windows that hold that value don't count. An item
-counts as leaked into a document if at least half of its distinct windows are found, so an item asked again with other
-numbers, names or units is caught, and a chance window is not.
+A text's first template is its sequence of words, lower-cased, in which numbers, in digits or words, become <n> and units
+behind a number <u>. The second also has <e> for every run of capitalised words, since names of any length may change and
+begin sentences; a window of it with slots counts if three words are left in it. Windows of eight words of both templates of
+every benchmark item are hash-joined with those of the documents.
+Matched windows are then checked against the texts' own words: words that fill the slots must follow the item's: along an
+alignment the same benchmark value always has the same document value, of the same type (two benchmark values may get the
+same new one), or the windows that hold that value don't count. An item counts as leaked into a document if, by one of the
+templates, at least half of its distinct windows are found, so an item asked again with other numbers, names or units is
+caught, in whatever case if the names are the same, and a chance window is not. The word "one" is a number only beside
+another number word, and names in lower case are words, so that other names in lower case are not caught.
 
 Most documents hold no window at all, and a window of eight words has a part of six that begins at a multiple of three.
 So a first look hashes only those parts of every text, of both templates, and joins them with all parts of the items;
@@ -40,16 +42,32 @@ UNITS = ["km", "kilometers", "kilometres", "miles", "m", "meters", "metres", "cm
          "seconds", "minutes", "hours", "days", "weeks", "months", "years", "percent", "dollars", "euros", "cents", "mph", "kmh"]
 
 
+# Number words; "one" is one of them only beside another.
+NUMBERS = ["zero", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen"]
+TENS = ["twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety"]
+SCALES = ["hundred", "thousand", "million", "billion"]
+#: Words besides slots that a window of the second template must have.
+WORDS_LEFT = 3
+#: A slot's value, behind its marker: letters, digits, further words of it, and marks between digits.
+VALUE = "([\u0001-\u0003])(?:[\\p{L}\\p{N}\u0001\u0002]|(?<=\\d)[.,:/](?=\\d))+"
+SLOT = "^[\u0001-\u0003]"
+
+
 def numbered(text: Column) -> Column:
-    """The text with numbers behind the marker \\x01 and units behind \\x03."""
-    digits = F.regexp_replace(text, r"\d+(?:[.,:/]\d+)*", "\u0001$0")
-    units = F.regexp_replace(digits, r"(?i)(\u0001[\d.,:/]+[ -]?)(" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")\b", "$1 \u0003$2")
-    return F.when(text.rlike(r"\d"), units).otherwise(text)
+    """The text with numbers behind the marker \\x01 and units behind \\x03. Number words in a row are one number."""
+    tens, scales = "|".join(TENS), "|".join(SCALES)
+    named = rf"(?i)\b(?=[b-z])(?:{'|'.join(NUMBERS)}|{tens}|{scales}|one(?=[ -](?:{scales})\b)|one(?<=\b(?:{tens}|{scales})[ -]one))\b"
+    marks = F.regexp_replace(F.regexp_replace(text, named, "\u0001$0"), r"\d+(?:[.,:/]\d+)*", "\u0001$0")
+    whole = F.regexp_replace(marks, "(\u0001[\\p{L}\\p{N}.,:/]+)[ -](?=\u0001\\p{L})", "$1")
+    return F.regexp_replace(whole, "(?i)(\u0001(?:[\\d.,:/]+[ -]?|[\\p{L}\\d.,:/\u0001]+[ -]))(" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")\b", "$1 \u0003$2")
 
 
-def marked(text: Column, every: bool = False) -> Column:
-    """A numbered text with each slot's value behind a marker: \\x01 numbers, \\x02 names (or every capitalised word), \\x03 units."""
-    return F.regexp_replace(text, "\\p{Lu}(?<![\\p{L}\\p{N}\u0001-\u0003]\\p{Lu})" if every else r"\p{Lu}(?<=[\p{Ll},;] \p{Lu})", "\u0002$0")
+def marked(text: Column, every: bool) -> Column:
+    """A numbered text; for the second template with \\x02 before each capitalised word, and none but that between words in a row."""
+    if not every:
+        return text
+    names = F.regexp_replace(text, "\\p{Lu}(?<![\\p{L}\\p{N}\u0001-\u0003]\\p{Lu})", "\u0002$0")
+    return F.regexp_replace(names, "(\u0002[\\p{L}\\p{N}]+)[ -](?=\u0002)", "$1")
 
 
 def _split(text: Column) -> Column:
@@ -63,7 +81,7 @@ def words(text: Column, every: bool = False) -> Column:
 
 def template(text: Column, every: bool = False) -> Column:
     """The same words of a numbered text with each slot's value dropped. A marker carries its type."""
-    return _split(F.regexp_replace(F.lower(marked(text, every)), "([\u0001-\u0003])[\\p{L}\\p{N}]+(?:[.,:/]\\d+)*", "$1"))
+    return _split(F.regexp_replace(F.lower(marked(text, every)), VALUE, "$1"))
 
 
 def windows(values: str, size: int) -> str:
@@ -77,7 +95,7 @@ def consistent(filled: DataFrame) -> DataFrame:
     An alignment is a document, an item, a template and the distance between their windows; values are compared over all its windows.
     Its rows are bounded by the item's length.
     """
-    pairs = filled.select("doc_id", "item_id", "at", "every", F.explode(F.filter(F.arrays_zip(F.col("own").alias("b"), F.col("filled").alias("d")), lambda x: x["b"].rlike("^[\u0001-\u0003]"))).alias("x"))
+    pairs = filled.select("doc_id", "item_id", "at", "every", F.explode(F.filter(F.arrays_zip(F.col("own").alias("b"), F.col("filled").alias("d")), lambda x: x["b"].rlike(SLOT))).alias("x"))
     broken = pairs.groupBy("doc_id", "item_id", "at", "every", F.col("x.b").alias("b")).agg(F.count_distinct("x.d").alias("n")).filter("n > 1").groupBy("doc_id", "item_id", "at", "every").agg(F.collect_list("b").alias("broken"))
     return filled.join(broken, ["doc_id", "item_id", "at", "every"], "left").filter("broken is null or not arrays_overlap(own, broken)").drop("broken")
 
@@ -89,21 +107,19 @@ def _windows_with_words(texts: DataFrame, key: str, sizes: list[int], every: boo
 
 
 def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, hash, item_p, own words, every, total, slots): each distinct window of each item with at least SHORTEST words, by both templates."""
+    """(item_id, every, hash, item_p, own words, slots, total): the distinct windows that count of each item with at least SHORTEST words, by both templates; total counts all."""
     texts = items.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text"))
-    length = F.size(template(numbered(F.col("text"))))
 
     def each(every):
+        length = F.size(template(numbered(F.col("text")), every))
         parts = [_windows_with_words(texts.filter(length >= WINDOW), "item_id", [WINDOW], every),
                  *(_windows_with_words(texts.filter(length == s), "item_id", [s], every) for s in range(SHORTEST, WINDOW))]
-        return reduce(DataFrame.unionByName, parts)
+        return reduce(DataFrame.unionByName, parts).withColumn("every", F.lit(every))
 
-    slot = lambda x: x.rlike("^[\u0001-\u0003]")
-    once = each(False).groupBy("item_id", "hash").agg(F.min(F.struct("p", "own")).alias("x")).select("item_id", "hash", F.col("x.p").alias("item_p"), F.col("x.own").alias("own"), F.lit(False).alias("every"))
-    total = once.groupBy("item_id").agg(F.count("*").alias("total"))
-    named = each(True).filter(F.exists("own", lambda x: ~slot(x))).select("item_id", "hash", F.col("p").alias("item_p"), "own", F.lit(True).alias("every")).join(once.select("item_id", "item_p"), ["item_id", "item_p"], "left_semi")
-    both = once.unionByName(named.join(once.select("item_id", "item_p", "hash"), ["item_id", "item_p", "hash"], "left_anti").distinct())
-    return both.join(total, "item_id").withColumn("slots", F.exists("own", slot))
+    once = each(False).unionByName(each(True)).groupBy("item_id", "every", "hash").agg(F.min(F.struct("p", "own")).alias("x"))
+    once = once.select("item_id", "every", "hash", F.col("x.p").alias("item_p"), F.col("x.own").alias("own")).withColumn("slots", F.exists("own", lambda x: x.rlike(SLOT)))
+    left = F.size(F.filter("own", lambda x: ~x.rlike(SLOT)))
+    return once.join(once.groupBy("item_id", "every").agg(F.count("*").alias("total")), ["item_id", "every"]).filter(~F.col("every") | ~F.col("slots") | (left >= WORDS_LEFT))
 
 
 def _both(texts: DataFrame, *keys: str) -> DataFrame:
@@ -122,18 +138,13 @@ def _few(df: DataFrame) -> DataFrame:
 
 
 def parts(texts: DataFrame, sizes: list[tuple[int, int]], *keys: str) -> DataFrame:
-    """(keys, hash) of the windows of each (size, stride) of both templates of (keys, text), a window of equal templates once.
-
-    A template is one line of words here. Capitalised words that only the second template replaces stand behind \\x04.
-    """
-    both = F.lower(F.regexp_replace(marked(numbered(F.replace("text", F.lit("\u0004"), F.lit(" ")))), "\\p{Lu}(?<![\\p{L}\\p{N}\u0001-\u0003]\\p{Lu})", "\u0004$0"))
-    slots = F.regexp_replace(both, "([\u0001-\u0003])[\\p{L}\\p{N}]+(?:[.,:/]\\d+)*", "$1")
-    line = F.concat(F.ltrim(F.regexp_replace(slots, "[^\\p{L}\\p{N}\u0001-\u0004]+", " ")), F.lit(" "))
+    """(keys, hash) of the windows of each (size, stride) of both templates of (keys, text). A template is one line of words here."""
     pattern = "(?=((?:[^ ]++ ){{{}}}))(?:[^ ]++ ){{{}}}"
-    found = F.concat(*(F.regexp_extract_all("line", F.lit(pattern.format(size, stride)), F.lit(1)) for size, stride in sizes))
-    each = texts.select(*keys, line.alias("line")).select(*keys, F.explode(found).alias("part"))
-    second = F.when(F.contains("part", F.lit("\u0004")), F.xxhash64(F.regexp_replace("part", "\u0004[\\p{L}\\p{N}]+", "\u0002")))
-    return each.select(*keys, F.explode(F.array(F.xxhash64(F.replace("part", F.lit("\u0004"), F.lit(""))), second)).alias("hash")).filter("hash is not null")
+    held = texts.select(*keys, numbered(F.col("text")).alias("text"))
+    line = lambda every: F.concat(F.ltrim(F.regexp_replace(F.regexp_replace(F.lower(marked(F.col("text"), every)), VALUE, "$1"), "[^\\p{L}\\p{N}\u0001-\u0003]+", " ")), F.lit(" "))
+    lines = held.select(*keys, line(False).alias("t"), line(True).alias("e"))
+    found = F.concat(*(F.regexp_extract_all(x, F.lit(pattern.format(size, stride)), F.lit(1)) for size, stride in sizes for x in "te"))
+    return lines.select(*keys, F.explode(found).alias("part")).select(*keys, F.xxhash64("part").alias("hash"))
 
 
 def candidates(texts: DataFrame, items: DataFrame, lengths: list[int], scratch: Scratch) -> DataFrame:
@@ -152,19 +163,22 @@ def leaks(docs: DataFrame, items: DataFrame, scratch: Scratch, id_col: str = "do
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null and text is not null")
     texts = candidates(texts, items.select("item_id", "text").filter("item_id is not null and text is not null"), lengths, scratch)
     hits = scratch.keep(_hashed(_both(texts, "doc_id"), lengths).join(_few(keys), "hash").distinct())
-    plain = hits.join(bench.filter("not slots"), "hash").select("doc_id", "item_id", "item_p", "total")
+    place = ["doc_id", "item_id", "every", "item_p", "total"]
+    share = (F.count_distinct("item_p") / F.max("total")).alias("share")
+    seen = hits.join(bench.filter("not slots"), "hash").select(place)
     # a window with slots needs the values that fill them: only documents with enough hits of an item, were all of them
     # consistent, are read again
     slotted = bench.filter("slots")
-    near = hits.join(bench.select("hash", "item_id", "item_p", "total"), "hash").groupBy("doc_id", "item_id").agg((F.count_distinct("item_p") / F.max("total")).alias("most")).filter(F.col("most") >= MIN_SHARE).select("doc_id", "item_id")
-    near = scratch.keep(near.join(slotted.select("item_id"), "item_id", "left_semi"))
+    near = hits.join(bench.select("hash", *place[1:]), "hash").groupBy("doc_id", "item_id", "every").agg(share).filter(F.col("share") >= MIN_SHARE).select("doc_id", "item_id", "every")
+    near = scratch.keep(near.join(slotted.select("item_id", "every"), ["item_id", "every"], "left_semi"))
     asked = scratch.keep(near.select("doc_id").distinct())
     if not asked.isEmpty():
         again = scratch.keep(texts.join(_few(asked), "doc_id", "left_semi"))
         for e in (False, True):
-            filled = _windows_with_words(again, "doc_id", lengths, e).withColumnRenamed("own", "filled").join(slotted, "hash").join(near, ["doc_id", "item_id"], "left_semi").withColumn("at", F.col("p") - F.col("item_p"))
-            plain = plain.unionByName(consistent(scratch.keep(filled)).select("doc_id", "item_id", "item_p", "total"))
-    return plain.groupBy("doc_id", "item_id").agg((F.count_distinct("item_p") / F.max("total")).alias("share")).filter(F.col("share") >= MIN_SHARE)
+            own = slotted.filter(F.col("every") == e)
+            filled = _windows_with_words(again, "doc_id", lengths, e).withColumnRenamed("own", "filled").join(own, "hash").join(near, ["doc_id", "item_id", "every"], "left_semi").withColumn("at", F.col("p") - F.col("item_p"))
+            seen = seen.unionByName(consistent(scratch.keep(filled)).select(place))
+    return seen.groupBy("doc_id", "item_id", "every").agg(share).filter(F.col("share") >= MIN_SHARE).groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
 
 
 def flagged(docs: DataFrame, items: DataFrame, scratch: Scratch) -> DataFrame:

@@ -335,6 +335,101 @@ def test_leaks_with_names_at_sentence_starts(spark):
     assert {(1, 1), (2, 1)} <= got and not any(i == 3 for i, _ in got)
 
 
+def test_leaks_with_names_of_several_words_and_number_words(spark):
+    text = "A train leaves {0} at {1} and travels {2} km to {3}. After {4} stops, how many minutes late does it arrive in {3}?"
+    items = spark.createDataFrame([(1, text.format("Paris", "9", "120", "New York", "seven")), (2, "The United Nations in New York and Los Angeles")], "item_id long, text string")
+    told = [("Buenos Aires", "9", "120", "Lyon", "seven"), ("Paris", "ten", "one hundred twenty-one", "San Francisco", "4"), ("Rome", "11:30", "5 million", "Rio De Janeiro Airport", "twenty two")]
+    rows = [(k, "Question: " + text.format(*x) + " Answer it.") for k, x in enumerate(told)] + [
+        (10, text.format("Paris", "9", "120", "New York", "seven").lower()), (11, "Some People in Great Places and Other Cities"), (12, "the united nations in new york and los angeles"), (13, "one of us and one of them and no one in one hundred houses")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in op10_decontaminate.leaks(docs, items, Scratch(spark, "t")).collect()}
+    assert got == {(0, 1), (1, 1), (2, 1), (10, 1), (12, 2)}
+
+
+def slots_of(text, every):
+    """Plain version of a template: (type, value) of each word of a text of plain words, digits and marks; type is the word itself where it is no slot."""
+    op, out, end, joins = op10_decontaminate, [], -1, ""
+    small, tens, scales = set(op.NUMBERS), set(op.TENS), set(op.SCALES)
+    found = [(m.group(), m.start(), m.end()) for m in re.finditer(r"\d+(?:[.,:/]\d+)*|[A-Za-z]+", text)]
+    for k, (w, a, b) in enumerate(found):
+        low, gap = w.lower(), text[end:a] if end >= 0 else None
+        before = found[k - 1][0].lower() if k and gap in (" ", "-") else ""
+        after = found[k + 1][0].lower() if k + 1 < len(found) and text[b:found[k + 1][1]] in (" ", "-") else ""
+        word_number = low in small | tens | scales or low == "one" and (before in tens | scales or after in scales)
+        kind = "<n>" if w[0].isdigit() or word_number else "<u>" if joins == "<n>" and low in op.UNITS and gap in (" ", "-") else "<e>" if every and w[0].isupper() else low
+        value = re.sub(r"[.,:/]", "", low) if w[0].isdigit() else low
+        if out and gap in (" ", "-") and kind == joins and (kind == "<e>" or kind == "<n>" and word_number):
+            out[-1] = (kind, out[-1][1] + " " + value)
+        else:
+            out.append((kind, value))
+        joins, end = kind, b
+    return out
+
+
+def leaks_plainly(docs, items):
+    """Every window of every item against every window of every document, by both templates."""
+    found = set()
+    for item, text in items:
+        for every in (False, True):
+            own = slots_of(text, every)
+            size = min(8, len(own))
+            if size < 5:
+                continue
+            first = {}
+            for p in range(len(own) - size + 1):
+                first.setdefault(tuple(k for k, _ in own[p:p + size]), p)
+            for doc, told in docs:
+                new = slots_of(told, every)
+                met, pairs = [], {}
+                for p in range(len(new) - size + 1):
+                    key = tuple(k for k, _ in new[p:p + size])
+                    slots = [k for k in key if k[0] == "<"]
+                    if key in first and not (every and slots and size - len(slots) < 3):
+                        q = first[key]
+                        met.append((p - q, q, len(slots)))
+                        for (k, b), (_, d) in zip(own[q:q + size], new[p:p + size], strict=True):
+                            if k[0] == "<":
+                                pairs.setdefault((p - q, k, b), set()).add(d)
+                good = {q for at, q, n in met if not n or not any(len(pairs[at, k, b]) > 1 for k, b in own[q:q + size] if k[0] == "<")}
+                if len(good) >= len(first) / 2:
+                    found.add((doc, item))
+    return found
+
+
+def test_leaks_are_those_of_a_plain_version(spark):
+    """Items asked again with other values, in other cases, cut, and mixed with other text."""
+    rnd = random.Random(5)
+    names = ["Ann", "Bob Stone", "New York", "Rio De Janeiro", "Lima", "Mary-Jane Hill"]
+    numbers = ["3", "12", "1,200", "seven", "twenty-one", "two hundred", "4.5", "9:30", "one hundred"]
+    units = ["km", "miles", "hours", "dollars"]
+    plain = "the a of train walks counts apples near old barn with one more than box gives to how many are there left".split()
+    kinds = {"N": names, "D": numbers, "U": units}
+
+    def fill(form, fixed):
+        out = []
+        for x in form:
+            out.append(fixed.setdefault(x, rnd.choice(kinds[x[0]])) if x[0] in kinds else x)
+        return " ".join(out)
+
+    forms, items, docs = [], [], []
+    for k in range(30):
+        form = [rnd.choice(plain) if (r := rnd.random()) < 0.6 else rnd.choice(["N1", "N2", "N3"]) + "" if r < 0.8 else rnd.choice(["D1", "D2"]) for _ in range(rnd.choice([4, 6, 9, 14, 22]))]
+        form = [y for x in form for y in ([x, "U1"] if x[0] == "D" and rnd.random() < 0.5 else [x])]
+        forms.append((form, {}))
+        items.append((k, fill(form, forms[k][1])))
+    for k in range(400):
+        form, first = rnd.choice(forms)
+        told = fill(form, {} if rnd.random() < 0.6 else dict(first))
+        if rnd.random() < 0.3:  # one value changes on the way
+            cut = rnd.randrange(len(form))
+            told = fill(form[:cut], dict(first)) + " " + fill(form[cut:], {})
+        told = rnd.choice([told, told, told.lower(), told.upper(), told[:len(told) * 2 // 3]])
+        docs.append((k, rnd.choice(["", "so ", "We ask. ", "Then He said: "]) + told + rnd.choice(["", ".", " and that was it", "; Nothing More"])))
+    want = leaks_plainly(docs, items)
+    got = op10_decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), Scratch(spark, "t"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want and len(want) > 100
+
+
 def test_flagged_rows(spark):
     """Rows without an id, empty tables and columns with clashing names."""
     items = spark.createDataFrame([(1, "what is the capital city of that small country"), (2, "how far is it now")], "item_id long, text string")
