@@ -430,6 +430,15 @@ def test_leaks_are_those_of_a_plain_version(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want and len(want) > 100
 
 
+def test_leaks_in_texts_of_very_long_words(spark):
+    item = "how many seconds does it take to count up to this number"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    long = ["9" * 500_000, "1." * 300_000, "Ab" * 300_000, "A-" * 300_000, "New York " * 60_000, "two hundred " * 50_000, "seven-" * 80_000, "5 km" * 100_000, "\x01" * 300_000, "\x021.1" * 100_000]
+    docs = spark.createDataFrame([(k, x + " " + item) for k, x in enumerate(long)] + [(99, "ab" * 300_000)], "doc_id long, text string")
+    got = {r.doc_id for r in op10_decontaminate.leaks(docs, items, Scratch(spark, "t")).collect()}
+    assert got == set(range(len(long)))
+
+
 def test_flagged_rows(spark):
     """Rows without an id, empty tables and columns with clashing names."""
     items = spark.createDataFrame([(1, "what is the capital city of that small country"), (2, "how far is it now")], "item_id long, text string")
