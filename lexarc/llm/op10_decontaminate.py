@@ -57,7 +57,7 @@ SLOT = "^[\u0001-\u0003]"
 def numbered(text: Column) -> Column:
     """The text with numbers behind the marker \\x01 and units behind \\x03. Number words in a row are one number."""
     tens, scales = "|".join(TENS), "|".join(SCALES)
-    named = rf"(?i)\b(?=[b-z])(?:{'|'.join(NUMBERS)}|{tens}|{scales}|one(?=[ -](?:{scales})\b)|one(?<=\b(?:{tens}|{scales})[ -]one))\b"
+    named = rf"(?i)\b(?=ze|tw|t[eh][inor]|f[io]|s[ie]|[en]i|el|hu|mi|bi|on)(?:{'|'.join(NUMBERS)}|{tens}|{scales}|one(?=[ -](?:{scales})\b)|one(?<=\b(?:{tens}|{scales})[ -]one))\b"
     marks = F.regexp_replace(F.regexp_replace(text, named, "\u0001$0"), r"\d++(?:[.,:/]\d++)*+", "\u0001$0")
     whole = F.regexp_replace(marks, "(\u0001[\\p{L}\\p{N}.,:/]+)[ -](?=\u0001\\p{L})", "$1")
     return F.regexp_replace(whole, "(?i)(\u0001[\\d.,:/]+[ -]?|(?<![\\p{L}\\p{N}\u0001])\u0001[\\p{L}\\d.,:/\u0001]++[ -])(" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")\b", "$1 \u0003$2")
