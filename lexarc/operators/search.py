@@ -57,7 +57,7 @@ def postings(topics: DataFrame) -> DataFrame:
     weights once a query has become one more document and none of its terms is the topic's.
     """
     docs = topics.select("transcript_id", "topic_no", F.concat_ws(" ", "topic", "supporting_evidence").alias("t"))
-    counts = T.term_counts(docs, ["transcript_id", "topic_no"], "t")
+    counts = T.row_term_counts(docs, ["transcript_id", "topic_no"], "t")
     x = counts.join(counts.groupBy("transcript_id", "term").agg(F.count("*").alias("df")), ["transcript_id", "term"]).join(docs.groupBy("transcript_id").agg(F.count("*").alias("n")), "transcript_id")
     x = x.withColumn("square", F.sum(F.expr("pow(tf * (ln((2 + n) / (1 + df)) + 1), 2)")).over(W.partitionBy("transcript_id", "topic_no")))
     return x.select("transcript_id", "term", "topic_no", "tf", "df", "n", "square", _bucket(F.col("term")).alias("bucket"))
@@ -76,7 +76,7 @@ def ranked_stored(stored: DataFrame, topics: DataFrame, q: str, k: int = 8) -> D
     if len(q) < 2:
         raise ValueError("a query has at least two characters")
     # one row a term of the query
-    asked = T.term_counts(topics.sparkSession.range(1).withColumn("q", F.lit(q)), ["id"], "q")
+    asked = T.row_term_counts(topics.sparkSession.range(1).withColumn("q", F.lit(q)), ["id"], "q")
     asked = asked.select("term", F.col("tf").alias("tq"), _bucket(F.col("term")).alias("b")).collect()
     buckets, terms, total = sorted({r.b for r in asked}), sorted(r.term for r in asked), sum(r.tq * r.tq for r in asked)
     hits = stored.filter(F.col("bucket").isin(buckets) & F.col("term").isin(terms))

@@ -15,9 +15,7 @@ REQUEST_CHUNKS, REQUEST_CHARS = 8, 4000
 
 
 def chunk_weights(c: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
-    counts = T.term_counts(c, ["transcript_id", "chunk_no"], "corpus")
-    vocabulary = T.top_terms(counts, ["transcript_id"], config.segment_vocabulary).select("transcript_id", "term")
-    return T.tfidf(counts.join(vocabulary, ["transcript_id", "term"]), ["transcript_id"], "chunk_no", c.groupBy("transcript_id").agg(F.count("*").alias("n")))
+    return T.tfidf(c, ["transcript_id"], "chunk_no", "corpus", config.segment_vocabulary)
 
 
 def chunk_gram(c: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.stopwords import PHRASE_STOPS, STOP_WORDS
 
+# Fixed value: keys shared by several rows, up to which they are broadcast.
+SHARED_KEYS = 100_000
+
 
 def tokens(col: str) -> Column:
     """Lower-case runs of two or more word characters that aren't stop words."""
@@ -20,9 +25,33 @@ def terms(token_col: str = "tokens") -> Column:
     return F.expr(f"concat({token_col}, case when size({token_col}) > 1 then transform(sequence(1, size({token_col}) - 1), i -> concat({token_col}[i - 1], ' ', {token_col}[i])) else cast(array() as array<string>) end)")
 
 
+def _sorted_terms(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(keys, sorted, starts): a row's terms in order, and where each of them first stands.
+
+    No row is filtered by its terms, since a filter is worked out below these steps, with the tokens anew for each term.
+    """
+    x = docs.select(*keys, tokens(text).alias("tokens")).select(*keys, F.sort_array(terms()).alias("sorted"))
+    first = "filter(sequence(0, size(sorted) - 1), i -> i = 0 or get(sorted, i) <> get(sorted, i - 1))"
+    return x.select(*keys, "sorted", F.expr(f"case when size(sorted) > 0 then {first} else cast(array() as array<int>) end").alias("starts"))
+
+
+def row_term_counts(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(keys, term, tf) of each row for itself, counted over its sorted terms, so that nothing is shuffled."""
+    x = _sorted_terms(docs, keys, text)
+    return x.select(*keys, F.explode(F.expr("transform(starts, (p, k) -> struct(get(sorted, p) as term, cast(coalesce(get(starts, k + 1), size(sorted)) - p as bigint) as tf))")).alias("x")).select(*keys, "x.term", "x.tf")
+
+
 def term_counts(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """(keys, term, tf)."""
-    return docs.select(*keys, tokens(text).alias("tokens")).select(*keys, F.explode(terms()).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    """(keys, term, tf). Rows with keys of their own are counted for themselves; only rows that share keys are gathered."""
+    often = docs.groupBy(*keys).agg(F.count("*").alias("rows")).filter("rows > 1").drop("rows")
+    n = often.count()
+    if not n:
+        return row_term_counts(docs, keys, text)
+    shared = often.toDF(*(f"{k}_shared" for k in keys))
+    shared = F.broadcast(shared) if n <= SHARED_KEYS else shared
+    same = reduce(lambda a, b: a & b, (docs[k].eqNullSafe(shared[f"{k}_shared"]) for k in keys))
+    several = row_term_counts(docs.join(shared, same, "left_semi"), keys, text).groupBy(*keys, "term").agg(F.sum("tf").alias("tf"))
+    return row_term_counts(docs.join(shared, same, "left_anti"), keys, text).unionByName(several)
 
 
 def top_terms(counts: DataFrame, group: list[str], cap: int) -> DataFrame:
@@ -31,10 +60,17 @@ def top_terms(counts: DataFrame, group: list[str], cap: int) -> DataFrame:
     return cf.withColumn("rank", F.row_number().over(W.partitionBy(*group).orderBy(F.desc("cf"), "term"))).filter(F.col("rank") <= cap)
 
 
-def tfidf(counts: DataFrame, group: list[str], doc: str, sizes: DataFrame) -> DataFrame:
-    """(group, doc, term, weight), rows of unit length; sizes(group, n) has the number of documents."""
-    df = counts.groupBy(*group, "term").agg(F.count("*").alias("df"))
-    w = counts.join(df, [*group, "term"]).join(sizes, group).withColumn("raw", F.expr("tf * (ln((1 + n) / (1 + df)) + 1)"))
+def tfidf(docs: DataFrame, group: list[str], doc: str, text: str, cap: int) -> DataFrame:
+    """(group, doc, term, weight), rows of unit length over the cap most frequent terms of each group, ties in order of the term.
+
+    Texts are dealt by group once, before they become terms; all that follows stays where they are.
+    """
+    x = docs.select(*group, doc, text).withColumn("n", F.count("*").over(W.partitionBy(*group)))
+    x = row_term_counts(x, [*group, doc, "n"], text)
+    each = W.partitionBy(*group, "term")
+    x = x.withColumn("cf", F.sum("tf").over(each)).withColumn("df", F.count("*").over(each))
+    x = x.withColumn("rank", F.dense_rank().over(W.partitionBy(*group).orderBy(F.desc("cf"), "term"))).filter(F.col("rank") <= cap)
+    w = x.withColumn("raw", F.expr("tf * (ln((1 + n) / (1 + df)) + 1)"))
     return w.withColumn("norm", F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy(*group, doc)))).select(*group, doc, "term", (F.col("raw") / F.col("norm")).alias("weight"))
 
 
@@ -69,8 +105,12 @@ def cosines(pairs: DataFrame, left: DataFrame, right: DataFrame, group: list[str
 
 
 def keyphrases(docs: DataFrame, keys: list[str], text: str, n: int, cap: int) -> DataFrame:
-    """(keys, phrases): a text's most frequent terms of four characters or more, ties in order of the term."""
+    """(keys, phrases): a text's most frequent terms of four characters or more, ties in order of the term; one row has one text.
+
+    A row's terms are counted and ranked in the row itself.
+    """
     stops = ", ".join(f"'{w}'" for w in PHRASE_STOPS)
-    kept = top_terms(term_counts(docs, keys, text), keys, cap).filter(f"length(term) >= 4 and not term in ({stops})")
-    kept = kept.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("cf"), "term"))).filter(F.col("place") <= n)
-    return kept.groupBy(*keys).agg(F.expr("transform(array_sort(collect_list(struct(place, term))), x -> x.term)").alias("phrases"))
+    x = _sorted_terms(docs, keys, text)
+    ranked = F.expr(f"slice(sort_array(transform(starts, (p, k) -> struct(p - coalesce(get(starts, k + 1), size(sorted)) as less, get(sorted, p) as term))), 1, {cap})")
+    x = x.select(*keys, ranked.alias("ranked")).select(*keys, F.expr(f"slice(filter(ranked.term, t -> length(t) >= 4 and not t in ({stops})), 1, {n})").alias("phrases"))
+    return x.select(*keys, F.explode(F.expr("case when size(phrases) > 0 then array(phrases) else cast(array() as array<array<string>>) end")).alias("phrases"))

@@ -223,7 +223,7 @@ def tfidf(t):
 
 @query("SELECT transcript_id, term, cf, rank FROM vocab")
 def vocab_topk(t):
-    return text.top_terms(text.term_counts(t.kept_chunks, ["transcript_id", "chunk_no"], "corpus"), ["transcript_id"], t.config.segment_vocabulary)
+    return text.top_terms(text.row_term_counts(t.kept_chunks, ["transcript_id", "chunk_no"], "corpus"), ["transcript_id"], t.config.segment_vocabulary)
 
 
 @query("SELECT transcript_id, i, j, round(g, 9) AS g FROM gram")

@@ -5,7 +5,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from lexarc.config import EngineConfig
-from lexarc.operators import completeness, layout, provenance, reports, roles, search, segment, speakers, topics, turns
+from lexarc.operators import completeness, layout, provenance, reports, roles, search, segment, speakers, text, topics, turns
 from lexarc.sources.artifacts import ArtifactMissing, load, load_or_none, stored_report
 
 
@@ -336,3 +336,22 @@ def test_skipped_pages_agree_with_their_roles(spark):
              "Federal Rules of Civil Procedure", "federal rules of civil  procedure: review by the witness", "COMPANY CERTIFICATE AND DISCLOSURE STATEMENT", "I N D E X"]
     rows = spark.createDataFrame([(x,) for x in texts], "raw_text string").select("raw_text", page_role("raw_text", "cast(null as int)", "true").alias("role")).collect()
     assert [skipped(r.raw_text) for r in rows] == [r.role in SKIPPED for r in rows] and sum(skipped(x) for x in texts) == 4
+
+
+def test_terms_of_rows_that_share_a_key(spark):
+    docs = spark.createDataFrame([(1, "alpha beta alpha"), (1, "alpha gamma"), (None, "beta"), (None, "beta beta"), (2, ""), (3, None), (4, "alpha")], "k int, t string")
+    got = {(r.k, r.term): r.tf for r in text.term_counts(docs, ["k"], "t").collect()}
+    assert got == {(1, "alpha"): 3, (1, "beta"): 1, (1, "alpha beta"): 1, (1, "beta alpha"): 1, (1, "gamma"): 1, (1, "alpha gamma"): 1, (None, "beta"): 3, (None, "beta beta"): 1, (4, "alpha"): 1}
+    phrases = text.keyphrases(docs, ["k"], "t", 2, 10).collect()
+    assert sorted((r.k or 0, r.phrases) for r in phrases) == [(0, ["beta"]), (0, ["beta", "beta beta"]), (1, ["alpha", "alpha beta"]), (1, ["alpha", "alpha gamma"]), (4, ["alpha"])]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(1, 1, "alpha beta"), (1, 2, "beta gamma")], "g int, d int, t string")
+    assert "Exchange" not in plan_of(text.term_counts(docs, ["d"], "t"))
+    assert "Exchange" not in plan_of(text.keyphrases(docs, ["d"], "t", 2, 10))
+    assert plan_of(text.tfidf(docs, ["g"], "d", "t", 10)).count("Exchange hashpartitioning") == 1
