@@ -18,10 +18,14 @@ SKIP_PHRASES = {
 WORD_INDEX, WORD_INDEX_COLONS = r"\[[^\]]+\s-\s[^\]]+\]", 15
 
 
-def page_role(raw: str = "raw_text", page: str = "transcript_page", has_lines: str = "has_lines") -> Column:
-    """The first rule that a page's text meets."""
-    compact = f"trim(regexp_replace({raw}, '\\\\s+', ' '))"
-    up = f"upper({compact})"
+def _compact(raw: str) -> str:
+    return f"trim(regexp_replace({raw}, '\\\\s+', ' '))"
+
+
+def page_role(raw: str = "raw_text", page: str = "transcript_page", has_lines: str = "has_lines", compact: str | None = None, up: str | None = None) -> Column:
+    """The first rule that a page's text meets; compact and up are columns with the text on one line, and that in capitals, where there are any."""
+    compact = compact or _compact(raw)
+    up = up or f"upper({compact})"
     has = lambda *xs: " and ".join(f"contains({up}, '{x}')" for x in xs)
     held = lambda role: f"when {has(*SKIP_PHRASES[role])} then '{role}'"
     index = WORD_INDEX.replace("\\", "\\\\")
@@ -41,11 +45,14 @@ def page_role(raw: str = "raw_text", page: str = "transcript_page", has_lines: s
 
 def classify(texts: DataFrame, r: DataFrame) -> DataFrame:
     """Pages with their role. A first pass over the text alone takes skipped pages out before their rows count."""
-    preview = texts.withColumn("preview", page_role("raw_text", "cast(null as int)", "true"))
+    # the text's forms are columns, since each rule that repeats an expression has it worked out anew
+    plain = texts.withColumn("compact", F.expr(_compact("raw_text"))).withColumn("up", F.upper("compact"))
+    forms = {"compact": "compact", "up": "up"}
+    preview = plain.withColumn("preview", page_role("raw_text", "cast(null as int)", "true", **forms))
     numbered = r.filter("line_no is not null").select(*KEY).distinct().withColumn("has", F.lit(True))
     p = preview.join(footers(r), KEY, "left").join(numbered, KEY, "left").withColumn("has_lines", F.coalesce("has", F.lit(False)))
     skipped = ", ".join(f"'{x}'" for x in SKIPPED)
-    p = p.withColumn("page_role", F.when(F.expr(f"preview in ({skipped})"), F.col("preview")).otherwise(page_role()))
+    p = p.withColumn("page_role", F.when(F.expr(f"preview in ({skipped})"), F.col("preview")).otherwise(page_role(**forms)))
     page = F.expr(f"case when preview = 'redacted_administrative' then pdf_page_index + 1 when page_role in ({skipped}) then null else transcript_page end")
     return p.withColumn("transcript_page", page).withColumn("kept", F.expr(f"page_role not in ({skipped})")).select(*KEY, "page_role", "transcript_page", "kept", "raw_text")
 

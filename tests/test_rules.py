@@ -355,3 +355,10 @@ def test_terms_are_not_shuffled(spark):
     assert "Exchange" not in plan_of(text.term_counts(docs, ["d"], "t"))
     assert "Exchange" not in plan_of(text.keyphrases(docs, ["d"], "t", 2, 10))
     assert plan_of(text.tfidf(docs, ["g"], "d", "t", 10)).count("Exchange hashpartitioning") == 1
+
+
+def test_page_text_is_put_on_one_line_once(spark):
+    texts = spark.createDataFrame([(1, 0, "Page 1")], "transcript_id long, pdf_page_index int, raw_text string")
+    rows = layout.rows(words(spark, [(70, 100, "1"), (176.8, 100, "A")]))
+    plan = roles.classify(texts, rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(raw_text") == 1
