@@ -55,16 +55,24 @@ def carry_forward(lines: DataFrame) -> DataFrame:
         "text", F.expr("case when blank or cue is not null or own.rest = '' then text else own.rest end")).drop("own", "blank", "set", "now")
 
 
+#: Whether a line closes a testimony, and what its range is made of: the first or last page with such a line.
+CLOSING = "contains(up, 'THIS CONCLUDES TODAY') or contains(up, 'DEPOSITION CONCLUDED')"
+RANGE = {"testimony_start": ("min_by", "speaker_kind = 'Q' and page_role = 'transcript'"), "closing": ("max_by", "closes"), "last_qa": ("max_by", "speaker_kind in ('Q', 'A', 'WITNESS') and page_role = 'transcript'")}
+RANGE_END = "coalesce(closing, case when testimony_start is not null then last_qa end)"
+
+
 def testimony_range(lines: DataFrame) -> DataFrame:
     """(transcript_id, testimony_start, testimony_end)."""
-    said = "(contains(upper(text), 'THIS CONCLUDES TODAY') or contains(upper(text), 'DEPOSITION CONCLUDED'))"
-    r = lines.groupBy("transcript_id").agg(F.expr("min_by(page, ord) filter (where speaker_kind = 'Q' and page_role = 'transcript')").alias("testimony_start"), F.expr(f"max_by(page, ord) filter (where {said})").alias("closing"),
-                                           F.expr("max_by(page, ord) filter (where speaker_kind in ('Q', 'A', 'WITNESS') and page_role = 'transcript')").alias("last_qa"))
-    return r.select("transcript_id", "testimony_start", F.expr("coalesce(closing, case when testimony_start is not null then last_qa end)").alias("testimony_end"))
+    r = lines.withColumn("up", F.upper("text")).withColumn("closes", F.expr(CLOSING)).groupBy("transcript_id").agg(*(F.expr(f"{how}(page, ord) filter (where {cond})").alias(name) for name, (how, cond) in RANGE.items()))
+    return r.select("transcript_id", "testimony_start", F.expr(RANGE_END).alias("testimony_end"))
 
 
 def flag_testimony(lines: DataFrame) -> DataFrame:
-    return lines.join(testimony_range(lines), "transcript_id").withColumn("is_testimony", F.expr("coalesce(page_role = 'transcript' and page between testimony_start and testimony_end, false)")).drop("testimony_start", "testimony_end")
+    """Adds is_testimony. The range is looked up over the transcript as it lies, so that lines are neither made twice nor joined."""
+    w = W.partitionBy("transcript_id")
+    found = {name: F.expr(f"{how}(page, case when {cond} then ord end)").over(w) for name, (how, cond) in RANGE.items()}
+    x = lines.withColumn("up", F.upper("text")).withColumn("closes", F.expr(CLOSING)).withColumns(found).withColumn("testimony_end", F.expr(RANGE_END))
+    return x.withColumn("is_testimony", F.expr("coalesce(page_role = 'transcript' and page between testimony_start and testimony_end, false)")).drop("up", "closes", *RANGE, "testimony_end")
 
 
 def transcript(words_lines: DataFrame) -> DataFrame:

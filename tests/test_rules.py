@@ -362,3 +362,8 @@ def test_page_text_is_put_on_one_line_once(spark):
     rows = layout.rows(words(spark, [(70, 100, "1"), (176.8, 100, "A")]))
     plan = roles.classify(texts, rows)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace(raw_text") == 1
+
+
+def test_lines_are_made_once_for_their_testimony(spark):
+    plan = plan_of(speakers.transcript(lines_of(spark, [("Q", "Is it?"), ("A", "Yes.")])))
+    assert "Join" not in plan
