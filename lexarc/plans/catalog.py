@@ -60,7 +60,7 @@ def layout_row_text(t):
 
 @query("SELECT transcript_id, pdf_page_index, y, list_transform(lefts, lambda w: w.t) AS numbers, list_transform(bodies, lambda w: w.t) AS bodies, list_transform(stamps, lambda w: w.t) AS stamps FROM cols")
 def layout_columns(t):
-    return t.rows.select(*KEY, "y", F.expr(_words("left")).alias("numbers"), F.expr(_words("body_all")).alias("bodies"), F.expr(_words("stamps")).alias("stamps"))
+    return layout.rows(t.words).select(*KEY, "y", F.expr(_words("left")).alias("numbers"), F.expr(_words("body_all")).alias("bodies"), F.expr(_words("stamps")).alias("stamps"))
 
 
 @query("SELECT * FROM footers")
@@ -80,7 +80,7 @@ def speaker_cue(t):
 
 @query("SELECT transcript_id, pdf_page_index, y, timestamp FROM vrows WHERE len(stamps) > 0")
 def line_timestamp(t):
-    return t.rows.filter("size(stamps) > 0").select(*KEY, "y", "timestamp")
+    return layout.rows(t.words).filter("size(stamps) > 0").select(*KEY, "y", "timestamp")
 
 
 @query("SELECT transcript_id, pdf_page_index, line, text, timestamp, cue FROM folded")

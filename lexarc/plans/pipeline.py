@@ -69,7 +69,8 @@ class Transcripts:
 
     @cached_property
     def rows(self) -> DataFrame:
-        return self.keep(layout.rows(self.words), "rows")
+        """Visual rows without the words in their columns, which only the queries on columns read, out of the words themselves."""
+        return self.keep(layout.rows(self.words).drop("words", "left", "body_all", "stamps"), "rows")
 
     @cached_property
     def pages(self) -> DataFrame:

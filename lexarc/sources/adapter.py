@@ -63,8 +63,9 @@ def word_boxes(lines: DataFrame) -> DataFrame:
 def page_texts(lines: DataFrame) -> DataFrame:
     """(transcript_id, pdf_page_index, raw_text): the plain text of each page, administrative pages last."""
     printed = F.expr("concat(cast(line as string), case when cue is not null then concat('      ', cue, '      ') else '      ' end, text)")
-    body = lines.groupBy("transcript_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", printed.alias("s")))), lambda x: x["s"]), "\n").alias("s")).select(
-        "transcript_id", (F.col("page") - 1).alias("pdf_page_index"), F.concat("s", F.expr("case when page % 17 <> 0 then concat('\\nPage ', page) else '' end")).alias("raw_text"))
-    last = lines.groupBy("transcript_id").agg(F.max("page").alias("p"))
-    admin = last.select("transcript_id", "p", F.posexplode(F.array(*map(F.lit, ADMIN_PAGES))).alias("i", "raw_text")).select("transcript_id", (F.col("p") + F.col("i")).cast("int").alias("pdf_page_index"), "raw_text")
-    return body.unionByName(admin)
+    x = lines.withColumn("last", F.max("page").over(W.partitionBy("transcript_id"))).groupBy("transcript_id", "page", "last").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", printed.alias("s")))), lambda x: x["s"]), "\n").alias("s"))
+    x = x.withColumn("s", F.concat("s", F.expr("case when page % 17 <> 0 then concat('\\nPage ', page) else '' end")))
+    own = F.array(F.struct((F.col("page") - 1).alias("at"), F.col("s").alias("raw_text")))
+    admin = F.transform(F.array(*map(F.lit, ADMIN_PAGES)), lambda s, i: F.struct((F.col("page") + i).cast("int").alias("at"), s.alias("raw_text")))
+    return x.select("transcript_id", F.explode(F.when(F.col("page") == F.col("last"), F.concat(own, admin)).otherwise(own)).alias("x")).select("transcript_id", F.col("x.at").alias("pdf_page_index"), "x.raw_text")

@@ -367,3 +367,11 @@ def test_page_text_is_put_on_one_line_once(spark):
 def test_lines_are_made_once_for_their_testimony(spark):
     plan = plan_of(speakers.transcript(lines_of(spark, [("Q", "Is it?"), ("A", "Yes.")])))
     assert "Join" not in plan
+
+
+def test_page_texts_are_made_in_one_pass(spark, sf):
+    from lexarc.plans.pipeline import Transcripts
+
+    t = Transcripts.of(spark, sf)
+    assert plan_of(t.texts).count("Exchange hashpartitioning") == 1
+    assert not {"words", "left", "body_all", "stamps"} & set(t.rows.columns)
