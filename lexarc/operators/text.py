@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from functools import reduce
+from heapq import nsmallest
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +15,8 @@ from ..functions.stopwords import PHRASE_STOPS, STOP_WORDS
 
 # Fixed value: keys shared by several rows, up to which they are broadcast.
 SHARED_KEYS = 100_000
+#: Same characters as in `tokens`: letters, numbers and the underscore.
+WORD, STOPS = re.compile(r"\w{2,}"), frozenset(STOP_WORDS)
 
 
 def tokens(col: str) -> Column:
@@ -25,6 +30,16 @@ def terms(token_col: str = "tokens") -> Column:
     return F.expr(f"concat({token_col}, case when size({token_col}) > 1 then transform(sequence(1, size({token_col}) - 1), i -> concat({token_col}[i - 1], ' ', {token_col}[i])) else cast(array() as array<string>) end)")
 
 
+def words_of(low: str) -> list[str]:
+    """What `tokens` gives for a text in lower case, for use within tasks."""
+    return [w for w in WORD.findall(low) if w not in STOPS]
+
+
+def terms_of(low: str) -> list[str]:
+    words = words_of(low)
+    return words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+
+
 def _sorted_terms(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
     """(keys, sorted, starts): a row's terms in order, and where each of them first stands.
 
@@ -80,6 +95,49 @@ def gram(weights: DataFrame, group: list[str], doc: str) -> DataFrame:
     return a.join(b, [*group, "term"]).filter("i >= j").groupBy(*group, "i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("g"))
 
 
+def short_gram(docs: DataFrame, group: str, doc: str, text: str, cap: int) -> DataFrame:
+    """What `gram(tfidf(...))` gives, for groups that are bounded in rows and text: a group's texts are met at once, as a
+    matrix of at most its rows by cap terms, so that only texts and products go over the network, and no terms."""
+    x = docs.select(group, doc, F.lower(text).alias("low"))
+    to = x.select(group, F.col(doc).alias("i"), F.col(doc).alias("j"), F.lit(0.0).alias("g")).schema
+
+    def products(table):
+        import numpy as np
+        import pyarrow as pa
+
+        ids: dict[str, int] = {}
+        each = [np.array([ids.setdefault(w, len(ids)) for w in words_of(low or "")], dtype=np.int64) for low in table.column("low").to_pylist()]
+        n, v = len(each), len(ids)
+        place = np.empty(v, dtype=np.int64)
+        place[[ids[w] for w in sorted(ids)]] = np.arange(v)
+        each = [place[e] for e in each]
+        # codes in order of the terms: a word, then its pairs, since a blank comes before all characters of words
+        codes = [np.concatenate([e * (v + 1), e[:-1] * (v + 1) + e[1:] + 1]) for e in each]
+        row = np.repeat(np.arange(n), [len(x) for x in codes])
+        known, term = np.unique(np.concatenate(codes), return_inverse=True)
+        if len(known) > cap:  # the most frequent ones, ties in order of the term
+            cf = np.bincount(term, minlength=len(known))
+            least = np.partition(cf, -cap)[-cap]
+            more = np.flatnonzero(cf > least)
+            kept = np.concatenate([more, np.flatnonzero(cf == least)[: cap - len(more)]])
+            to_new = np.full(len(known), -1)
+            to_new[kept] = np.arange(len(kept))
+            term = to_new[term]
+            row, term = row[term >= 0], term[term >= 0]
+        width = min(len(known), cap)
+        tf = np.bincount(row * width + term, minlength=n * width).reshape(n, width).astype(np.float64)
+        raw = tf * (np.log((1 + n) / (1 + np.count_nonzero(tf, axis=0))) + 1)
+        norm = np.sqrt((raw * raw).sum(axis=1, keepdims=True))
+        w = np.divide(raw, norm, out=np.zeros_like(raw), where=norm > 0)
+        g = w @ w.T
+        no = table.column(doc).to_numpy()
+        i, j = np.nonzero((no[:, None] >= no[None, :]) & (g > 0))
+        cols = [pa.repeat(table.column(group)[0], len(i)), pa.array(no[i]), pa.array(no[j]), pa.array(g[i, j])]
+        return pa.table([c.cast(f) for c, f in zip(cols, (table.schema.field(group).type, table.schema.field(doc).type, table.schema.field(doc).type, pa.float64()))], names=[group, "i", "j", "g"])
+
+    return x.groupBy(group).applyInArrow(products, to)
+
+
 def cosine_candidates(left: DataFrame, right: DataFrame, group: list[str], threshold: float) -> DataFrame:
     """(group, l, r): pairs of unit vectors left(group, l, term, weight) and right(group, r, term, weight) that may reach threshold.
 
@@ -104,13 +162,20 @@ def cosines(pairs: DataFrame, left: DataFrame, right: DataFrame, group: list[str
     return x.groupBy(*group, "l", "r").agg(F.sum(F.col("wl") * F.col("wr")).alias("s"))
 
 
-def keyphrases(docs: DataFrame, keys: list[str], text: str, n: int, cap: int) -> DataFrame:
-    """(keys, phrases): a text's most frequent terms of four characters or more, ties in order of the term; one row has one text.
+def phrases(text: str, n: int, cap: int) -> Column:
+    """A text's most frequent terms of four characters or more, ties in order of the term; null if there are none."""
+    stops = frozenset(PHRASE_STOPS)
 
-    A row's terms are counted and ranked in the row itself.
-    """
-    stops = ", ".join(f"'{w}'" for w in PHRASE_STOPS)
-    x = _sorted_terms(docs, keys, text)
-    ranked = F.expr(f"slice(sort_array(transform(starts, (p, k) -> struct(p - coalesce(get(starts, k + 1), size(sorted)) as less, get(sorted, p) as term))), 1, {cap})")
-    x = x.select(*keys, ranked.alias("ranked")).select(*keys, F.expr(f"slice(filter(ranked.term, t -> length(t) >= 4 and not t in ({stops})), 1, {n})").alias("phrases"))
-    return x.select(*keys, F.explode(F.expr("case when size(phrases) > 0 then array(phrases) else cast(array() as array<array<string>>) end")).alias("phrases"))
+    @F.udf("array<string>", useArrow=True)
+    def ranked(low):
+        often = [(-k, t) for t, k in Counter(terms_of(low or "")).items()]
+        often = sorted(often)[:cap] if len(often) > cap else often
+        return [t for _, t in nsmallest(n, (x for x in often if len(x[1]) >= 4 and x[1] not in stops))] or None
+
+    return ranked(F.lower(text))
+
+
+def keyphrases(docs: DataFrame, keys: list[str], text: str, n: int, cap: int) -> DataFrame:
+    """(keys, phrases) of the rows that have any; one row has one text, whose terms are counted and ranked in the row itself."""
+    x = docs.select(*keys, phrases(text, n, cap).alias("phrases"))  # not filtered, since the phrases would be found anew for it
+    return x.select(*keys, F.explode(F.expr("case when phrases is not null then array(phrases) else cast(array() as array<array<string>>) end")).alias("phrases"))

@@ -91,7 +91,7 @@ def evidence(topics: DataFrame, lines: DataFrame, limit: int) -> DataFrame:
 def records(units: DataFrame, turns: DataFrame, lines: DataFrame, config: EngineConfig = EngineConfig(), labels: DataFrame | None = None) -> DataFrame:
     """Topics before validation. labels(transcript_id, chunk_id, topic_label) may name topics by their first labelled chunk."""
     t = spans(units)
-    t = t.join(T.keyphrases(t, KEY, "text", 6, config.phrase_vocabulary), KEY, "left").join(first_question(units, turns), KEY)
+    t = t.withColumn("phrases", T.phrases("text", 6, config.phrase_vocabulary)).join(first_question(units, turns), KEY)
     if labels is None:
         t = t.withColumn("given", F.lit(None).cast("string"))
     else:
