@@ -12,6 +12,8 @@ from .chains import Keep, first_reach, keep_table, running, runs
 
 # Chunks in a request for decisions, and characters of each.
 REQUEST_CHUNKS, REQUEST_CHARS = 8, 4000
+#: Chunks and characters up to which a transcript is compared at once; the products of longer ones are joins over their terms.
+SHORT_CHUNKS, SHORT_CHARS = 256, 1 << 22
 
 
 def chunk_weights(c: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
@@ -22,6 +24,24 @@ def chunk_gram(c: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame
     return T.gram(chunk_weights(c, config), ["transcript_id"], "chunk_no")
 
 
+def long_transcripts(c: DataFrame, chunks: int = SHORT_CHUNKS, chars: int = SHORT_CHARS) -> DataFrame:
+    """(transcript_id) of those that aren't bounded in chunks and text."""
+    n = c.groupBy("transcript_id").agg(F.count("*").alias("n"), F.sum(F.length("corpus")).alias("chars"))
+    return n.filter(f"n > {chunks} or chars > {chars}").select("transcript_id")
+
+
+def short_gram(c: DataFrame, long: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """(transcript_id, i, j, g), as chunk_gram has it, of all transcripts but the long ones."""
+    return T.short_gram(c.join(long, "transcript_id", "left_anti"), "transcript_id", "chunk_no", "corpus", config.segment_vocabulary)
+
+
+def band_of(c: DataFrame, g: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """The products of a gram that band_gram has."""
+    t, p = "transcript_id", _pages(c)
+    x = g.join(p.select(t, F.col("chunk_no").alias("i"), "low"), [t, "i"]).join(p.select(t, F.col("chunk_no").alias("j"), "top"), [t, "j"])
+    return x.filter(f"low - top <= {config.max_pages_continue} or i = j + 1").select(t, "i", "j", "g")
+
+
 def adjacent_similarity(g: DataFrame) -> DataFrame:
     """(transcript_id, chunk_no, similarity) with the chunk before; rows of unit length make products cosines."""
     return g.filter("i = j + 1").select("transcript_id", F.col("i").alias("chunk_no"), F.col("g").alias("similarity"))
@@ -147,6 +167,18 @@ def related_candidates(groups: DataFrame, weights: DataFrame, config: EngineConf
     return s.filter(F.round("similarity", 9) >= config.related_similarity).select("transcript_id", F.col("l").alias("chunk_no"), F.col("r").alias("group_no"), "similarity")
 
 
+def related_in_gram(groups: DataFrame, g: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """What related_candidates gives, by the products of all chunks: those with a group and within it are sums of them."""
+    t = "transcript_id"
+    at = lambda chunk, group: groups.select(t, F.col("chunk_no").alias(chunk), F.col("group_no").alias(group))
+    x = g.join(at("i", "gi"), [t, "i"]).join(at("j", "gj"), [t, "j"])
+    first = groups.groupBy(t, F.col("group_no").alias("gi")).agg(F.min("chunk_no").alias("i"))
+    num = x.filter("gj < gi").join(first, [t, "gi", "i"], "left_semi").groupBy(t, "i", "gj").agg(F.sum("g").alias("num"))
+    q = x.filter("gi = gj").groupBy(t, "gj").agg(F.sum(F.expr("case when i = j then g else 2 * g end")).alias("q"))
+    s = num.join(q, [t, "gj"]).select(t, F.col("i").alias("chunk_no"), F.col("gj").alias("group_no"), F.expr("num / sqrt(q)").alias("similarity"))
+    return s.filter(F.round("similarity", 9) >= config.related_similarity)
+
+
 #: What a provider answers: one row a request, with null decisions where it failed.
 ANSWERS = "request_key string, decisions array<struct<chunk_id string, action string, topic_label string>>"
 

@@ -228,7 +228,7 @@ def vocab_topk(t):
 
 @query("SELECT transcript_id, i, j, round(g, 9) AS g FROM gram")
 def chunk_gram(t):
-    return text.gram(t.weights, ["transcript_id"], "chunk_no").select("transcript_id", "i", "j", F.round("g", 9).alias("g"))
+    return t.chunk_gram().select("transcript_id", "i", "j", F.round("g", 9).alias("g"))
 
 
 @query("SELECT transcript_id, chunk_no, round(similarity, 9) AS similarity FROM adjacent")
@@ -297,7 +297,7 @@ def decisions_taken(t):
   JOIN (SELECT g.transcript_id, a.group_no AS gj, sum(CASE WHEN g.i = g.j THEN g.g ELSE 2 * g.g END) AS q FROM gram g JOIN groups a ON a.transcript_id = g.transcript_id AND a.chunk_no = g.i JOIN groups b ON b.transcript_id = g.transcript_id AND b.chunk_no = g.j AND b.group_no = a.group_no GROUP BY ALL) USING (transcript_id, gj)
   JOIN (SELECT transcript_id, i, g AS own FROM gram WHERE i = j) USING (transcript_id, i) WHERE round(num / sqrt(q * own), 9) >= 0.32""")
 def related_candidates(t):
-    return segment.related_candidates(t.groups, t.weights, t.config).withColumn("similarity", F.round("similarity", 6))
+    return t.related_candidates().withColumn("similarity", F.round("similarity", 6))
 
 
 @query("SELECT * FROM merged")

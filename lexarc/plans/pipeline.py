@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
-from ..operators import layout, provenance, roles, search, segment, speakers, topics, turns
+from ..operators import layout, provenance, roles, search, segment, speakers, text, topics, turns
 from ..sources import adapter
 from ..sources.artifacts import exists, keep, new_folder, remove, version
 
@@ -112,10 +112,41 @@ class Transcripts:
     def weights(self) -> DataFrame:
         return self.keep(segment.chunk_weights(self.kept_chunks, self.config), "weights")
 
+    @cached_property
+    def long(self) -> DataFrame:
+        """Transcripts that are not compared at once, but by joins over their terms."""
+        return self.keep(segment.long_transcripts(self.kept_chunks), "long")
+
+    @cached_property
+    def gram(self) -> DataFrame:
+        """Products of all chunks of the other transcripts."""
+        return self.keep(segment.short_gram(self.kept_chunks, self.long, self.config), "gram")
+
+    @cached_property
+    def long_chunks(self) -> DataFrame | None:
+        return None if self.long.isEmpty() else self.kept_chunks.join(self.long, "transcript_id", "left_semi")
+
+    @cached_property
+    def long_weights(self) -> DataFrame:
+        return self.keep(segment.chunk_weights(self.long_chunks, self.config), "long_weights")
+
     @cached_property
     def band(self) -> DataFrame:
         """Products of the chunks that a topic can hold together; the walk needs no others."""
-        return self.keep(segment.band_gram(self.kept_chunks, self.weights, self.config), "band")
+        found = segment.band_of(self.kept_chunks, self.gram, self.config)
+        if self.long_chunks is not None:
+            found = found.unionByName(segment.band_gram(self.long_chunks, self.long_weights, self.config))
+        return self.keep(found, "band")
+
+    def chunk_gram(self) -> DataFrame:
+        return self.gram if self.long_chunks is None else self.gram.unionByName(text.gram(self.long_weights, ["transcript_id"], "chunk_no"))
+
+    def related_candidates(self) -> DataFrame:
+        found = segment.related_in_gram(self.groups, self.gram, self.config)
+        if self.long_chunks is None:
+            return found
+        long = self.groups.join(self.long, "transcript_id", "left_semi")
+        return found.unionByName(segment.related_candidates(long, self.long_weights, self.config))
 
     @cached_property
     def groups(self) -> DataFrame:

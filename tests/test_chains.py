@@ -186,3 +186,43 @@ def test_thresholded_cosines(spark, threshold):
     assert len(good) <= pairs.count() <= len(want)
     if threshold == 0.8:
         assert pairs.count() < 0.5 * len(want)
+
+
+def test_products_of_short_transcripts_at_once(spark):
+    rnd = random.Random(7)
+    names = [f"w{chr(97 + i)}{i}" for i in range(14)] + ["Été_1", "the", "x"]
+    rows = [(t, i + 1, rnd.randrange(1, 12), rnd.choice([None, "", "the a"]) if rnd.random() < 0.1 else " ".join(rnd.choice(names) for _ in range(rnd.choice([1, 5, 20])))) for t, n in ((1, 30), (2, 1), (3, 9), (4, 2)) for i in range(n)]
+    rows = [(t, i, p, "the" if t == 4 else x) for t, i, p, x in rows]
+    c = spark.createDataFrame(rows, "transcript_id long, chunk_no int, start_page int, corpus string")
+    groups = c.select("transcript_id", "chunk_no", F.expr("1 + chunk_no div 3").cast("int").alias("group_no"))
+    taken = lambda df, *cols: {tuple(r[k] for k in cols[:-1]): r[cols[-1]] for r in df.collect()}
+    none = c.select("transcript_id").limit(0)
+    for cap in (8000, 9, 1):
+        config = EngineConfig(segment_vocabulary=cap, max_pages_continue=2)
+        weights = segment.chunk_weights(c, config)
+        plain, fast = text.gram(weights, ["transcript_id"], "chunk_no"), segment.short_gram(c, none, config)
+        assert taken(fast, "transcript_id", "i", "j", "g") == pytest.approx(taken(plain, "transcript_id", "i", "j", "g"))
+        band = segment.band_gram(c, weights, config)
+        assert taken(segment.band_of(c, fast, config), "transcript_id", "i", "j", "g") == pytest.approx(taken(band, "transcript_id", "i", "j", "g"))
+        key = ("transcript_id", "chunk_no", "group_no", "similarity")
+        related = taken(segment.related_candidates(groups, weights, config), *key)
+        assert taken(segment.related_in_gram(groups, fast, config), *key) == pytest.approx(related) and related
+    chars = {t: sum(len(x or "") for u, _, _, x in rows if u == t) for t in (1, 2, 3, 4)}
+    assert sorted(r[0] for r in segment.long_transcripts(c, 9).collect()) == [1]
+    assert sorted(r[0] for r in segment.long_transcripts(c, 30, chars[3] - 1).collect()) == [t for t in chars if chars[t] >= chars[3]]
+    assert {k[0] for k in taken(segment.short_gram(c, segment.long_transcripts(c, 9), EngineConfig()), "transcript_id", "i", "j", "g")} <= {2, 3, 4}
+
+
+def test_long_transcripts_have_the_same_topics(spark, sf):
+    from lexarc.plans.pipeline import Transcripts
+
+    one, other = Transcripts.of(spark, sf), Transcripts.of(spark, sf)
+    other.long = one.kept_chunks.select("transcript_id").distinct().filter("transcript_id % 2 = 0")
+    other.kept_chunks = one.kept_chunks
+    assert other.long_chunks is not None and one.long_chunks is None
+    plan = one.chunk_gram()._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    for f in (Transcripts.chunk_gram, lambda t: t.band, lambda t: t.groups, Transcripts.related_candidates):
+        a, b = (sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in f(t).collect()) for t in (one, other))
+        assert a == b and a
+    one.drop(), other.drop()
