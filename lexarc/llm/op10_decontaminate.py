@@ -57,10 +57,11 @@ SLOT = "^[\u0001-\u0003]"
 def numbered(text: Column) -> Column:
     """The text with numbers behind the marker \\x01 and units behind \\x03. Number words in a row are one number."""
     tens, scales = "|".join(TENS), "|".join(SCALES)
-    named = rf"(?i)\b(?=ze|tw|t[eh][inor]|f[io]|s[ie]|[en]i|el|hu|mi|bi|on)(?:{'|'.join(NUMBERS)}|{tens}|{scales}|one(?=[ -](?:{scales})\b)|one(?<=\b(?:{tens}|{scales})[ -]one))\b"
+    # what seldom fits is looked at first, and what stands before a place behind its first character
+    named = rf"(?i)(?=[ztfsenhmbo][ewhiolun])\b(?=ze|tw|t[eh][inor]|f[io]|s[ie]|[en]i|el|hu|mi|bi|on)(?:{'|'.join(NUMBERS)}|{tens}|{scales}|one(?=[ -](?:{scales})\b)|one(?<=\b(?:{tens}|{scales})[ -]one))\b"
     marks = F.regexp_replace(F.regexp_replace(text, named, "\u0001$0"), r"\d++(?:[.,:/]\d++)*+", "\u0001$0")
     whole = F.regexp_replace(marks, "(\u0001[\\p{L}\\p{N}.,:/]+)[ -](?=\u0001\\p{L})", "$1")
-    return F.regexp_replace(whole, "(?i)(\u0001[\\d.,:/]+[ -]?|(?<![\\p{L}\\p{N}\u0001])\u0001[\\p{L}\\d.,:/\u0001]++[ -])(" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")\b", "$1 \u0003$2")
+    return F.regexp_replace(whole, "(?i)(\u0001(?:[\\d.,:/]+[ -]?|(?<![\\p{L}\\p{N}\u0001]\u0001)[\\p{L}\\d.,:/\u0001]++[ -]))(" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")\b", "$1 \u0003$2")
 
 
 def marked(text: Column, every: bool) -> Column:
@@ -140,7 +141,7 @@ def _few(df: DataFrame) -> DataFrame:
 
 def parts(texts: DataFrame, sizes: list[tuple[int, int]], *keys: str) -> DataFrame:
     """(keys, hash) of the windows of each (size, stride) of both templates of (keys, text). A template is one line of words here."""
-    pattern = "(?<![^ ])(?=((?:[^ ]++ ){{{}}}))(?:[^ ]++ ){{{}}}"
+    pattern = "\\G(?=((?:[^ ]++ ){{{}}}))(?:[^ ]++ ){{{}}}"
     held = texts.select(*keys, numbered(F.col("text")).alias("text"))
     line = lambda every: F.concat(F.ltrim(F.regexp_replace(F.regexp_replace(F.lower(marked(F.col("text"), every)), VALUE, "$1"), "[^\\p{L}\\p{N}\u0001-\u0003]+", " ")), F.lit(" "))
     lines = held.select(*keys, line(False).alias("t"), line(True).alias("e"))

@@ -193,3 +193,27 @@ def test_a_text_of_tens_of_megabytes(spark, library):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     got = op3_bpe.encode_decode(docs, RANKS, P.PATTERN).select(F.size("ids").alias("n"), F.sha2("decoded", 256).alias("sha")).collect()
     assert [(r.n, r.sha) for r in got] == [(len(library.encode_ordinary(text[:63])) * 500_000, hashlib.sha256(text.encode()).hexdigest())]
+
+
+def test_numbers_and_parts_are_found_in_few_looks(spark):
+    """Patterns that look behind each character took op10 beyond its budget; the plain ones find the same."""
+    import random
+
+    from lexarc.llm import op10_decontaminate as op10
+
+    rnd = random.Random(4)
+    pieces = ["5", "12.5", "3,000", "7:30", "km", "KM", " miles", "-kg", "five", "Twenty", "one", "hundred", "None", "often", "bone", "Ann", "Élan", "\U0001d400", "a", "x9", "9x", "\u0001", " ", "  ", "-", ".", "\n", "zéro", "Seventy-One", "l", "g"]
+    texts = ["", " ", "five", "5 km", "x5 km", "\U0001d4005 km", "xfive km", "five km", "5km", "twenty-five miles"] + ["".join(rnd.choice(pieces) + rnd.choice(["", " ", " "]) for _ in range(rnd.randrange(1, 40))) for _ in range(400)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    tens, scales = "|".join(op10.TENS), "|".join(op10.SCALES)
+    named = rf"(?i)\b(?:{'|'.join(op10.NUMBERS)}|{tens}|{scales}|one(?=[ -](?:{scales})\b)|one(?<=\b(?:{tens}|{scales})[ -]one))\b"
+    marks = F.regexp_replace(F.regexp_replace("text", named, "\u0001$0"), r"\d++(?:[.,:/]\d++)*+", "\u0001$0")
+    whole = F.regexp_replace(marks, "(\u0001[\\p{L}\\p{N}.,:/]+)[ -](?=\u0001\\p{L})", "$1")
+    plain = F.regexp_replace(whole, "(?i)(\u0001[\\d.,:/]+[ -]?|(?<![\\p{L}\\p{N}\u0001])\u0001[\\p{L}\\d.,:/\u0001]++[ -])(" + "|".join(sorted(op10.UNITS, key=len, reverse=True)) + r")\b", "$1 \u0003$2")
+    assert df.select(op10.numbered(F.col("text")).alias("a"), plain.alias("b")).filter("a <> b").collect() == []
+    sizes = [(6, 3), (5, 1)]
+    want = {(r.doc_id, " ".join(w[i:i + s]) + " ") for r in df.select("doc_id", op10.template(op10.numbered(F.col("text"))).alias("t"), op10.template(op10.numbered(F.col("text")), True).alias("e")).collect()
+            for w in (r.t, r.e) for s, step in sizes for i in range(0, len(w) - s + 1, step)}
+    hashed = spark.createDataFrame(list(want), "doc_id long, part string").select("doc_id", F.xxhash64("part").alias("hash"))
+    assert set(map(tuple, op10.parts(df, sizes, "doc_id").collect())) == set(map(tuple, hashed.collect()))
+    assert "(?<![\\p{L}\\p{N}\u0001])\u0001" not in df.select(op10.numbered(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
