@@ -2,7 +2,8 @@
 
 A document's set holds its distinct k-word shingles as 64-bit hashes. Documents with equal sets form one class, of which
 one representative goes on. All tokens have one global order, from rare to frequent: a fixed-size table of hashed counts
-over the whole corpus says how frequent a token may be, ties go by hash. A pair with Jaccard similarity p of at least the
+over the whole corpus says how frequent a token may be, ties go by hash. Rare tokens are told apart by the share of buckets
+that are emptier than theirs, since in a large corpus all buckets hold many tokens. A pair with Jaccard similarity p of at least the
 threshold misses at most tau = n - ceil(p n) tokens of either side. Each document's prefix in that order is extended
 until rare tokens, which are indexed singly, and frequent ones, indexed as pairs within subclasses (the first token of a
 subclass earns nothing), sum up to tau + 1. Then two linked documents have an indexed single or pair in common.
@@ -52,6 +53,8 @@ SLOT_ROWS, SLOT_BITS = 1_024, 5
 #: Bits of the largest parity bitmap.
 MOST_CELLS = 1 << 17
 SLICE = 256
+#: Classes of rare tokens by the counts of their buckets.
+RARE_CLASSES = 120
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -79,7 +82,7 @@ def expected(bound: float) -> np.ndarray:
 
 
 def prefix_keys(s: np.ndarray, level: np.ndarray, percent: int, slots: np.ndarray | None = None) -> np.ndarray:
-    """Index entries of a set: s sorted, level 0 for rare tokens and above for frequent ones, slots as expected() gives them."""
+    """Index entries of a set: s sorted, level 0 or below for rare tokens, the rarest least, and above for frequent ones, slots as expected() gives them."""
     slots = np.zeros(256, dtype=np.uint64) if slots is None else slots
     low_bits = _U((1 << SLOT_BITS) - 1)
     n = len(s)
@@ -87,12 +90,12 @@ def prefix_keys(s: np.ndarray, level: np.ndarray, percent: int, slots: np.ndarra
     if n == 0 or (low == n and high == n):
         return np.zeros(0, dtype=np.uint64)  # only an equal set could link
     need = n - low + 1
-    rare = np.flatnonzero(level == 0)
-    singles = s[rare[:need]]
+    rare = np.flatnonzero(level <= 0)
+    singles = s[rare[np.argsort(level[rare], kind="stable")[:need]]]
     out = [_mix(singles) & ~low_bits]
     if len(singles) == need:
         return np.unique(out[0])
-    rest = np.flatnonzero(level)
+    rest = np.flatnonzero(level > 0)
     rest = rest[np.argsort(level[rest], kind="stable")]
     rest, known = s[rest], level[rest]
     need -= len(singles)
@@ -138,6 +141,16 @@ def _nested(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), _signed(flat))
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """32-bit counts in planes of bytes, compressed: most are small."""
+    return pa.compress(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = pa.decompress(data, decompressed_size=4 * BLOCK, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(4, -1).T).view("<u4")[:, 0]
+
+
 def _sliced(batches):
     for big in batches:
         for at in range(0, big.num_rows, SLICE):
@@ -171,31 +184,39 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
         flush()
         m = len(total) // BLOCK
         yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(range(m), pa.int32()),
-                                          pa.array([total[i * BLOCK:(i + 1) * BLOCK].tobytes() for i in range(m)], pa.binary())], names=names)
+                                          pa.array([packed(total[i * BLOCK:(i + 1) * BLOCK]) for i in range(m)], pa.binary())], names=names)
 
     return docs.mapInArrow(run, "id long, n int, fp1 long, fp2 long, block int, counts binary")
 
 
+def levels(counts: np.ndarray) -> tuple[np.ndarray, float]:
+    """Level of each bucket: up to 0 where its count is within what rare tokens alone would give, by the share of such buckets
+    that hold more, above 0 on a log scale; and that bound."""
+    usual = float(np.median(counts))
+    bound = max(16.0, usual + 8 * np.sqrt(usual + 1))
+    high = counts > bound
+    below = np.cumsum(np.bincount(counts[~high].astype(np.int64), minlength=1))
+    rank = (-(RARE_CLASSES * (below[-1] - below)) // max(1, below[-1])).astype(np.int8)
+    level = rank[np.where(high, 0, counts)]
+    level[high] = np.clip(1 + 4 * np.log2(counts[high] / bound), 1, 127).astype(np.int8)
+    return level, bound
+
+
 def _levels(profile: DataFrame) -> tuple[np.ndarray, float]:
-    """Level of each bucket: 0 where its count is within what rare tokens alone would give, above on a log scale; and that bound."""
+    """levels() of the corpus counts."""
 
     def add(key, table):
         total = np.zeros(BLOCK, dtype=np.uint64)
         for x in table.column("counts").to_pylist():
-            total += np.frombuffer(x, dtype=np.uint32)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())})
+            total += unpacked(x)
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([packed(np.minimum(total, 0xFFFFFFFF))], pa.binary())})
 
     parts = profile.filter("block is not null").select("block", "counts", F.pmod(F.xxhash64("counts"), F.lit(32)).alias("s"))
     once = parts.groupBy("block", "s").applyInArrow(add, "block int, counts binary")
     out = np.zeros(1 << BUCKET_BITS, dtype=np.uint32)
     for r in once.groupBy("block").applyInArrow(add, "block int, counts binary").toLocalIterator():  # a fixed number of buckets
-        out[r.block * BLOCK:(r.block + 1) * BLOCK] = np.frombuffer(r.counts, dtype=np.uint32)
-    usual = float(np.median(out))
-    bound = max(16.0, usual + 8 * np.sqrt(usual + 1))
-    level = np.zeros(len(out), dtype=np.uint8)
-    high = np.flatnonzero(out > bound)
-    level[high] = np.clip(1 + 4 * np.log2(out[high] / bound), 1, 255).astype(np.uint8)
-    return level, bound
+        out[r.block * BLOCK:(r.block + 1) * BLOCK] = unpacked(r.counts)
+    return levels(out)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

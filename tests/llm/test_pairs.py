@@ -129,6 +129,44 @@ def test_frequent_prefixes_share_a_key():
                 assert len(np.intersect1d(op7_jaccard.prefix_keys(x, f(x), 90), op7_jaccard.prefix_keys(y, f(y), 90)))
 
 
+def test_rarest_tokens_are_indexed_first():
+    """Where all buckets hold many tokens, sets that share common passages meet in few entries, and linked ones still in one."""
+    rng = np.random.default_rng(4)
+    token = lambda n: rng.integers(0, 1 << 64, n, dtype=np.uint64)
+    bucket = lambda s: (s >> np.uint64(64 - op7_jaccard.BUCKET_BITS)).astype(np.int64)
+    passages = [token(100) for _ in range(20)]
+    sets = [np.unique(np.concatenate([token(300), passages[i % 20], passages[(i // 20 + i + 1) % 20]])) for i in range(200)]
+    copies = [np.unique(np.concatenate([s[rng.random(len(s)) > 0.03], token(10)])) for s in sets[:50]]
+    counts = rng.poisson(30, 1 << op7_jaccard.BUCKET_BITS).astype(np.uint32)
+    for s in sets + copies:
+        counts[bucket(s)] += 1
+    level, bound = op7_jaccard.levels(counts)
+    assert all((level[bucket(p)] <= 0).mean() > 0.9 for p in passages)  # rare by the bound, though 20 sets hold each
+    keys = [op7_jaccard.prefix_keys(s, level[bucket(s)], 90) for s in sets + copies]
+    shared = collections.Counter(np.concatenate(keys[:200]).tolist())
+    assert sum(c for c in shared.values() if c > 1) < 0.05 * sum(shared.values())
+    for x, y, kx, ky in zip(sets, copies, keys, keys[200:], strict=False):
+        both = len(np.intersect1d(x, y))
+        assert len(np.intersect1d(kx, ky)) or 100 * both < 90 * (len(x) + len(y) - both)
+
+
+def test_levels_of_any_counts():
+    """Levels rise with the count, whatever the corpus: empty, one token, and counts up to the largest."""
+    for values in ([], [1], [1, 3, 4_000_000_000], range(1, 300)):
+        counts = np.zeros(1 << 12, dtype=np.uint32)
+        counts[:len(values)] = values
+        level, bound = op7_jaccard.levels(counts)
+        order = np.argsort(counts, kind="stable")
+        assert (np.diff(level[order].astype(int)) >= 0).all() and ((level > 0) == (counts > bound)).all()
+
+
+def test_counts_packed():
+    rng = np.random.default_rng(6)
+    for counts in (rng.integers(0, 1 << 32, op7_jaccard.BLOCK, dtype=np.uint64), rng.poisson(2, op7_jaccard.BLOCK).astype(np.uint32), np.zeros(op7_jaccard.BLOCK, np.uint64)):
+        data = op7_jaccard.packed(counts)
+        assert (op7_jaccard.unpacked(data) == counts).all() and (counts.max() > 100 or len(data) < op7_jaccard.BLOCK // 2)
+
+
 def vectors():
     rng = np.random.default_rng(2)
     rows = []
